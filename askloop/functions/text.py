@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Blank characters: the Unicode White_Space property and the four ASCII separators 1C..1F.
 SPACE = r"[\s\x1c-\x1f]"
 
+# Word characters, and the 32 ASCII punctuation characters.
+WORD = r"[\p{L}\p{N}_]"
+PUNCTUATION = r"[!-/:-@\[-`{-~]"
+
 # Articles removed by answer normalisation, as whole words.
 ARTICLES = ["a", "an", "the"]
 # Answers that count as an abstention.
@@ -30,10 +32,13 @@ def strip(text: Column) -> Column:
 
 
 def normalize_answer(text: Column) -> Column:
-    """Lower case, no ASCII punctuation, no articles, single spaces. A missing text reads as ``none``."""
+    """Lower case, no ASCII punctuation, no articles, single spaces. A missing text reads as ``none``.
+
+    Each pattern repeats single characters only: repeated groups would recurse on long texts.
+    """
     out = F.lower(F.coalesce(text.cast("string"), F.lit("none")))
-    out = F.translate(out, string.punctuation, "")
-    out = F.regexp_replace(out, rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(ARTICLES)})(?![\p{{L}}\p{{N}}_])", " ")
+    out = F.regexp_replace(out, PUNCTUATION, "")
+    out = F.regexp_replace(out, f"(?<!{WORD})(?:{'|'.join(ARTICLES)})(?!{WORD})", " ")
     return F.trim(F.regexp_replace(out, f"(?U){SPACE}+", " "))
 
 
@@ -50,13 +55,13 @@ def raw_membership(response: Column, gold: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Words of the normalised text; none for a missing or empty text."""
-    words = F.filter(F.split(normalize_answer(text), " "), lambda w: w != "")
+    words = F.array_remove(F.split(normalize_answer(text), " "), "")
     return F.when(text.isNull() | (text == ""), F.array().cast("array<string>")).otherwise(words)
 
 
 def word_tokens(text: Column) -> Column:
     """Lower-cased runs of two or more word characters."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD + "{2,}"), F.lit(0))
 
 
 def word_counts(words: Column) -> Column:
@@ -79,7 +84,7 @@ def word_counts(words: Column) -> Column:
         )
 
     empty = F.array().cast("array<struct<word: string, n: int>>")
-    return bind(F.array_sort(words), lambda s: F.when(F.size(s) == 0, empty).otherwise(runs(s)))
+    return bind(F.sort_array(words), lambda s: F.when(F.size(s) == 0, empty).otherwise(runs(s)))
 
 
 def numbered_words(words: Column) -> Column:

@@ -45,10 +45,21 @@ def _turn_row(df: DataFrame, pick) -> DataFrame:
     return picked.select(*KEYS, "_row.*").select(*df.columns)
 
 
-def _last_values(df: DataFrame, **values: Column) -> DataFrame:
-    """Per question the values of its last turn. All of them are fixed-width."""
-    narrow = df.select(*KEYS, "turn", *[v.alias(k) for k, v in values.items()])
-    return narrow.groupBy(*KEYS).agg(*[F.max_by(k, "turn").alias(k) for k in values])
+def _final(accept: Column | None) -> Column:
+    """A value that is smallest on a question's final turn.
+
+    Without ``accept`` that is the last turn. With it, recorded turns after the first accepted one do not count: the
+    final turn is the first accepted one, or the last if none is.
+    """
+    turn = F.col("turn").cast("bigint")
+    late = -turn if accept is None else F.when(accept, turn - F.lit(1 << 62)).otherwise(-turn)
+    return late.alias("_final")
+
+
+def _last_values(df: DataFrame, accept: Column | None = None, **values: Column) -> DataFrame:
+    """Per question the values of its final turn. All of them are fixed-width."""
+    narrow = df.select(*KEYS, _final(accept), *[v.alias(k) for k, v in values.items()])
+    return narrow.groupBy(*KEYS).agg(*[F.min_by(k, "_final").alias(k) for k in values])
 
 
 def accuracy(df: DataFrame, column: str = "correct", by: list[str] | None = None, overall: bool = False) -> DataFrame:
@@ -98,10 +109,11 @@ def formula_zero_shot(df: DataFrame, by: list[str] | None = None, compat: bool =
     return scored.groupBy(*(by or [])).agg(*_formula_columns())
 
 
-def system_report(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Accuracy, F1 and gated formula score of the last turns. One shuffle."""
+def system_report(df: DataFrame, by: list[str] | None = None, accept: Column | None = None) -> DataFrame:
+    """Accuracy, F1 and gated formula score of the final turns (see ``_final``). One shuffle."""
     last = _last_values(
         df,
+        accept,
         right=(F.col("correct") == 1),
         f1=token_f1(F.col("answer"), F.col("gold")),
         score=formula_value(F.col("correct"), ~F.col("gate_output")),
@@ -244,11 +256,14 @@ def first_turn_metrics(df: DataFrame, setting: str = "exploration", column: str
     )
 
 
-def compare_report(df: DataFrame, by: list[str] | None = None, compat: bool = False) -> DataFrame:
-    """First turn as zero-shot answer against the last turn as final answer: accuracy, F1, formula. One shuffle."""
+def compare_report(
+    df: DataFrame, by: list[str] | None = None, accept: Column | None = None, compat: bool = False
+) -> DataFrame:
+    """First turn as zero-shot answer against the final turn (see ``_final``): accuracy, F1, formula. One shuffle."""
     narrow = df.select(
         *KEYS,
         "turn",
+        _final(accept),
         (F.col("correct") == 1).cast("double").alias("right"),
         token_f1(F.col("answer"), F.col("gold")).alias("f1"),
         formula_value(F.col("correct"), is_abstention(F.col("answer"), compat)).alias("open_score"),
@@ -256,7 +271,7 @@ def compare_report(df: DataFrame, by: list[str] | None = None, compat: bool = Fa
     )
     questions = narrow.groupBy(*KEYS).agg(
         *[F.min_by(c, "turn").alias(f"zs_{c}") for c in ("right", "f1", "open_score")],
-        *[F.max_by(c, "turn").alias(f"final_{c}") for c in ("right", "f1", "gated_score")],
+        *[F.min_by(c, "_final").alias(f"final_{c}") for c in ("right", "f1", "gated_score")],
     )
     return questions.groupBy(*(by or [])).agg(
         F.count(F.lit(1)).alias("n"),

@@ -52,8 +52,9 @@ class Model:
                     setting = dict(zip(settings, values))
                     for start in range(0, len(group), size):
                         batch = group.iloc[start : start + size]
-                        chats = [[dict(m) for m in chat] for chat in batch["messages"]]
-                        chats = [[{"role": m["role"], "content": m["content"]} for m in chat] for chat in chats]
+                        chats = [
+                            [{"role": m["role"], "content": m["content"]} for m in chat] for chat in batch["messages"]
+                        ]
                         yield batch.drop(columns="messages").assign(response=model(chats, setting))
 
         schema = T.StructType([*df.schema.fields, T.StructField("response", T.StringType())])

@@ -50,7 +50,7 @@ def _elements(text: Column, overlap: str) -> Column:
 
     one = bits if overlap == "bitand" else repeats
     listed = F.flatten(F.transform(word_counts(word_tokens(text)), one))
-    ranked = F.array_sort(F.transform(listed, lambda e: F.struct((-F.length(e)).alias("l"), e.alias("e"))))
+    ranked = F.sort_array(F.transform(listed, lambda e: F.struct((-F.length(e)).alias("l"), e.alias("e"))))
     return F.transform(ranked, lambda s: s["e"])
 
 
@@ -89,8 +89,13 @@ def _distinct_vectors(df: DataFrame, threshold: int, overlap: str) -> DataFrame:
     rows = df.filter(F.col("rationale").isNotNull()).select(
         *KEYS, "turn", _elements(F.col("rationale"), overlap).alias("elements")
     )
-    heavy = rows.withColumn("weight", _weight(F.col("elements"))).filter(F.col("weight") >= threshold)
-    return heavy.groupBy(*KEYS, "elements").agg(F.count(F.lit(1)).alias("copies"), F.max("turn").alias("last"))
+    # The weight is tested after the grouping: a test before it would be pushed to the scan and build the elements
+    # of every text a second time.
+    weighed = rows.withColumn("weight", _weight(F.col("elements")))
+    grouped = weighed.groupBy(*KEYS, "elements").agg(
+        F.count(F.lit(1)).alias("copies"), F.max("turn").alias("last"), F.max("weight").alias("weight")
+    )
+    return grouped.filter(F.col("weight") >= threshold).drop("weight")
 
 
 def _row_flags(vectors: DataFrame, threshold: int) -> DataFrame:

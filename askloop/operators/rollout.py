@@ -22,6 +22,7 @@ from askloop.operators.prompts import (
     initial_content,
     with_prompt,
 )
+from askloop.operators.skew import HOT_ROWS, join_per_question
 from askloop.schemas import KEYS
 from askloop.session import shared_root
 
@@ -164,15 +165,17 @@ def run_gated(
     return _run(qa, model, config, prompts, config.max_turns, config.max_turns, judge, F.col("gate_output"), columns)
 
 
-def truncate_replay(df: DataFrame, accept: Column) -> DataFrame:
+def truncate_replay(df: DataFrame, accept: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Of all recorded turns keep those up to and including the first accepted one of each question.
 
-    The first accepted turn is a combinable minimum, so a question with very many turns never gathers in one task;
-    the join back to it is an ordinary equi join that adaptive execution can split.
+    The first accepted turn is a minimum, which combines map-side, and is joined back; a question with very many
+    turns gathers in no task. The metrics take ``accept`` themselves and need no truncated table.
     """
-    first = df.filter(accept).groupBy(*KEYS).agg(F.min("turn").alias("_stop"))
-    kept = df.join(first, KEYS, "left").filter(F.col("_stop").isNull() | (F.col("turn") <= F.col("_stop")))
-    return kept.drop("_stop")
+    first = df.groupBy(*KEYS).agg(
+        F.min(F.when(accept, F.col("turn"))).alias("_stop"), F.count(F.lit(1)).alias("_rows")
+    )
+    kept = join_per_question(df, first, hot_rows)
+    return kept.filter(F.col("_stop").isNull() | (F.col("turn") <= F.col("_stop"))).drop("_stop")
 
 
 def with_previous_answer(df: DataFrame) -> DataFrame:

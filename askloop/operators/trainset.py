@@ -15,7 +15,9 @@ from askloop.functions.parsing import clean_task_content
 from askloop.functions.text import label_text, tokens
 from askloop.operators.prompts import gate_input
 from askloop.operators.sampling import bucket_histogram, cut_keys, number_by_key, seeded_key
+from askloop.operators.skew import HOT_ROWS, join_per_question
 from askloop.schemas import KEYS
+from askloop.session import materialize
 
 # Seed and share of the development side.
 SEED = 42
@@ -52,8 +54,10 @@ def balance(df: DataFrame, label: str = "gate_verdict", seed: int = SEED, by: tu
 
 
 def group_labels(df: DataFrame, label: str = "gate_verdict") -> DataFrame:
-    """One label per question: the most frequent, the smallest on a tie."""
-    return df.groupBy(*KEYS).agg(F.mode(label, deterministic=True).alias("group_label"))
+    """One label per question: the most frequent, the smallest on a tie; and its number of rows."""
+    return df.groupBy(*KEYS).agg(
+        F.mode(label, deterministic=True).alias("group_label"), F.count(F.lit(1)).alias("_rows")
+    )
 
 
 def dev_quota(sizes: DataFrame, by: list[str], share: float) -> DataFrame:
@@ -83,15 +87,16 @@ def split_groups(
     seed: int = SEED,
     by: tuple[str, ...] = ("dataset",),
 ) -> DataFrame:
-    """Every question with its ``group_label`` and ``split``, stratified by label, exact in number."""
+    """Every question with its ``group_label``, ``split`` and row count, stratified by label, exact in number."""
     by = list(by)
     strata = [*by, "group_label"]
-    groups = group_labels(df, label).withColumn("_key", seeded_key(seed, *KEYS))
+    # One narrow row a question, used by several jobs below.
+    groups = materialize(group_labels(df, label).withColumn("_key", seeded_key(seed, *KEYS)), "groups")
     histogram = bucket_histogram(groups, strata, "_key")
     sizes = histogram.groupBy(*strata).agg(F.sum("_n").alias("_groups"))
     cuts = cut_keys(groups, strata, "_key", histogram, dev_quota(sizes, by, share))
     side = F.when(F.col("_key") <= F.col("_cut"), "dev").otherwise("train")
-    return groups.join(cuts, strata, "left").select(*KEYS, "group_label", side.alias("split"))
+    return groups.join(cuts, strata, "left").select(*KEYS, "group_label", side.alias("split"), "_rows")
 
 
 def group_split(
@@ -100,10 +105,11 @@ def group_split(
     share: float = DEV_SHARE,
     seed: int = SEED,
     by: tuple[str, ...] = ("dataset",),
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``split`` to every row; a question is never on both sides."""
-    groups = split_groups(df, label, share, seed, by).select(*KEYS, "split")
-    return df.join(groups, KEYS)
+    groups = split_groups(df, label, share, seed, by).drop("group_label")
+    return join_per_question(df, groups, hot_rows)
 
 
 def join_sets(*sets: DataFrame) -> DataFrame:

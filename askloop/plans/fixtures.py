@@ -9,7 +9,12 @@ EVENT_TYPES = ["click", "view", "purchase", "error", "signup"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table. A small one is a single row group, hence one task: it is spread over the cores by its first
+    column. Real tables have more splits than cores and are read as they are.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, df.columns[0]) if df.rdd.getNumPartitions() < cores else df
 
 
 def _digit():
@@ -69,7 +74,7 @@ def event_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four events in a row as the turns of one question, with two-word answers, abstentions and null rationales."""
     event = table(spark, sf_dir, "events").withColumns(
         {
-            "q": F.floor(F.col("event_id") / 4).cast("bigint"),
+            "q": F.expr("event_id div 4"),
             "k": F.get_json_object("props", "$.k").cast("bigint"),
         }
     )
@@ -111,7 +116,7 @@ def document_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four documents in a row as the rationales of one question, whole texts."""
     return table(spark, sf_dir, "documents").select(
         F.lit("docs").alias("dataset"),
-        F.floor(F.col("doc_id") / 4).cast("string").alias("id"),
+        F.expr("cast(doc_id div 4 as string)").alias("id"),
         (F.col("doc_id") % 4).cast("int").alias("turn"),
         F.col("source").alias("answer"),
         F.when(F.col("doc_id") % 13 != 0, F.col("text")).alias("rationale"),

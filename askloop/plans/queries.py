@@ -591,8 +591,8 @@ def first_turn_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def compare_report(spark: SparkSession, sf: str) -> DataFrame:
-    kept = rollout.truncate_replay(fx.predictions(spark, sf), F.col("gate_output"))
-    return rounded(metrics.compare_report(kept, by=["dataset"]))
+    turns = fx.predictions(spark, sf)
+    return rounded(metrics.compare_report(turns, by=["dataset"], accept=F.col("gate_output")))
 
 
 @query
@@ -639,5 +639,5 @@ def rationale_redundancy_histogram(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def system_report(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: recorded turns cut at the first accepted one, then scored."""
-    kept = rollout.truncate_replay(fx.conversation_turns(spark, sf), F.col("gate_output"))
-    return rounded(metrics.system_report(kept, by=["dataset"]))
+    turns = fx.conversation_turns(spark, sf)
+    return rounded(metrics.system_report(turns, by=["dataset"], accept=F.col("gate_output")))
