@@ -22,14 +22,19 @@ STATED_NUMBER = r"(?U)answer is [^\d]*([\d,]+(?:\.\d+)?)"
 ANY_NUMBER = r"(?U)[\d,]+(?:\.\d+)?"
 ANSWER_SPAN = rf"(?dU)Answer:{SPACE}*(.*?){SPACE}*Rationale:{SPACE}*(.*)"
 QUERY_JSON = rf'(?sU)\{{{SPACE}*"search_query":{SPACE}*".*?"{SPACE}*\}}'
-QUERY_SALVAGE = r"(?s)search_query.*?:(.*?)[,\n\r]+.*?reasoning"
+# The first key, colon and separator decide: if no "reasoning" follows them, none follows any later ones.
+QUERY_SALVAGE = r"(?s)\A(?>.*?search_query)[^:]*+:([^,\n\r]*+)[,\n\r]+.*?reasoning"
 PAREN_NUMBER = rf"(?U)\((\d+)\){SPACE}*\z"
 DIGITS = r"(?U)\d+"
 
 
+def _unquote(text: Column, quote: str) -> Column:
+    return F.regexp_replace(text, rf"\A{quote}+|(?<!{quote}){quote}+\z", "")
+
+
 def literal_list(text: Column) -> Column:
     """A gold-answer cell as ``array<string>``: a list literal is read, any other text is one answer."""
-    bare = F.regexp_replace(F.regexp_replace(text, r'\A"+|"+\z', ""), r"\A'+|'+\z", "")
+    bare = _unquote(_unquote(text, '"'), "'")
     options = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
     listed = F.regexp_replace(bare, r"(?s)\A\s*\((.*?),?\s*\)\s*\z", "[$1]")
     return F.coalesce(F.from_json(listed, "array<string>", options), F.when(text.isNotNull(), F.array(bare)))
@@ -44,7 +49,7 @@ def assistant_output(text: Column) -> Column:
 
 def extract_number(text: Column) -> Column:
     """The number after "answer is ", else the last number, without thousands separators."""
-    stated = F.regexp_extract(text, STATED_NUMBER, 1)
+    stated = F.when(text.rlike(ANY_NUMBER), F.regexp_extract(text, STATED_NUMBER, 1))
     last = F.try_element_at(F.regexp_extract_all(text, F.lit(ANY_NUMBER), F.lit(0)), F.lit(-1))
     found = F.when(stated != "", stated).otherwise(last)
     return F.coalesce(F.replace(found, F.lit(","), F.lit("")), F.lit(NO_NUMBER))
@@ -64,7 +69,9 @@ def answer_and_rationale(response: Column, question_type: Column) -> Column:
             F.when(hit, strip(F.regexp_extract(span, ANSWER_SPAN, 2))).otherwise(NO_RATIONALE).alias("rationale"),
         )
 
-    spoken = bind(F.regexp_extract(text, ANSWER_SPAN, 0), parts)
+    # The plain test spares the pattern, which starts over at every "Answer:", where it cannot match.
+    span = F.when(F.contains(text, F.lit("Rationale:")), F.regexp_extract(text, ANSWER_SPAN, 0)).otherwise("")
+    spoken = bind(span, parts)
     numeric = F.struct(extract_number(text).alias("answer"), text.alias("rationale"))
     return F.when(question_type == "MATH", numeric).otherwise(spoken)
 
@@ -79,7 +86,7 @@ def search_query(response: Column) -> Column:
     # A raw line break or tab inside the quotes is no valid JSON.
     quoted = F.regexp_extract(found, r'(?s):[\s]*(".*")[\s]*\}\z', 1)
     value = F.when(~quoted.rlike(r"[\x00-\x1f]"), F.get_json_object(found, "$.search_query"))
-    salvaged = F.regexp_replace(strip(F.regexp_extract(response, QUERY_SALVAGE, 1)), r'\A"+|"+\z', "")
+    salvaged = _unquote(strip(F.regexp_extract(response, QUERY_SALVAGE, 1)), '"')
     return (
         F.when(found != "", F.coalesce(value, response))
         .when(response.rlike(QUERY_SALVAGE), salvaged)
@@ -107,7 +114,8 @@ def clean_task_content(content: Column, compat: bool = False) -> Column:
     """
     if compat:
         found = F.regexp_extract(content, rf"(?s)hi.*(?={GOLD_MARKS[0]})", 0)
-        return F.when(found != "", strip(found)).otherwise(content)
+        marked = F.contains(content, F.lit(GOLD_MARKS[0]))
+        return F.when(marked & (found != ""), strip(found)).otherwise(content)
     marks = "|".join(GOLD_MARKS)
     head = F.regexp_extract(content, rf"(?s)\A(.*)(?:{marks})", 1)
     return F.when(content.rlike(marks), strip(head)).otherwise(content)

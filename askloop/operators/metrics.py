@@ -312,7 +312,10 @@ def distinct_questions(df: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def to_long(df: DataFrame, run_id: str, stage: str, by: str | None = None) -> DataFrame:
-    """Wide metric rows as log rows ``run_id, dataset, stage, metric, value, value_str``."""
+    """Wide metric rows as log rows ``run_id, dataset, stage, metric, value, value_str``.
+
+    ``by`` names the column that tells the rows apart: ``dataset``, or another whose value is added to the stage.
+    """
     names = [c for c in df.columns if c != by]
     numeric = {f.name for f in df.schema if f.dataType.typeName() not in ("string", "boolean")}
     pairs = F.array(
@@ -325,9 +328,10 @@ def to_long(df: DataFrame, run_id: str, stage: str, by: str | None = None) -> Da
             for c in names
         ]
     )
-    dataset = F.col(by) if by else F.lit(None).cast("string")
-    long = df.select(dataset.alias("dataset"), F.explode(pairs).alias("_m"))
-    return long.select(F.lit(run_id).alias("run_id"), "dataset", F.lit(stage).alias("stage"), "_m.*")
+    dataset = F.col(by) if by == "dataset" else F.lit(None).cast("string")
+    named = F.concat_ws(" ", F.lit(stage), F.col(by).cast("string")) if by and by != "dataset" else F.lit(stage)
+    long = df.select(dataset.alias("dataset"), named.alias("stage"), F.explode(pairs).alias("_m"))
+    return long.select(F.lit(run_id).alias("run_id"), "dataset", "stage", "_m.*")
 
 
 def union_reports(*reports: DataFrame) -> DataFrame:

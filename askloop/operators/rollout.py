@@ -122,12 +122,18 @@ def _run(qa, model, config: RolloutConfig, prompts, last_free: int, last: int, j
             break
         questions = _next_questions(done, accepted, config, turn, inject_gold=turn == last_free and last > last_free)
 
-    base = path[: path.rindex("/turn=")]
     run = spark.read.schema(StructType([*schema.fields, StructField("turn", IntegerType())]))
-    run = run.option("basePath", base).parquet(*turns)
+    run = run.option("basePath", path[: path.rindex("/turn=")]).parquet(*turns)
     return run.select(*KEYS, "turn", "task_content", "answer", "rationale", "gold", *columns)
 
 
+def read_run(spark: SparkSession, base_path: str, run_id: str) -> DataFrame:
+    """The turns that a finished run left under ``base_path``."""
+    run = spark.read.parquet(f"{base_path}/run_id={run_id}")
+    verdicts = [c for c in ("verdict", "gate_output", "correct", "confidence_0", "confidence_1") if c in run.columns]
+    return run.select(*KEYS, "turn", "task_content", "answer", "rationale", "gold", *verdicts)
+
+
 def _settled(config: RolloutConfig | None, kind: str) -> RolloutConfig:
     config = config or RolloutConfig()
     return replace(
