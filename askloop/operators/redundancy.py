@@ -17,12 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askloop.functions.text import bind, word_counts, word_tokens
+from askloop.operators.skew import join_per_question
 from askloop.schemas import KEYS
 from askloop.session import materialize
 
 # A question is compared inside one row up to this many distinct rationales and this many elements in all.
 ROW_LIMIT = 64
 ELEMENT_LIMIT = 200_000
+# Size up to which a rationale is offered as a likely partner.
+OFFER_LIMIT = 2_000
 
 
 def answer_redundancy(df: DataFrame) -> DataFrame:
@@ -113,49 +116,72 @@ def _row_flags(vectors: DataFrame, threshold: int) -> DataFrame:
     return gathered.select(*KEYS, (F.col("n_copies") + F.size(redundant)).alias("n_redundant"))
 
 
+def _search(held: DataFrame, seekers: DataFrame, bucket: Column, tried: Column, best: Column, threshold: int) -> DataFrame:
+    """Seekers that stay without a partner after one comparison per tried bucket.
+
+    Each bucket of a question offers one rationale, the one with the largest ``best``: a maximum, which combines
+    map-side, so a bucket may hold any number of rows. Seekers that overlap a later offer are settled.
+    """
+    offers = (
+        held.withColumn("bucket", bucket)
+        .groupBy(*KEYS, "bucket")
+        .agg(F.max_by(F.struct("last", "elements"), best).alias("offer"))
+    )
+    settled = (
+        seekers.withColumn("bucket", F.explode(tried))
+        .join(offers, [*KEYS, "bucket"])
+        .filter((F.col("offer.last") > F.col("last")) & (_shared(F.col("offer.elements"), F.col("elements")) >= threshold))
+        .select(*KEYS, "last")
+        .distinct()
+    )
+    return materialize(seekers.join(settled, [*KEYS, "last"], "left_anti"), "rationale-seekers")
+
+
 def _hot_flags(vectors: DataFrame, threshold: int) -> DataFrame:
     """Questions with many distinct rationales, without gathering or pairing them off.
 
-    1. Probe: each rationale is compared with the latest rationale of the question and with the latest one that has
-       the same leading element. Both are per-key maxima, which combine map-side. This settles near copies.
-    2. The rest is joined on shared prefix elements (exact by ``_prefix``) to later rationales, and each candidate is
-       verified once.
+    A rationale needs only one later partner, so most are settled by a few likely ones. Bucketing the turns by their
+    distance from the last one in powers of two, each looks at the largest rationales of its own and the next later
+    buckets. Near copies look at the latest rationale with the same smallest hash. Whatever is left is joined on
+    shared prefix elements (exact by ``_prefix``) to all later rationales, and each candidate is verified once.
     """
-    held = materialize(vectors.withColumn("lead", F.col("elements")[0]), "rationales")
-    holder = F.struct("last", "elements")
-    latest = held.groupBy(*KEYS).agg(F.max_by(holder, "last").alias("probe"))
-    same_lead = held.groupBy(*KEYS, "lead").agg(F.max_by(holder, "last").alias("lead_probe"))
-
-    def settles(probe: str) -> Column:
-        return (F.col(f"{probe}.last") > F.col("last")) & (
-            _shared(F.col(f"{probe}.elements"), F.col("elements")) >= threshold
-        )
-
-    probed = held.join(same_lead, [*KEYS, "lead"]).withColumn("found", settles("lead_probe")).drop("lead_probe")
-    probed = probed.join(latest, KEYS).withColumn("found", F.col("found") | settles("probe"))
-    probed = materialize(probed.select(*KEYS, "last", "copies", "elements", "found"), "rationales-probed")
+    held = materialize(vectors, "rationales")
+    ends = held.groupBy(*KEYS).agg(F.max("last").alias("end"), F.count(F.lit(1)).alias("_rows"))
+    held = materialize(join_per_question(held, ends), "rationales-placed")
+
+    place = F.floor(F.log2(F.col("end") - F.col("last") + 1)).cast("bigint")
+    size = F.size("elements")
+    # Large partners overlap more; very large ones are only offered where there is nothing else.
+    large = F.when(size <= OFFER_LIMIT, size).otherwise(-size)
+    nearer = F.sequence(F.greatest(place - 3, F.lit(0)), place)
+    left = _search(held, held, place, nearer, large, threshold)
+    for seed in (1, 2):
+        smallest = F.array_min(F.transform("elements", lambda e: F.xxhash64(e, F.lit(seed))))
+        left = _search(held, left, smallest, F.array(smallest), F.col("last"), threshold)
 
     prefixed = F.explode(_prefix(F.col("elements"), threshold)).alias("element")
-    seekers = probed.filter(~F.col("found")).select(*KEYS, F.col("last").alias("seeker"), prefixed)
-    partners = probed.select(*KEYS, F.col("last").alias("partner"), prefixed)
     candidates = (
-        seekers.join(partners, [*KEYS, "element"])
+        left.select(*KEYS, F.col("last").alias("seeker"), prefixed)
+        .join(held.select(*KEYS, F.col("last").alias("partner"), prefixed), [*KEYS, "element"])
         .filter(F.col("partner") > F.col("seeker"))
         .select(*KEYS, "seeker", "partner")
         .distinct()
     )
-    texts = probed.select(*KEYS, F.col("last"), "elements")
-    verified = (
-        candidates.join(texts.select(*KEYS, F.col("last").alias("seeker"), F.col("elements").alias("a")), [*KEYS, "seeker"])
-        .join(texts.select(*KEYS, F.col("last").alias("partner"), F.col("elements").alias("b")), [*KEYS, "partner"])
+
+    def texts(table: DataFrame, role: str, name: str) -> DataFrame:
+        return table.select(*KEYS, F.col("last").alias(role), F.col("elements").alias(name))
+
+    found = (
+        candidates.join(texts(left, "seeker", "a"), [*KEYS, "seeker"])
+        .join(texts(held, "partner", "b"), [*KEYS, "partner"])
         .filter(_shared(F.col("a"), F.col("b")) >= threshold)
         .select(*KEYS, F.col("seeker").alias("last"))
         .distinct()
-        .withColumn("verified", F.lit(True))
     )
-    flagged = probed.select(*KEYS, "last", "copies", "found").join(verified, [*KEYS, "last"], "left")
-    one = (F.col("found") | F.coalesce("verified", F.lit(False))).cast("bigint")
-    return flagged.groupBy(*KEYS).agg(F.sum(F.col("copies") - 1 + one).cast("bigint").alias("n_redundant"))
+    alone = left.join(found, [*KEYS, "last"], "left_anti").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_alone"))
+    copies = held.groupBy(*KEYS).agg(F.sum("copies").alias("n_held"))
+    redundant = F.col("n_held") - F.coalesce("n_alone", F.lit(0))
+    return copies.join(alone, KEYS, "left").select(*KEYS, redundant.cast("bigint").alias("n_redundant"))
 
 
 def rationale_redundancy(

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -158,7 +160,11 @@ def build_vocabulary(df: DataFrame, text: str = "input", max_words: int = 32_000
 
 
 class VocabularyTokenizer:
-    """Word ids from a vocabulary table of at most ``max_words`` rows, checked before it is broadcast."""
+    """Word ids from a vocabulary table, with the end id last.
+
+    A vocabulary of at most ``max_words`` rows is sent to the tasks, which look whole Arrow batches up: no shuffle. A
+    larger one is joined.
+    """
 
     max_words = 262_144
 
@@ -166,33 +172,46 @@ class VocabularyTokenizer:
         fixed = vocabulary.sparkSession.createDataFrame([("0", ZERO), ("1", ONE)], "word string, token_id int")
         self.vocabulary = vocabulary.select("word", F.col("token_id").cast("int")).unionByName(fixed)
 
-    def _small(self) -> bool:
-        return self.vocabulary.limit(self.max_words + 1).count() <= self.max_words
-
     def ids(self, df: DataFrame, key: list[str], texts: dict[str, int]) -> DataFrame:
-        """``key`` plus one id array per text column, cut to the given length with the end id last.
-
-        A row's words are exploded, looked up and regrouped by the row key; the regrouping combines before the
-        shuffle, since all words of a row are in one task, and a row has at most the cut number of words.
-        """
-        words = F.array(
-            *[
-                F.struct(F.lit(name).alias("_text"), F.slice(tokens(F.col(name)), 1, length - 1).alias("_words"))
-                for name, length in texts.items()
-            ]
+        """``key`` plus one id array per text column, cut to the given length."""
+        words = df.select(
+            *key, *[F.slice(tokens(F.col(name)), 1, length - 1).alias(name) for name, length in texts.items()]
         )
-        listed = df.select(*key, F.explode(words).alias("_t")).select(
+        known = self.vocabulary.head(self.max_words + 1)
+        found = self._sent(words, key, list(texts), known) if len(known) <= self.max_words else self._joined(words, key, list(texts))
+        return found.select(*key, *[F.concat(name, F.array(F.lit(END))).alias(name) for name in texts])
+
+    def _sent(self, words: DataFrame, key: list[str], names: list[str], known: list) -> DataFrame:
+        table = words.sparkSession.sparkContext.broadcast(([r["word"] for r in known], [r["token_id"] for r in known]))
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known_words, known_ids = (pa.array(column) for column in table.value)
+            for batch in batches:
+                columns = [batch.column(k) for k in key]
+                for name in names:
+                    lists = batch.column(name)
+                    ids = pc.take(known_ids.cast(pa.int32()), pc.index_in(lists.flatten(), value_set=known_words))
+                    ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(lists), 0))
+                    offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends.cast(pa.int32())])
+                    columns.append(pa.ListArray.from_arrays(offsets, pc.fill_null(ids, UNKNOWN)))
+                yield pa.RecordBatch.from_arrays(columns, [*key, *names])
+
+        fields = [words.schema[k] for k in key] + [T.StructField(n, T.ArrayType(T.IntegerType())) for n in names]
+        return words.mapInArrow(look_up, T.StructType(fields))
+
+    def _joined(self, words: DataFrame, key: list[str], names: list[str]) -> DataFrame:
+        lists = F.array(*[F.struct(F.lit(n).alias("_text"), F.col(n).alias("_words")) for n in names])
+        listed = words.select(*key, F.explode(lists).alias("_t")).select(
             *key, "_t._text", F.posexplode_outer("_t._words").alias("_pos", "word")
         )
-        table = F.broadcast(self.vocabulary) if self._small() else self.vocabulary
-        found = listed.join(table, "word", "left").withColumn("token_id", F.coalesce("token_id", F.lit(UNKNOWN)))
+        found = listed.join(self.vocabulary, "word", "left").withColumn("token_id", F.coalesce("token_id", F.lit(UNKNOWN)))
 
         def column(name: str) -> Column:
             wanted = (F.col("_text") == name) & F.col("_pos").isNotNull()
             placed = F.sort_array(F.collect_list(F.when(wanted, F.struct("_pos", "token_id"))))
-            return F.concat(F.transform(placed, lambda p: p["token_id"]), F.array(F.lit(END))).alias(name)
+            return F.transform(placed, lambda p: p["token_id"]).alias(name)
 
-        return found.groupBy(*key).agg(*[column(name) for name in texts])
+        return found.groupBy(*key).agg(*[column(name) for name in names])
 
 
 class CallableTokenizer:
