@@ -97,7 +97,7 @@ def search_query(response: Column) -> Column:
 def final_paren_number(response: Column, compat: bool = False) -> Column:
     """The number in closing parentheses, else the last number, as text without leading zeros.
 
-    A response without any number has no answer (null); ``compat`` gives -1, as the plain script does.
+    A response without any number has no answer (null); ``compat`` gives -1, which normalises to the choice "1".
     """
     closing = F.regexp_extract(response, PAREN_NUMBER, 1)
     last = F.try_element_at(F.regexp_extract_all(response, F.lit(DIGITS), F.lit(0)), F.lit(-1))

@@ -30,16 +30,25 @@ class Model:
     """Answers ``system``/``task_content`` rows through a user callable, in batches of ``batch_size``.
 
     ``load`` runs on the executors and returns the callable. Rows are sorted by length inside each partition, so a
-    batch holds texts of similar length and wastes little padding.
+    batch holds texts of similar length and wastes little padding. ``partitions`` spreads the rows evenly over that
+    many tasks first: worth a shuffle of the open questions where the model is slow, as later turns are small tables.
     """
 
-    def __init__(self, load: Callable[[], BatchModel], name: str = "reasoner", batch_size: int = 8):
-        self.load, self.name, self.batch_size = load, name, batch_size
+    def __init__(
+        self,
+        load: Callable[[], BatchModel],
+        name: str = "reasoner",
+        batch_size: int = 8,
+        partitions: int | None = None,
+    ):
+        self.load, self.name, self.batch_size, self.partitions = load, name, batch_size, partitions
 
     def respond(self, df: DataFrame, turn: int) -> DataFrame:
         load, name, size = self.load, self.name, self.batch_size
         system = F.col("system") if "system" in df.columns else None
         asked = df.withColumn("messages", chat_messages(system, F.col("task_content")))
+        if self.partitions:
+            asked = asked.repartition(self.partitions, *KEYS)
         asked = asked.sortWithinPartitions(F.length("task_content"))
         settings = [c for c in ("temperature", "top_p", "max_tokens") if c in df.columns]
 

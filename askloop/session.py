@@ -14,7 +14,10 @@ _local_roots: dict[str, str] = {}
 
 
 def get_session(app: str = "askloop", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with adaptive execution, skew-join splitting and UTC time. On a cluster leave ``master`` unset."""
+    """A session with adaptive execution, skew-join splitting and UTC time. On a cluster leave ``master`` unset.
+
+    Further settings are given with ``__`` for the dot, such as ``spark__sql__shuffle__partitions="20000"``.
+    """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")

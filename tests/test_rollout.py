@@ -137,6 +137,12 @@ def test_model_gets_settings_and_batches(spark, qa):
     assert sorted(r.response for r in rows) == ["7|0.6|256"] * 7 + ["8|0.6|256"] * 16
 
 
+def test_model_rows_can_be_spread(spark, qa):
+    asked = qa.select("dataset", "id", F.col("question").alias("task_content")).coalesce(1)
+    rows = models.Model(load_model, "reply", partitions=5).respond(asked, 1)
+    assert rows.rdd.getNumPartitions() == 5 and rows.count() == len(QUESTIONS)
+
+
 def test_missing_replay_counts_as_no_answer(spark, qa):
     replay = models.Replay(spark.createDataFrame([("d", "q1", 1, "Answer: 1\nRationale: r")], RESPONSES))
     done = run_graded(qa, replay, RolloutConfig("gradual", "OEQ", max_turns=1, force_rationale=False))
