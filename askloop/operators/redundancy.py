@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askloop.functions.text import bind, word_counts, word_tokens
-from askloop.operators.skew import join_per_question
+from askloop.operators.skew import HOT_ROWS, join_per_question
 from askloop.schemas import KEYS
 from askloop.session import materialize
 
@@ -137,7 +137,7 @@ def _search(held: DataFrame, seekers: DataFrame, bucket: Column, tried: Column,
     return materialize(seekers.join(settled, [*KEYS, "last"], "left_anti"), "rationale-seekers")
 
 
-def _hot_flags(vectors: DataFrame, threshold: int) -> DataFrame:
+def _hot_flags(held: DataFrame, threshold: int, hot_rows: int) -> DataFrame:
     """Questions with many distinct rationales, without gathering or pairing them off.
 
     A rationale needs only one later partner, so most are settled by a few likely ones. Bucketing the turns by their
@@ -145,9 +145,8 @@ def _hot_flags(vectors: DataFrame, threshold: int) -> DataFrame:
     buckets. Near copies look at the latest rationale with the same smallest hash. Whatever is left is joined on
     shared prefix elements (exact by ``_prefix``) to all later rationales, and each candidate is verified once.
     """
-    held = materialize(vectors, "rationales")
     ends = held.groupBy(*KEYS).agg(F.max("last").alias("end"), F.count(F.lit(1)).alias("_rows"))
-    held = materialize(join_per_question(held, ends), "rationales-placed")
+    held = materialize(join_per_question(held, ends, hot_rows), "rationales-placed")
 
     place = F.floor(F.log2(F.col("end") - F.col("last") + 1)).cast("bigint")
     size = F.size("elements")
@@ -185,21 +184,24 @@ def _hot_flags(vectors: DataFrame, threshold: int) -> DataFrame:
 
 
 def rationale_redundancy(
-    df: DataFrame, threshold: int = 20, overlap: str = "bitand", row_limit: int = ROW_LIMIT
+    df: DataFrame,
+    threshold: int = 20,
+    overlap: str = "bitand",
+    row_limit: int = ROW_LIMIT,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Per question: non-null rationales, and those that a later one overlaps. (dataset, id, turn) is unique."""
     vectors = materialize(_distinct_vectors(df, threshold, overlap), "rationale-sets")
+    rows, elements = F.count(F.lit(1)), F.sum(F.size("elements").cast("bigint"))
     sizes = vectors.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("_rows"), F.sum(F.size("elements").cast("bigint")).alias("_elements")
+        rows.alias("_rows"), ((rows > row_limit) | (elements > ELEMENT_LIMIT)).alias("many")
     )
-    hot = sizes.filter((F.col("_rows") > row_limit) | (F.col("_elements") > ELEMENT_LIMIT)).select(*KEYS)
-    if hot.isEmpty():
+    if sizes.filter("many").isEmpty():
         flags = _row_flags(vectors, threshold)
     else:
-        hot = materialize(hot, "hot-questions")
-        flags = _row_flags(vectors.join(hot, KEYS, "left_anti"), threshold).unionByName(
-            _hot_flags(vectors.join(hot, KEYS, "left_semi"), threshold)
-        )
+        sized = materialize(join_per_question(vectors, sizes, hot_rows), "rationale-sets-sized")
+        small, large = sized.filter(~F.col("many")).drop("many"), sized.filter("many").drop("many")
+        flags = _row_flags(small, threshold).unionByName(_hot_flags(large, threshold, hot_rows))
     totals = df.groupBy(*KEYS).agg(F.count("rationale").alias("n_rationales"))
     return totals.join(flags, KEYS, "left").withColumn(
         "n_redundant", F.coalesce("n_redundant", F.lit(0)).cast("bigint")

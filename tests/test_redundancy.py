@@ -39,11 +39,12 @@ def test_rationales_against_brute_force(spark, threshold, how, row_limit):
     }
 
 
-def test_a_question_with_a_third_of_all_rows(spark):
+@pytest.mark.parametrize("hot_rows", [100, 100_000])
+def test_a_question_with_a_third_of_all_rows(spark, hot_rows):
     rng = random.Random(11)
     groups = {f"g{i}": texts(rng, 4, 200, 40) for i in range(150)}
     groups["hot"] = texts(rng, 300, 400, 60)
-    got = redundancy.rationale_redundancy(table(spark, groups), 12).collect()
+    got = redundancy.rationale_redundancy(table(spark, groups), 12, hot_rows=hot_rows).collect()
     want = {g: plain.redundant(held, 12) for g, held in groups.items()}
     assert {r.id: r.n_redundant for r in got} == want
     assert 0 < want["hot"] < 300
@@ -65,3 +66,13 @@ def test_answers(spark):
     assert share.percent == pytest.approx(500 / 9)
     empty = redundancy.redundancy_share(counts.filter(F.lit(False)), "n_rows").first()
     assert empty.percent == 0
+
+
+def test_near_copies_after_which_unrelated_texts_follow(spark):
+    """Copies that no block offer settles: the last rows of the question share nothing with them."""
+    rng = random.Random(5)
+    base = [f"c{i}" for i in range(60)]
+    held = [" ".join(rng.sample(base, 57)) for _ in range(200)]
+    held += [" ".join(f"u{k}x{i}" for i in range(80)) for k in range(100)]
+    got = redundancy.rationale_redundancy(table(spark, {"hot": held}), 40).first()
+    assert got.n_redundant == plain.redundant(held, 40) == 199
