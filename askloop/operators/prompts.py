@@ -28,6 +28,8 @@ SAMPLING = {
     ("self_critic", "critic"): (0.0, 0.9),
 }
 MAX_TOKENS = 256
+# Question types per phase up to which prompts are written into the plan.
+MAX_TYPES = 100
 
 # Fixed value: the instruction in front of every gate input, which a trained gate expects word for word.
 GATE_INSTRUCTION = (
@@ -103,15 +105,21 @@ def _system_text(setting: str, question_type: str, phase: str) -> str:
     return text + _FORMAT.format(alternative=other)
 
 
-def default_prompts(spark: SparkSession) -> DataFrame:
-    """One row per (setting, question_type, phase): system text with an optional ``{answer}`` slot, and sampling."""
-    rows = [
+def _prompt_rows() -> list[tuple]:
+    return [
         (setting, question_type, phase, _system_text(setting, question_type, phase), *sampling, MAX_TOKENS)
         for (setting, phase), sampling in SAMPLING.items()
         if setting in SETTINGS
         for question_type in QUESTION_TYPES
     ]
-    return spark.createDataFrame(rows, PROMPTS)
+
+
+def default_prompts(spark: SparkSession) -> DataFrame:
+    """One row per (setting, question_type, phase): system text with an optional ``{answer}`` slot, and sampling.
+
+    The table to start from when writing one's own.
+    """
+    return spark.createDataFrame(_prompt_rows(), PROMPTS)
 
 
 def critic_steps(spark: SparkSession) -> DataFrame:
@@ -125,14 +133,26 @@ def critic_steps(spark: SparkSession) -> DataFrame:
 def with_prompt(df: DataFrame, phase: str, setting: str, prompts: DataFrame | None = None) -> DataFrame:
     """Add ``system``, ``temperature``, ``top_p`` and ``max_tokens`` for the question type of each row.
 
-    The built-in table has one row per (setting, type, phase), a fixed two dozen, so it is broadcast. A table of the
-    user's carries no hint: Spark broadcasts it only if its size allows.
+    One phase of one setting has a row per question type, so the choice is a few literals in the projection. Only a
+    user's table with more than ``MAX_TYPES`` of them is joined.
     """
-    table = default_prompts(df.sparkSession) if prompts is None else prompts
-    table = table.filter((F.col("setting") == setting) & (F.col("phase") == phase)).drop("setting", "phase")
-    joined = df.join(F.broadcast(table) if prompts is None else table, "question_type", "left")
+    names = ["system", "temperature", "top_p", "max_tokens"]
+    if prompts is None:
+        rows = [row[1:2] + row[3:] for row in _prompt_rows() if (row[0], row[2]) == (setting, phase)]
+    else:
+        table = prompts.filter((F.col("setting") == setting) & (F.col("phase") == phase)).select("question_type", *names)
+        rows = table.head(MAX_TYPES + 1)
+    if len(rows) > MAX_TYPES:
+        chosen = df.join(table, "question_type", "left")
+    else:
+        chosen = df.withColumns({name: _choose(rows, k + 1) for k, name in enumerate(names)})
     gold = F.coalesce(F.get(F.col("gold"), F.lit(0)), F.lit(""))
-    return joined.withColumn("system", F.replace(F.col("system"), F.lit("{answer}"), gold))
+    return chosen.withColumn("system", F.replace(F.col("system"), F.lit("{answer}"), gold))
+
+
+def _choose(rows: list, place: int) -> Column:
+    options = [F.when(F.col("question_type") == row[0], F.lit(row[place])) for row in rows]
+    return F.coalesce(*options, F.lit(None))
 
 
 def initial_content(question: Column, setting: str) -> Column:

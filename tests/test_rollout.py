@@ -214,3 +214,14 @@ def test_user_prompts_replace_the_built_in_ones(spark, qa):
     table = spark.createDataFrame([("gradual", "OEQ", "first", "be {answer}", 0.5, 0.5, 9)], prompts.PROMPTS)
     asked = prompts.with_prompt(qa.withColumn("question_type", F.lit("OEQ")), "first", "gradual", table)
     assert {r.system for r in asked.collect()} == {f"be {i}" for i in range(4)}
+    # A table with very many question types is joined.
+    many = [("gradual", f"t{i}", "first", f"say {i}", 0.5, 0.5, 9) for i in range(200)]
+    typed = qa.withColumn("question_type", F.concat(F.lit("t"), F.col("row_index").cast("string")))
+    asked = prompts.with_prompt(typed, "first", "gradual", spark.createDataFrame(many, prompts.PROMPTS))
+    assert {r.row_index: r.system for r in asked.collect()} == {i: f"say {i}" for i in range(len(QUESTIONS))}
+
+
+def test_prompts_need_no_join(spark, qa):
+    asked = prompts.with_prompt(qa.withColumn("question_type", F.lit("OEQ")), "first", "gradual")
+    assert "Join" not in asked._jdf.queryExecution().executedPlan().toString()
+    assert {r.max_tokens for r in prompts.default_prompts(spark).collect()} == {256}
