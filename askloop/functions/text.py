@@ -91,18 +91,20 @@ def word_counts(words: Column) -> Column:
 
 
 def numbered_words(words: Column) -> Column:
-    """The word list as a set: the k-th repeat of a word becomes ``word k``.
+    """The word list as a set: the k-th repeat of a word becomes ``word k``, from the second on.
 
-    The multiset intersection of two lists is then the plain ``array_intersect`` of the two sets, which hashes.
+    The multiset intersection of two lists is then the plain ``array_intersect`` of the two sets, which hashes. A list
+    without repeats, as most short answers are, is its own set.
     """
-    return F.flatten(
-        F.transform(
-            word_counts(words),
-            lambda r: F.transform(
-                F.sequence(F.lit(1), r["n"]), lambda k: F.concat(r["word"], F.lit(" "), k.cast("string"))
-            ),
-        )
-    )
+
+    def spread(r: Column) -> Column:
+        again = F.transform(F.sequence(F.lit(2), r["n"]), lambda k: F.concat(r["word"], F.lit(" "), k.cast("string")))
+        return F.when(r["n"] == 1, F.array(r["word"])).otherwise(F.concat(F.array(r["word"]), again))
+
+    def numbered(ws: Column) -> Column:
+        return F.flatten(F.transform(word_counts(ws), spread))
+
+    return bind(words, lambda ws: F.when(F.size(F.array_distinct(ws)) == F.size(ws), ws).otherwise(numbered(ws)))
 
 
 def token_f1(answer: Column, gold: Column) -> Column:
