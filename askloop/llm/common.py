@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -150,6 +151,37 @@ def pack(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "text
     return narrow.mapInArrow(packed, "shard int, docs binary")
 
 
+def slices(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[Docs]:
+    """The (doc_id, text) rows of ``batches``, about ``limit`` bytes of text at a time."""
+    for batch in batches:
+        sizes = np.cumsum(np.append(0, pa.compute.binary_length(batch.column(1).fill_null("")).to_numpy()))
+        at = 0
+        while at < len(batch):
+            end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + limit)) - 1)
+            yield docs_of(batch.column(0)[at:end], batch.column(1)[at:end])
+            at = end
+
+
+def id_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+
+def ids_array(ids: np.ndarray) -> pa.Array:
+    return pa.array(ids, pa.int64(), mask=ids == NO_ID)
+
+
+def shingles(docs: Docs, size: int = 5, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, document, first word) of every run of ``size`` words; a document with fewer words has one run of all."""
+    _, _, words, counts = docs.words(lower)
+    ends = np.cumsum(counts)
+    firsts = ends - counts
+    runs = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
+    doc = np.repeat(np.arange(len(docs)), runs)
+    start = np.arange(len(doc)) - np.repeat(np.cumsum(runs) - runs, runs) + np.repeat(firsts, runs)
+    end = np.minimum(start + size, ends[doc])
+    return hasher(2).runs(words, start, end), doc, start
+
+
 # --- Questions and answers ------------------------------------------------------------------------------------------
 
 

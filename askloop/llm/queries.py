@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloop.llm import pieces
+from askloop.llm import containment, language, pieces
 
 QUERIES = {}
 ORACLE = {}
@@ -33,3 +33,18 @@ def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op4_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    model = language.train(docs.filter(F.coalesce(~held_out, F.lit(True))))
+    predicted = language.predict(docs, model)
+    return predicted.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_containment(spark: SparkSession, sf: str) -> DataFrame:
+    found = containment.find(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
