@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloop.llm import containment, language, pieces
+from askloop.llm import containment, dualtree, language, pieces
 
 QUERIES = {}
 ORACLE = {}
@@ -48,3 +48,22 @@ def op4_language(spark: SparkSession, sf: str) -> DataFrame:
 def op10_containment(spark: SparkSession, sf: str) -> DataFrame:
     found = containment.find(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
+
+
+@query
+def op8_dualtree(spark: SparkSession, sf: str) -> DataFrame:
+    return dualtree.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLE["op8_dualtree"] = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(CAST(q.vec AS DOUBLE[]), CAST(d.vec AS DOUBLE[])) AS BIGINT) AS score
+  FROM whole q JOIN whole d ON d.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score
+FROM scored QUALIFY "rank" <= 5
+"""
