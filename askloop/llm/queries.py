@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloop.llm import containment, dualtree, language, pieces
+from askloop.llm import containment, dualtree, language, pieces, secrets
 
 QUERIES = {}
 ORACLE = {}
@@ -67,3 +67,10 @@ scored AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score
 FROM scored QUALIFY "rank" <= 5
 """
+
+
+@query
+def op5_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    found = secrets.by_document(table(spark, sf, "documents"))
+    digest = F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", digest, "spans", "n_bare", "n_live", "n_example", "n_weak")
