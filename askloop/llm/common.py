@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACK_BYTES = 16 << 20
+PIECE_BYTES = 1 << 20
 NO_ID = np.iinfo(np.int64).min
 U64 = np.uint64
 #: Bytes that separate words.
@@ -96,12 +97,21 @@ class Docs:
 
     def words(self, lower: bool = False, seed: int = 1):
         """Start, end and hash of each word, and the number of words of each document."""
-        data = LOWER[self.data] if lower else self.data
-        edge = np.diff(IS_WORD[data].astype(np.int8), prepend=np.int8(0))
-        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        hashed = hasher(seed)
+        parts, at = [], 0
+        while at < len(self.data):  # pieces of about a megabyte that end at a blank
+            end = min(at + PIECE_BYTES, len(self.data))
+            while end < len(self.data) and IS_WORD[self.data[end - 1]]:
+                more = np.flatnonzero(~IS_WORD[self.data[end : end + PIECE_BYTES]])
+                end = end + int(more[0]) + 1 if len(more) else min(end + PIECE_BYTES, len(self.data))
+            data = LOWER[self.data[at:end]] if lower else self.data[at:end]
+            edge = np.diff(IS_WORD[data].astype(np.int8), prepend=np.int8(0))
+            starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            hashed = hasher(seed)
+            parts.append((starts + at, ends + at, hashed.runs(hashed.of_byte[data], starts, ends)))
+            at = end
+        starts, ends, hashes = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
         counts = np.searchsorted(starts, self.ends) - np.searchsorted(starts, self.starts)
-        return starts, ends, hashed.runs(hashed.of_byte[data], starts, ends), counts
+        return starts, ends, hashes, counts
 
 
 def docs_of(ids: pa.Array, texts: pa.Array) -> Docs:
@@ -202,48 +212,57 @@ def split_at(values: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(values, edges), [len(values)]])
 
 
-def unique_counts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct values and how often each occurs."""
-    values = np.sort(values)
-    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-    return values[first], np.diff(np.append(first, len(values)))
-
-
-ASKED = "bucket int, shard int, body binary"
+class Asked:
+    """Sorted distinct values of a shard, each a number with an optional 32-bit tag, and which of them recur in the shard."""
+
+    def __init__(self, numbers: np.ndarray, tags: np.ndarray | None = None):
+        order = np.argsort(numbers, kind="stable") if tags is None else np.lexsort((tags, numbers))
+        sorted_numbers = numbers[order]
+        new = np.ones(len(order), bool)
+        new[1:] = sorted_numbers[1:] != sorted_numbers[:-1]
+        if tags is not None:
+            sorted_tags = tags[order]
+            new[1:] |= sorted_tags[1:] != sorted_tags[:-1]
+        first = np.flatnonzero(new)
+        self.numbers = sorted_numbers[first]
+        self.tags = None if tags is None else sorted_tags[first]
+        self.first = order[first]
+        self.repeated = np.diff(np.append(first, len(order))) > 1
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.cumsum(new) - 1
+
+    def rows(self, shard: int, buckets: int, bits: int) -> pa.Table:
+        """One row for each bucket that the values reach."""
+        cuts = split_at(self.numbers, buckets, bits)
+        some = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+        tags = None if self.tags is None else [self.tags[cuts[b] : cuts[b + 1]].tobytes() for b in some]
+        return pa.table({
+            "bucket": pa.array(some, pa.int32()),
+            "shard": pa.array([shard] * len(some), pa.int32()),
+            "body": pa.array([pack_sorted(self.numbers[cuts[b] : cuts[b + 1]]) for b in some], pa.binary()),
+            "tags": pa.array(tags or [None] * len(some), pa.binary()),
+        })
+
+    def shared(self, answers: list[tuple[int, bytes]], buckets: int, bits: int) -> np.ndarray:
+        """Which values occur more than once anywhere, given the answers to ``rows``."""
+        cuts, out = split_at(self.numbers, buckets, bits), self.repeated.copy()
+        for bucket, body in answers:
+            a, b = cuts[bucket], cuts[bucket + 1]
+            out[a:b] |= np.unpackbits(np.frombuffer(body, np.uint8), count=b - a).astype(bool)
+        return out
+
+
+ASKED = "bucket int, shard int, body binary, tags binary"
 ANSWERED = "shard int, bucket int, bits binary"
 
 
-def ask(shard: int, values: np.ndarray, buckets: int, bits: int) -> pa.Table:
-    """One row for each bucket that sorted distinct ``values`` reach."""
-    cuts = split_at(values, buckets, bits)
-    some = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-    return pa.table({
-        "bucket": pa.array(some, pa.int32()),
-        "shard": pa.array([shard] * len(some), pa.int32()),
-        "body": pa.array([pack_sorted(values[cuts[b] : cuts[b + 1]]) for b in some], pa.binary()),
-    })
-
-
-def shared_values(asked: pa.Table) -> pa.Table:
-    """For each asked value of a bucket one bit: does another shard ask for it too?"""
-    order = np.argsort(asked.column("shard").to_numpy(), kind="stable")
-    asked = asked.take(pa.array(order))
+def answer(asked: pa.Table) -> pa.Table:
+    """For each value of a bucket one bit: does another shard ask for it too?"""
     parts = [unpack_sorted(b) for b in asked.column("body").to_pylist()]
-    values = np.concatenate(parts)
-    by_value = np.argsort(values, kind="stable")
-    same = np.diff(values[by_value]) == 0
-    shared = np.zeros(len(values), bool)
-    shared[by_value[1:][same]] = True
-    shared[by_value[:-1][same]] = True
+    numbers = np.concatenate(parts)
+    tags = asked.column("tags").to_pylist()
+    every = Asked(numbers, None if tags[0] is None else np.frombuffer(b"".join(tags), np.uint32))
+    shared = every.repeated[every.place]
     cuts = np.cumsum([0, *map(len, parts)])
     bits = [np.packbits(shared[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
     return pa.table({"shard": asked.column("shard"), "bucket": asked.column("bucket"), "bits": pa.array(bits, pa.binary())})
-
-
-def read_bits(answers: list[tuple[int, bytes]], values: np.ndarray, buckets: int, bits: int) -> np.ndarray:
-    """The answers for sorted ``values``, as a shard asked for them."""
-    cuts, out = split_at(values, buckets, bits), np.zeros(len(values), bool)
-    for bucket, body in answers:
-        a, b = cuts[bucket], cuts[bucket + 1]
-        out[a:b] = np.unpackbits(np.frombuffer(body, np.uint8), count=b - a)
-    return out

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloop.llm import containment, dualtree, language, pieces, secrets
+from askloop.llm import containment, dualtree, language, pieces, repeats, secrets
 
 QUERIES = {}
 ORACLE = {}
@@ -74,3 +74,9 @@ def op5_secrets(spark: SparkSession, sf: str) -> DataFrame:
     found = secrets.by_document(table(spark, sf, "documents"))
     digest = F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256")
     return found.select("doc_id", "n_assign", "n_access", "n_hex", digest, "spans", "n_bare", "n_live", "n_example", "n_weak")
+
+
+@query
+def op9_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    kept = repeats.remove_repeats(table(spark, sf, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
