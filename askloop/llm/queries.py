@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloop.llm import containment, dualtree, language, pieces, repeats, secrets
+from askloop.llm import containment, dualtree, language, pieces, repeats, secrets, suffixes
 
 QUERIES = {}
 ORACLE = {}
@@ -80,3 +80,11 @@ def op5_secrets(spark: SparkSession, sf: str) -> DataFrame:
 def op9_repeats(spark: SparkSession, sf: str) -> DataFrame:
     kept = repeats.remove_repeats(table(spark, sf, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op3_suffixes(spark: SparkSession, sf: str) -> DataFrame:
+    kept = suffixes.remove_strings(table(spark, sf, "documents"))
+    return kept.select(
+        "doc_id", "n_bytes", "n_removed", F.size("starts").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
