@@ -133,32 +133,41 @@ def unpack_docs(blob: bytes) -> Docs:
     return Docs(ids, sizes, np.frombuffer(raw, np.uint8, offset=8 + 16 * n))
 
 
-def pack(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(shard, docs): every document, compressed with others of its shard."""
+def pack(docs: DataFrame, shards: int, label: str | None = None) -> DataFrame:
+    """(shard, docs, labels): every document, compressed with others of its shard, and the value of a column for each."""
     narrow = docs.select(
-        F.pmod(F.xxhash64(F.col(doc_id).cast("bigint")), F.lit(shards)).cast("int").alias("shard"),
-        F.col(doc_id).cast("bigint").alias("doc_id"),
-        F.col(text).cast("string").alias("text"),
+        shard_of("doc_id", shards),
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+        (F.col(label) if label else F.lit(None)).cast("string").alias("label"),
     )
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = {}, 0
 
         def flush():
-            blobs = [pack_docs(docs_of(pa.array([i for i, _ in x], pa.int64()), pa.array([t for _, t in x], pa.string()))) for x in held.values()]
-            return pa.record_batch({"shard": pa.array(list(held), pa.int32()), "docs": pa.array(blobs, pa.binary())})
+            blobs = [pack_docs(docs_of(pa.array(ids, pa.int64()), pa.array(texts, pa.string()))) for ids, texts, _ in held.values()]
+            return pa.record_batch({
+                "shard": pa.array(list(held), pa.int32()), "docs": pa.array(blobs, pa.binary()),
+                "labels": pa.array([x if label else None for _, _, x in held.values()], pa.list_(pa.string())),
+            })
 
         for batch in batches:
-            for shard, i, t in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                held.setdefault(shard, []).append((i, t))
-                size += len(t or "") + 16
+            for shard, *row in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                for values, value in zip(held.setdefault(shard, ([], [], [])), row):
+                    values.append(value)
+                size += len(row[1] or "") + 16
                 if size >= PACK_BYTES:
                     yield flush()
                     held, size = {}, 0
         if held:
             yield flush()
 
-    return narrow.mapInArrow(packed, "shard int, docs binary")
+    return narrow.mapInArrow(packed, "shard int, docs binary, labels array<string>")
+
+
+def shard_of(doc_id: str, shards: int):
+    return F.pmod(F.xxhash64(F.col(doc_id).cast("bigint")), F.lit(shards)).cast("int").alias("shard")
 
 
 def slices(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[Docs]:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloop.llm import containment, dualtree, language, pieces, repeats, secrets, suffixes
+from askloop.llm import containment, dualtree, jaccard, language, pieces, repeats, secrets, suffixes
 
 QUERIES = {}
 ORACLE = {}
@@ -88,3 +88,8 @@ def op3_suffixes(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select(
         "doc_id", "n_bytes", "n_removed", F.size("starts").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query
+def op7_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.join(table(spark, sf, "documents"))
