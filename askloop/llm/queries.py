@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloop.llm import containment, dualtree, jaccard, language, pieces, repeats, secrets, suffixes
+from askloop.llm import containment, dualtree, jaccard, language, pieces, quality, repeats, secrets, suffixes
 
 QUERIES = {}
 ORACLE = {}
@@ -93,3 +93,11 @@ def op3_suffixes(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op7_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.join(table(spark, sf, "documents"))
+
+
+@query
+def op6_kneser_ney(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels")).select(
+        "doc_id", "lang", "n_bytes", F.round("perplexity", 6).alias("perplexity"), F.round("score", 6).alias("score"),
+        F.round("threshold", 6).alias("threshold"), "keep",
+    )
