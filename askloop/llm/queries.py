@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    back = pieces.decode(pieces.encode(docs, path), path)
+    back = pieces.encode(docs, path, decoded="decoded")
     decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
     return back.select(
         "doc_id",
