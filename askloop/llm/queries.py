@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloop.llm import containment, dualtree, jaccard, language, pieces, quality, repeats, secrets, suffixes
+from askloop.llm import containment, dualtree, jaccard, language, pieces, quality, repeats, secrets, suffixes, toxicity
 
 QUERIES = {}
 ORACLE = {}
@@ -101,3 +101,8 @@ def op6_kneser_ney(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "lang", "n_bytes", F.round("perplexity", 6).alias("perplexity"), F.round("score", 6).alias("score"),
         F.round("threshold", 6).alias("threshold"), "keep",
     )
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
