@@ -129,6 +129,6 @@ def _finder(ids, texts, threshold):
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """``docs`` without the documents that contain an item."""
-    found = find(docs, items, threshold).select("doc_id").distinct()
-    return docs.join(found.withColumnRenamed("doc_id", "__found"), F.col("doc_id").eqNullSafe(F.col("__found")), "left_anti")
+    """``docs`` without the documents that contain an item. Rows without an id cannot be named and stay."""
+    found = find(docs, items, threshold).select(F.col("doc_id").alias("__found")).distinct()
+    return docs.join(found, F.col("doc_id") == F.col("__found"), "left_anti")

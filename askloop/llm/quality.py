@@ -243,6 +243,6 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id has a rejected text."""
+    """``docs`` without the rows whose id has a rejected text. Rows without an id cannot be named and stay."""
     rejected = classify(docs, labels).filter("NOT keep").select(F.col("doc_id").alias("__rejected")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("__rejected")), "left_anti")
+    return docs.join(rejected, F.col("doc_id") == F.col("__rejected"), "left_anti")

@@ -32,7 +32,7 @@ from askloop.session import materialize
 FEATURE_BITS = 18
 SAMPLE_ROWS = 12_000
 FOLDS = 3
-REGULARISATION = 0.002
+REGULARISATION = 0.0005
 LEADING = (4, 5, 6, 7, 8)
 IS_LETTER = np.zeros(256, np.int8)
 IS_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
@@ -40,8 +40,8 @@ KIND = IS_LETTER.copy()  # 1 letters, 2 other marks, 0 blanks
 KIND[[c for c in range(33, 127) if not IS_LETTER[c]]] = 2
 
 
-def tokens(docs: Docs) -> tuple[np.ndarray, np.ndarray]:
-    """(feature, document) of every token and leading part; features are below 2 ** FEATURE_BITS."""
+def tokens(docs: Docs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, document) of every token and leading part, and what one token is worth in each document."""
     data = LOWER[docs.data]
     kind = KIND[data]
     starts = np.flatnonzero((kind != 0) & np.append(True, kind[1:] != kind[:-1]))
@@ -54,7 +54,8 @@ def tokens(docs: Docs) -> tuple[np.ndarray, np.ndarray]:
         long = letters & (ends - starts > size)
         parts.append((hashed.runs(values, starts[long], starts[long] + size) + np.uint64(size), owner[long]))
     features, owners = (np.concatenate(x) for x in zip(*parts))
-    return (features >> np.uint64(64 - FEATURE_BITS)).astype(np.int64), owners
+    share = 100 / np.maximum(np.bincount(owner, minlength=len(docs)), 1)
+    return (features >> np.uint64(64 - FEATURE_BITS)).astype(np.int64), owners, share
 
 
 def _counted(df: DataFrame) -> DataFrame:
@@ -62,14 +63,14 @@ def _counted(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for docs in slices(batches):
-            feature, owner = tokens(docs)
+            feature, owner, share = tokens(docs)
             keys, counts = np.unique(owner << FEATURE_BITS | feature, return_counts=True)
             ends = np.searchsorted(keys >> FEATURE_BITS, np.arange(len(docs) + 1))
             bounds = pa.array(ends, pa.int32())
             yield pa.record_batch({
                 "doc_id": ids_array(docs.ids),
                 "features": pa.ListArray.from_arrays(bounds, pa.array((keys & (1 << FEATURE_BITS) - 1).astype(np.int32))),
-                "counts": pa.ListArray.from_arrays(bounds, pa.array(counts.astype(np.float64))),
+                "counts": pa.ListArray.from_arrays(bounds, pa.array(counts * share[keys >> FEATURE_BITS])),
             })
 
     return id_text(df).mapInArrow(run, "doc_id bigint, features array<int>, counts array<double>")
@@ -156,10 +157,10 @@ def predict(docs: DataFrame, chain: list[Link], names: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = [link.dense() for link in chain]
         for part in slices(batches, 1 << 20):
-            feature, owner = tokens(part)
+            feature, owner, share = tokens(part)
             found: list[np.ndarray] = []
             for link, w in zip(chain, weights):
-                total = np.bincount(owner, w[feature], len(part)) + link.intercept
+                total = np.bincount(owner, w[feature], len(part)) * share + link.intercept
                 for p, v in zip(found, link.earlier):
                     total = total + p * v
                 found.append(1 / (1 + np.exp(-np.clip(total, -500, 500))))
