@@ -35,6 +35,9 @@ SLOT_BITS = 19
 ASKED = "bucket int, shard int, grams binary, counts binary"
 ANSWERED = "shard int, bucket int, bits binary"
 SCORED = "doc_id bigint, lang string, trusted boolean, n_bytes bigint, bits double"
+NO_QUESTION = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
+NO_SCORE = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("trusted", pa.bool_()), ("n_bytes", pa.int64()), ("bits", pa.float64())])
+MASK = (1 << 64) - 1
 
 
 def codes(docs: Docs, order: int = ORDER) -> np.ndarray:
@@ -113,9 +116,6 @@ class Shard:
         return out
 
 
-MASK = (1 << 64) - 1
-
-
 def _read(grams: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     unzip = zstandard.ZstdDecompressor().decompress
     return np.cumsum(np.frombuffer(unzip(grams), np.uint64), dtype=np.uint64), np.frombuffer(unzip(counts), np.int64)
@@ -197,11 +197,13 @@ def scores(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
         return Shard(blobs.column("docs").to_pylist(), ids, buckets, order)
 
     def question(key: tuple, blobs: pa.Table, ids: pa.Table) -> pa.Table:
-        if not len(blobs):
-            return pa.table({c: pa.array([], t) for c, t in zip(("bucket", "shard", "grams", "counts"), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))})
+        if not len(blobs):  # trusted ids without a document
+            return NO_QUESTION.empty_table()
         return shard_from(blobs, ids.column("doc_id").to_pylist()).question(key[0].as_py())
 
     def finish(blobs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(blobs):
+            return NO_SCORE.empty_table()
         rows = answers.to_pylist()
         shard = shard_from(blobs, [r["doc_id"] for r in rows if r["doc_id"] is not None])
         bits = shard.bits([(r["bucket"], r["bits"]) for r in rows if r["doc_id"] is None])
@@ -209,9 +211,7 @@ def scores(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
         return pa.concat_tables([pa.table({
             "doc_id": ids_array(d.ids), "lang": pa.array(lang, pa.string()), "trusted": pa.array(t),
             "n_bytes": pa.array(d.sizes.astype(np.int64)), "bits": pa.array(b),
-        }) for d, lang, t, b in zip(shard.docs, langs, shard.trusted, bits)] or [pa.schema(
-            [("doc_id", pa.int64()), ("lang", pa.string()), ("trusted", pa.bool_()), ("n_bytes", pa.int64()), ("bits", pa.float64())]
-        ).empty_table()])
+        }) for d, lang, t, b in zip(shard.docs, langs, shard.trusted, bits)])
 
     asked = by_shard.cogroup(trusted.groupBy("shard")).applyInArrow(question, ASKED)
     grams = asked.groupBy("bucket").applyInArrow(_gathered, "gram bigint, n bigint")

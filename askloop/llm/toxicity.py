@@ -9,7 +9,7 @@ other marks; a token's feature is its count. Training takes a bounded sample of
 ``SAMPLE_ROWS`` chosen by a hash of the id; Spark ML fits the models, whose few weights travel with the tasks that score every
 whole text.
 
-Defined cases: a null or empty text is scored by the intercepts alone; rows without an id, repeated rows and texts of any
+Defined cases: a text without tokens, such as a null one, has probability 0 throughout; rows without an id, repeated rows and texts of any
 length are scored like others; labels that are null, or whose id has no text, are not learned from; an id with several labels
 counts once, as the largest; a category that the sample always or never has gets that constant as its probability, and with no
 labelled rows every probability is 0. Other columns are not read.
@@ -133,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     share = min(1.0, sample_rows / max(1, marked.count()))
     chosen = marked.filter(place < F.lit(share * (1 << 30)))
-    texts = docs.filter(F.col("text").isNotNull())
+    texts = docs.filter("length(trim(text)) > 0")
     texts = texts.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(1 << 30)) < F.lit(share * (1 << 30)))
     rows = _counted(texts).join(chosen, "doc_id").withColumn("fold", F.pmod(F.hash("doc_id", F.lit("fold")), F.lit(FOLDS)))
     rows = materialize(rows, "toxicity-sample")
@@ -159,11 +159,12 @@ def predict(docs: DataFrame, chain: list[Link], names: list[str]) -> DataFrame:
         for part in slices(batches, 1 << 20):
             feature, owner, share = tokens(part)
             found: list[np.ndarray] = []
+            empty = np.bincount(owner, minlength=len(part)) == 0
             for link, w in zip(chain, weights):
                 total = np.bincount(owner, w[feature], len(part)) * share + link.intercept
                 for p, v in zip(found, link.earlier):
                     total = total + p * v
-                found.append(1 / (1 + np.exp(-np.clip(total, -500, 500))))
+                found.append(np.where(empty, 0.0, 1 / (1 + np.exp(-np.clip(total, -500, 500)))))
             yield pa.record_batch({"doc_id": ids_array(part.ids), **{f"p_{n}": pa.array(np.round(p, 6)) for n, p in zip(names, found)}})
 
     return id_text(docs).mapInArrow(run, f"doc_id bigint, {fields}")
