@@ -2,7 +2,7 @@
 
 Tables are Parquet folders; use ``askloop.sources.tables`` for CSV at the edges. Each job returns the table it wrote,
 read back, which is the input of the next. A rollout writes its turns straight under ``out_path`` and is resumed by
-running it again with the same ``run_id``.
+running it again with the same ``run_id``; without one each call is a run of its own. Reports have a row for each data set.
 """
 
 from __future__ import annotations
@@ -11,19 +11,18 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from askloop.operators import baselines, metrics, trainset
 from askloop.operators.gate import Gate, GateConfig, fit_gate
-from askloop.operators.rollout import RolloutConfig, row_slice, run_gated, run_graded
+from askloop.operators.rollout import RolloutConfig, row_slice, run_gated, run_graded, settled
 from askloop.sources.tables import append_metrics, read_qa
 
-# Fixed value: rows of one generation run.
-MAX_ROWS = 10_000
-
 
 def _write(df: DataFrame, path: str, *partitions: str) -> DataFrame:
     df.write.mode("overwrite").partitionBy(*partitions).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    fields = [f for f in df.schema if f.name not in partitions] + [df.schema[p] for p in partitions]
+    return df.sparkSession.read.schema(StructType(fields)).parquet(path)
 
 
 def _log(report: DataFrame, log_path: str | None, run_id: str, stage: str, by: str | None = None) -> None:
@@ -33,16 +32,17 @@ def _log(report: DataFrame, log_path: str | None, run_id: str, stage: str, by: s
 
 def generate(
     spark: SparkSession, qa_path: str, out_path: str, model, config: RolloutConfig,
-    log_path: str | None = None, start: int = 0, end: int = MAX_ROWS,
+    log_path: str | None = None, start: int = 0, end: int | None = None,
 ) -> DataFrame:
     """Graded rollout over a slice of the questions, with its statistics logged."""
-    config = replace(config, base_path=out_path, run_id=config.run_id or "generation")
+    config = settled(replace(config, base_path=out_path), "graded")
     generated = run_graded(row_slice(read_qa(spark, qa_path), start, end), model, config)
     if log_path:
-        _log(generated.agg(F.count(F.lit(1)).alias("n_rows")), log_path, config.run_id, "generated")
-        _log(metrics.turn_by_verdict(generated), log_path, config.run_id, "verdict, turn", "turn")
-        _log(metrics.first_turn_metrics(generated, config.setting, "verdict"), log_path, config.run_id, "zero-shot")
-        _log(metrics.accuracy(generated, "verdict"), log_path, config.run_id, "system")
+        by, run_id = ["dataset"], config.run_id
+        _log(generated.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows")), log_path, run_id, "generated")
+        _log(metrics.turn_by_verdict(generated, by), log_path, run_id, "verdict, turn", "turn")
+        _log(metrics.first_turn_metrics(generated, config.setting, "verdict", by), log_path, run_id, "zero-shot")
+        _log(metrics.accuracy(generated, "verdict", by), log_path, run_id, "system")
     return generated
 
 
@@ -53,29 +53,29 @@ def prepare_training(
     """Balance the classes of a graded rollout and split its questions into train and dev."""
     training = generated.withColumnRenamed("verdict", "gate_verdict")
     balanced = _write(trainset.balance(training, seed=seed), f"{out_path}/balanced")
-    split = _write(trainset.group_split(balanced, share=share, seed=seed), f"{out_path}/split", "split")
+    split = _write(trainset.group_split(balanced, share=share, seed=seed), f"{out_path}/sides", "side")
     for name, table in (("generated", training), ("balanced", balanced)):
-        _log(_class_report(trainset.class_distribution(table)), log_path, run_id, name)
+        _log(_class_report(trainset.class_distribution(table, by=("dataset",))), log_path, run_id, name)
     for side in ("train", "dev"):
-        _log(_class_report(trainset.class_distribution(split.filter(F.col("split") == side))), log_path, run_id, side)
+        _log(_class_report(trainset.class_distribution(split.filter(F.col("side") == side), by=("dataset",))), log_path, run_id, side)
     return split
 
 
-def _class_report(counts: DataFrame) -> DataFrame:
+def _class_report(counts: DataFrame) -> DataFrame:  # counts by data set and class
     def count(*labels: int):
         return F.coalesce(F.sum(F.when(F.col("gate_verdict").isin(*labels), F.col("n"))), F.lit(0)).cast("bigint")
 
-    return counts.agg(count(0, 1).alias("n_rows"), count(0).alias("n_reject"), count(1).alias("n_accept"))
+    return counts.groupBy("dataset").agg(count(0, 1).alias("n_rows"), count(0).alias("n_reject"), count(1).alias("n_accept"))
 
 
 def join_training(
     sets: list[DataFrame], out_path: str, log_path: str | None = None, run_id: str = "joint"
 ) -> DataFrame:
-    """Union of several data sets' training tables, by split."""
-    joint = _write(trainset.join_sets(*sets), out_path, "split")
-    sizes = joint.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+    """Union of several data sets' training tables, by side."""
+    joint = _write(trainset.join_sets(*sets), out_path, "side")
+    sizes = joint.groupBy("side", "dataset").agg(F.count(F.lit(1)).alias("n_rows"))
     for side in ("train", "dev"):
-        _log(sizes.filter(F.col("split") == side).select("n_rows"), log_path, run_id, side)
+        _log(sizes.filter(F.col("side") == side).select("dataset", "n_rows"), log_path, run_id, side)
     return joint
 
 
@@ -84,12 +84,12 @@ def train_gate(
     config: GateConfig | None = None, eval_only: bool = False, log_path: str | None = None,
 ) -> Gate:
     """Fit a gate and save it under the experiment's name, or load the saved one; log its development report."""
-    rows = trainset.to_instruct(split, setting=setting, keep=("split",))
-    dev = rows.filter(F.col("split") == "dev")
+    rows = trainset.to_instruct(split, setting=setting, keep=("side",))
+    dev = rows.filter(F.col("side") == "dev")
     if eval_only:
         gate = Gate.load(base_path, experiment, setting)
     else:
-        gate, _ = fit_gate(rows.filter(F.col("split") == "train"), dev, config, setting)
+        gate, _ = fit_gate(rows.filter(F.col("side") == "train"), dev, config, setting)
         gate.save(base_path, experiment)
     _log(gate.evaluate(dev), log_path, experiment, "gate")
     return gate
@@ -99,15 +99,16 @@ def infer(
     spark: SparkSession, qa_path: str, out_path: str, model, gate, config: RolloutConfig, log_path: str | None = None
 ) -> DataFrame:
     """Gated rollout over the questions, with all its evaluation tables logged."""
-    config = replace(config, base_path=out_path, run_id=config.run_id or "inference")
+    config = settled(replace(config, base_path=out_path), "gated")
     predictions = run_gated(read_qa(spark, qa_path), model, gate, config)
     if log_path:
-        _log(metrics.custom_evaluation(predictions), log_path, config.run_id, "evaluation,", "scope")
-        _log(metrics.turn_by_gate(predictions), log_path, config.run_id, "gate, turn", "turn")
-        _log(metrics.turn_by_correct(predictions), log_path, config.run_id, "correct, turn", "turn")
-        _log(metrics.group_sizes(predictions), log_path, config.run_id, "questions, turns", "turns")
-        _log(metrics.first_turn_metrics(predictions, config.setting), log_path, config.run_id, "zero-shot")
-        _log(evaluate(predictions), log_path, config.run_id, "comparison")
+        by, run_id = ["dataset"], config.run_id
+        _log(metrics.custom_evaluation(predictions, by), log_path, run_id, "evaluation,", "scope")
+        _log(metrics.turn_by_gate(predictions, by), log_path, run_id, "gate, turn", "turn")
+        _log(metrics.turn_by_correct(predictions, by), log_path, run_id, "correct, turn", "turn")
+        _log(metrics.group_sizes(predictions, by), log_path, run_id, "questions, turns", "turns")
+        _log(metrics.first_turn_metrics(predictions, config.setting, by=by), log_path, run_id, "zero-shot")
+        _log(evaluate(predictions, by), log_path, run_id, "comparison")
     return predictions
 
 
@@ -120,17 +121,17 @@ def zero_shot(
     spark: SparkSession, qa_path: str, out_path: str, model, question_type: str = "OEQ", abstain: bool = False,
     log_path: str | None = None, run_id: str = "zero-shot",
 ) -> DataFrame:
-    done = _write(baselines.zero_shot(read_qa(spark, qa_path), model, question_type, abstain), out_path)
-    _log(metrics.zero_shot_report(done), log_path, run_id, "zero-shot")
+    done = baselines.zero_shot(read_qa(spark, qa_path), model, question_type, abstain, path=out_path)
+    _log(metrics.zero_shot_report(done, by=["dataset"]), log_path, run_id, "zero-shot")
     return done
 
 
 def self_critic(
     spark: SparkSession, qa_path: str, out_path: str, model, log_path: str | None = None, run_id: str = "self-critic"
 ) -> DataFrame:
-    done = _write(baselines.self_critic(read_qa(spark, qa_path), model), out_path)
-    scores = metrics.answer_set_scores(baselines.answer_sets(done))
+    done = baselines.self_critic(read_qa(spark, qa_path), model, path=out_path)
+    scores = metrics.answer_set_scores(baselines.answer_sets(done), by=["dataset"])
     for number in (1, 2, 3):
-        chosen = scores.filter(F.col("answer_no") == number).select("accuracy", "formula_avg")
+        chosen = scores.filter(F.col("answer_no") == number).select("dataset", "accuracy", "formula_avg")
         _log(chosen, log_path, run_id, f"answer {number}")
     return done

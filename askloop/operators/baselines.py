@@ -13,9 +13,10 @@ from askloop.session import materialize
 
 
 def zero_shot(
-    qa: DataFrame, model, question_type: str = "OEQ", abstain: bool = False, prompts: DataFrame | None = None
-) -> DataFrame:
-    """Ask once, with or without the choice to abstain, and grade. Written once: the model is asked once."""
+    qa: DataFrame, model, question_type: str = "OEQ", abstain: bool = False, prompts: DataFrame | None = None,
+    path: str | None = None,
+) -> DataFrame:
+    """Ask once, with or without the choice to abstain, and grade. Written once (to ``path``): the model is asked once."""
     asked = qa.select(
         *KEYS,
         "question",
@@ -33,13 +34,14 @@ def zero_shot(
         normalize_answer(answer).alias("answer"),
         exact_match(answer, F.col("gold")).alias("correct"),
     )
-    return materialize(graded, "zero-shot")
+    return materialize(graded, "zero-shot", path)
 
 
-def self_critic(qa: DataFrame, model, compat: bool = False) -> DataFrame:
+def self_critic(qa: DataFrame, model, compat: bool = False, path: str | None = None) -> DataFrame:
     """Five chained calls; the first, third and fifth give an answer each.
 
-    The transcript ends before the last response. Each call is written before the next one is built on it.
+    The transcript ends before the last response. Each call is written before the next one is built on it, the last one
+    in its final form (to ``path``).
     """
     temperature, top_p = SAMPLING["self_critic", "critic"]
     settings = {
@@ -64,12 +66,14 @@ def self_critic(qa: DataFrame, model, compat: bool = False) -> DataFrame:
                     exact_match(F.col(f"answer_{answer_no}"), F.col("gold"))
                 ),
             )
-        state = materialize(state, f"self-critic-{call}")
+        if call < len(CRITIC_STEPS):
+            state = materialize(state, f"self-critic-{call}")
     answers = [f"{name}_{n}" for name in ("answer", "correct") for n in (1, 2, 3)]
-    return state.select(*KEYS, "question", "gold", *answers, F.col("task_content").alias("transcript"))
+    done = state.select(*KEYS, "question", "gold", *answers, F.col("task_content").alias("transcript"))
+    return materialize(done, "self-critic", path)
 
 
 def answer_sets(df: DataFrame) -> DataFrame:
-    """The three answers of a self-critic row as three rows ``dataset, id, answer_no, answer, correct``."""
+    """The three answers of a self-critic row as three rows ``dataset, split, id, answer_no, answer, correct``."""
     stacked = "stack(3, 1, answer_1, correct_1, 2, answer_2, correct_2, 3, answer_3, correct_3)"
     return df.selectExpr(*KEYS, "gold", f"{stacked} as (answer_no, answer, correct)")

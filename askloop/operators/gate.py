@@ -30,7 +30,7 @@ class Gate:
     """A fitted gate. ``setting`` is the text template it was trained with and must be applied with."""
 
     def __init__(self, model: PipelineModel, setting: str = "exploration"):
-        self.model, self.setting = model, setting
+        self.model, self.setting, self.name = model, setting, model.uid
 
     def apply(self, df: DataFrame, text: str = "input") -> DataFrame:
         """Add ``gate_output`` and both class confidences to rows with an input text."""

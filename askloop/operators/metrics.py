@@ -31,18 +31,18 @@ def _grouped(df: DataFrame, by: list[str], overall: bool = False):
 
 def last_turn(df: DataFrame) -> DataFrame:
     """The whole row of each question's last turn."""
-    return _turn_row(df, F.max_by)
+    return _turn_row(df, F.max)
 
 
 def first_turn(df: DataFrame) -> DataFrame:
     """The whole row of each question's first turn."""
-    return _turn_row(df, F.min_by)
+    return _turn_row(df, F.min)
 
 
 def _turn_row(df: DataFrame, pick) -> DataFrame:
-    rest = [c for c in df.columns if c not in KEYS]
-    picked = df.groupBy(*KEYS).agg(pick(F.struct(*rest), F.col("turn")).alias("_row"))
-    return picked.select(*KEYS, "_row.*").select(*df.columns)
+    """The turn is found by a hash aggregate of narrow keys; the whole rows meet it in one join, unsorted by question."""
+    turn = df.groupBy(*KEYS).agg(pick("turn").alias("turn"))
+    return df.join(turn, [*KEYS, "turn"]).select(*df.columns)
 
 
 def _final(accept: Column | None) -> Column:
@@ -62,14 +62,23 @@ def _last_values(df: DataFrame, accept: Column | None = None, **values: Column)
     return narrow.groupBy(*KEYS).agg(*[F.min_by(k, "_final").alias(k) for k in values])
 
 
-def accuracy(df: DataFrame, column: str = "correct", by: list[str] | None = None, overall: bool = False) -> DataFrame:
-    """Share of questions whose last turn is right, with counts and mean F1. ``column="verdict"`` for generated data."""
-    last = _last_values(df, right=(F.col(column) == 1), f1=token_f1(F.col("answer"), F.col("gold")))
+def accuracy(
+    df: DataFrame, column: str = "correct", by: list[str] | None = None, overall: bool = False, with_f1: bool = True
+) -> DataFrame:
+    """Share of questions whose last turn is right, with counts and, if asked for, mean token F1.
+
+    ``column="verdict"`` for generated data. Token F1 is worked out for every turn; leave it out where it is not needed.
+    """
+    values = {"right": F.col(column) == 1}
+    if with_f1:
+        values["f1"] = token_f1(F.col("answer"), F.col("gold"))
+    last = _last_values(df, **values)
+    f1 = [F.coalesce(F.avg("f1"), F.lit(0.0)).alias("f1")] if with_f1 else []
     return _grouped(last, by or [], overall).agg(
         F.count(F.lit(1)).alias("n"),
         _count(F.col("right")).alias("correct"),
         F.avg(F.col("right").cast("double")).alias("accuracy"),
-        F.coalesce(F.avg("f1"), F.lit(0.0)).alias("f1"),
+        *f1,
     )
 
 
@@ -224,9 +233,9 @@ def value_counts(df: DataFrame, columns: list[str], by: list[str] | None = None)
 
 
 def group_sizes(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """How many questions have how many turns."""
+    """How many questions have how many turns, fewest turns first."""
     sizes = df.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("turns"))
-    return sizes.groupBy(*(by or []), "turns").agg(F.count(F.lit(1)).alias("n_questions"))
+    return sizes.groupBy(*(by or []), "turns").agg(F.count(F.lit(1)).alias("n_questions")).orderBy(*(by or []), "turns")
 
 
 def per_turn(df: DataFrame, column: str, values: dict[str, object], by: list[str] | None = None) -> DataFrame:
@@ -247,11 +256,15 @@ def turn_by_verdict(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return per_turn(df, "verdict", {"wrong": 0, "right": 1}, by)
 
 
-def first_turn_metrics(df: DataFrame, setting: str = "exploration", column: str = "correct") -> DataFrame:
+def first_turn_metrics(
+    df: DataFrame, setting: str = "exploration", column: str = "correct", by: list[str] | None = None
+) -> DataFrame:
     """Accuracy and F1 of the opening turn (0, or 1 in the gradual setting); null if there is none."""
     opening = df.filter(F.col("turn") == (1 if setting == "gradual" else 0))
-    scored = opening.select(F.col(column).alias("right"), token_f1(F.col("answer"), F.col("gold")).alias("f1"))
-    return scored.agg(
+    scored = opening.select(
+        *(by or []), F.col(column).alias("right"), token_f1(F.col("answer"), F.col("gold")).alias("f1")
+    )
+    return scored.groupBy(*(by or [])).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.col("right").cast("double")).alias("accuracy"), F.avg("f1").alias("f1")
     )
 
@@ -284,25 +297,29 @@ def compare_report(
     )
 
 
-def answer_set_scores(df: DataFrame, compat: bool = False) -> DataFrame:
+def answer_set_scores(df: DataFrame, compat: bool = False, by: list[str] | None = None) -> DataFrame:
     """Accuracy and formula score of each self-critic answer set; a missing answer is withheld."""
     withheld = F.coalesce(is_abstention(F.col("answer"), compat), F.lit(False))
     if not compat:
         withheld = withheld | F.col("answer").isNull()
     scored = df.select(
-        "answer_no", (F.col("correct") == 1).alias("right"), formula_value(F.col("correct"), withheld).alias("score")
+        *(by or []),
+        "answer_no",
+        (F.col("correct") == 1).alias("right"),
+        formula_value(F.col("correct"), withheld).alias("score"),
     )
-    return scored.groupBy("answer_no").agg(F.avg(F.col("right").cast("double")).alias("accuracy"), *_formula_columns())
+    return scored.groupBy(*(by or []), "answer_no").agg(F.avg(F.col("right").cast("double")).alias("accuracy"), *_formula_columns())
 
 
-def zero_shot_report(df: DataFrame, compat: bool = False) -> DataFrame:
+def zero_shot_report(df: DataFrame, compat: bool = False, by: list[str] | None = None) -> DataFrame:
     """Zero-shot baseline over all rows: accuracy, F1, formula."""
     scored = df.select(
+        *(by or []),
         (F.col("correct") == 1).cast("double").alias("right"),
         token_f1(F.col("answer"), F.col("gold")).alias("f1"),
         formula_value(F.col("correct"), is_abstention(F.col("answer"), compat)).alias("score"),
     )
-    return scored.agg(F.avg("right").alias("accuracy"), F.avg("f1").alias("f1"), *_formula_columns())
+    return scored.groupBy(*(by or [])).agg(F.avg("right").alias("accuracy"), F.avg("f1").alias("f1"), *_formula_columns())
 
 
 def distinct_questions(df: DataFrame, approximate: bool = False) -> DataFrame:
@@ -314,9 +331,9 @@ def distinct_questions(df: DataFrame, approximate: bool = False) -> DataFrame:
 def to_long(df: DataFrame, run_id: str, stage: str, by: str | None = None) -> DataFrame:
     """Wide metric rows as log rows ``run_id, dataset, stage, metric, value, value_str``.
 
-    ``by`` names the column that tells the rows apart: ``dataset``, or another whose value is added to the stage.
+    A ``dataset`` column goes to its own place; ``by`` names another column whose value is added to the stage.
     """
-    names = [c for c in df.columns if c != by]
+    names = [c for c in df.columns if c not in (by, "dataset")]
     numeric = {f.name for f in df.schema if f.dataType.typeName() not in ("string", "boolean")}
     pairs = F.array(
         *[
@@ -328,7 +345,7 @@ def to_long(df: DataFrame, run_id: str, stage: str, by: str | None = None) -> Da
             for c in names
         ]
     )
-    dataset = F.col(by) if by == "dataset" else F.lit(None).cast("string")
+    dataset = F.col("dataset") if "dataset" in df.columns else F.lit(None).cast("string")
     named = F.concat_ws(" ", F.lit(stage), F.col(by).cast("string")) if by and by != "dataset" else F.lit(stage)
     long = df.select(dataset.alias("dataset"), named.alias("stage"), F.explode(pairs).alias("_m"))
     return long.select(F.lit(run_id).alias("run_id"), "dataset", "stage", "_m.*")

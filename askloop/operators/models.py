@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -19,11 +20,11 @@ BatchModel = Callable[[list[list[dict[str, str]]], dict[str, Any]], list[str]]
 _loaded: dict[str, Any] = {}
 
 
-def load_once(name: str, load: Callable[[], Any]) -> Any:
-    """One model per Python worker process, however many batches and tasks it serves."""
-    if name not in _loaded:
-        _loaded[name] = load()
-    return _loaded[name]
+def load_once(token: str, load: Callable[[], Any]) -> Any:
+    """One model per plug-in instance and Python worker process, however many batches and tasks it serves."""
+    if token not in _loaded:
+        _loaded[token] = load()
+    return _loaded[token]
 
 
 class Model:
@@ -37,14 +38,15 @@ class Model:
     def __init__(
         self,
         load: Callable[[], BatchModel],
-        name: str = "reasoner",
+        name: str = "reasoner",  # stands for the model in run records
         batch_size: int = 8,
         partitions: int | None = None,
     ):
         self.load, self.name, self.batch_size, self.partitions = load, name, batch_size, partitions
+        self.token = uuid.uuid4().hex
 
     def respond(self, df: DataFrame, turn: int) -> DataFrame:
-        load, name, size = self.load, self.name, self.batch_size
+        load, token, size = self.load, self.token, self.batch_size
         system = F.col("system") if "system" in df.columns else None
         asked = df.withColumn("messages", chat_messages(system, F.col("task_content")))
         if self.partitions:
@@ -53,7 +55,7 @@ class Model:
         settings = [c for c in ("temperature", "top_p", "max_tokens") if c in df.columns]
 
         def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            model = load_once(name, load)
+            model = load_once(token, load)
             for frame in frames:
                 # Rows of one batch share their sampling settings.
                 groups = frame.groupby(settings, dropna=False, sort=False) if settings else [((), frame)]
@@ -71,10 +73,10 @@ class Model:
 
 
 class Replay:
-    """Answers from recorded responses ``dataset, id, turn, response``; a turn without a record has none."""
+    """Answers from recorded responses ``dataset, split, id, turn, response``; a turn without a record has none."""
 
-    def __init__(self, responses: DataFrame):
-        self.responses = responses
+    def __init__(self, responses: DataFrame, name: str = "replay"):
+        self.responses, self.name = responses, name
 
     def respond(self, df: DataFrame, turn: int) -> DataFrame:
         recorded = self.responses.filter(F.col("turn") == turn).select(*KEYS, "response")
@@ -82,10 +84,10 @@ class Replay:
 
 
 class ReplayGate:
-    """Accepts or rejects from recorded gate outputs ``dataset, id, turn, gate_output [, confidences]``."""
+    """Accepts or rejects from recorded gate outputs ``dataset, split, id, turn, gate_output [, confidences]``."""
 
-    def __init__(self, outputs: DataFrame):
-        self.outputs = outputs
+    def __init__(self, outputs: DataFrame, name: str = "replay"):
+        self.outputs, self.name = outputs, name
 
     def judge(self, df: DataFrame, turn: int) -> DataFrame:
         recorded = self.outputs.filter(F.col("turn") == turn)
@@ -101,7 +103,7 @@ class RuleGate:
     """Accepts where a column expression over the turn's columns holds."""
 
     def __init__(self, accept: Column):
-        self.accept = accept
+        self.accept, self.name = accept, str(accept)
 
     def judge(self, df: DataFrame, turn: int) -> DataFrame:
         unknown = F.lit(None).cast("double")

@@ -28,8 +28,8 @@ SAMPLING = {
     ("self_critic", "critic"): (0.0, 0.9),
 }
 MAX_TOKENS = 256
-# Question types per phase up to which prompts are written into the plan.
-MAX_TYPES = 100
+# Prompts are written into the plan; a user's table may hold this many question types for one phase of one setting.
+MOST_TYPES = 1_000
 
 # Fixed value: the instruction in front of every gate input, which a trained gate expects word for word.
 GATE_INSTRUCTION = (
@@ -122,30 +122,21 @@ def default_prompts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_prompt_rows(), PROMPTS)
 
 
-def critic_steps(spark: SparkSession) -> DataFrame:
-    temperature, top_p = SAMPLING["self_critic", "critic"]
-    rows = [(call, text, answer_no, temperature, top_p, MAX_TOKENS) for call, text, answer_no in CRITIC_STEPS]
-    return spark.createDataFrame(
-        rows, "call int, text string, answer_no int, temperature double, top_p double, max_tokens int"
-    )
-
-
 def with_prompt(df: DataFrame, phase: str, setting: str, prompts: DataFrame | None = None) -> DataFrame:
     """Add ``system``, ``temperature``, ``top_p`` and ``max_tokens`` for the question type of each row.
 
-    One phase of one setting has a row per question type, so the choice is a few literals in the projection. Only a
-    user's table with more than ``MAX_TYPES`` of them is joined.
+    One phase of one setting has a row per question type, so the choice is a few literals in the projection. Two rows
+    for one type, or more than ``MOST_TYPES`` rows, are an error.
     """
     names = ["system", "temperature", "top_p", "max_tokens"]
     if prompts is None:
         rows = [row[1:2] + row[3:] for row in _prompt_rows() if (row[0], row[2]) == (setting, phase)]
     else:
         table = prompts.filter((F.col("setting") == setting) & (F.col("phase") == phase)).select("question_type", *names)
-        rows = table.head(MAX_TYPES + 1)
-    if len(rows) > MAX_TYPES:
-        chosen = df.join(table, "question_type", "left")
-    else:
-        chosen = df.withColumns({name: _choose(rows, k + 1) for k, name in enumerate(names)})
+        rows = table.head(MOST_TYPES + 1)
+    if len(rows) > MOST_TYPES or len({row[0] for row in rows}) < len(rows):
+        raise ValueError(f"{setting}, {phase}: one prompt for each question type and at most {MOST_TYPES} are needed")
+    chosen = df.withColumns({name: _choose(rows, k + 1) for k, name in enumerate(names)})
     gold = F.coalesce(F.get(F.col("gold"), F.lit(0)), F.lit(""))
     return chosen.withColumn("system", F.replace(F.col("system"), F.lit("{answer}"), gold))
 

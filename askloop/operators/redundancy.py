@@ -7,8 +7,10 @@ rationales are the summed weight of their common elements:
 * ``bitand`` (counts combined by bitwise and): one element per word and set bit of its count, weighing that bit;
 * ``min`` (the smaller count): one element per repeat of a word, weighing 1.
 
-Exact copies collapse before anything is compared. Questions with few distinct rationales (every ordinary rollout)
-are compared inside one row. Questions with many are never gathered: see ``_hot_flags``.
+Exact copies collapse before anything is compared. Within a question elements are ordered rarest first and those of a
+single rationale are dropped; two rationales that overlap enough share an element before the tail that weighs too little.
+Each rationale first meets the latest holder of each such element, which settles most; those left meet all later holders.
+Every step is a join or a hash aggregate on (question, element), so no question is ever gathered.
 """
 
 from __future__ import annotations
@@ -16,17 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askloop.functions.text import bind, word_counts, word_tokens
-from askloop.operators.skew import HOT_ROWS, join_per_question
+from askloop.functions.text import word_counts, word_tokens
+from askloop.operators.skew import SALTS, salt
 from askloop.schemas import KEYS
 from askloop.session import materialize
 
-# A question is compared inside one row up to this many distinct rationales and this many elements in all.
-ROW_LIMIT = 64
-ELEMENT_LIMIT = 200_000
-# Size up to which a rationale is offered as a likely partner.
-OFFER_LIMIT = 2_000
-
 
 def answer_redundancy(df: DataFrame) -> DataFrame:
     """Per question: rows, and rows whose answer occurs more than once."""
@@ -38,7 +34,7 @@ def answer_redundancy(df: DataFrame) -> DataFrame:
 
 
 def _elements(text: Column, overlap: str) -> Column:
-    """Elements ``weight:word`` as an array ordered longest first, a fixed order in which rare ones tend to lead."""
+    """Elements ``weight:word`` as a sorted array, a canonical form of the text's words."""
 
     def bits(r: Column) -> Column:
         places = F.sequence(F.lit(0), F.floor(F.log2(r["n"])).cast("int"))
@@ -52,43 +48,23 @@ def _elements(text: Column, overlap: str) -> Column:
         )
 
     one = bits if overlap == "bitand" else repeats
-    listed = F.flatten(F.transform(word_counts(word_tokens(text)), one))
-    ranked = F.sort_array(F.transform(listed, lambda e: F.struct((-F.length(e)).alias("l"), e.alias("e"))))
-    return F.transform(ranked, lambda s: s["e"])
+    return F.sort_array(F.flatten(F.transform(word_counts(word_tokens(text)), one)))
+
+
+def _element_weight(element: Column) -> Column:
+    return F.substring_index(element, ":", 1).cast("bigint")
 
 
 def _weight(elements: Column) -> Column:
-    return F.aggregate(
-        elements, F.lit(0).cast("bigint"), lambda acc, e: acc + F.substring_index(e, ":", 1).cast("bigint")
-    )
+    return F.aggregate(elements, F.lit(0).cast("bigint"), lambda acc, e: acc + _element_weight(e))
 
 
 def _shared(a: Column, b: Column) -> Column:
     return _weight(F.array_intersect(a, b))
 
 
-def _prefix(elements: Column, threshold: int) -> Column:
-    """The elements without the longest tail that weighs less than ``threshold``.
-
-    Two rationales that share ``threshold`` have their first common element in both prefixes: were it in a tail, all
-    common elements would be in that tail and weigh too little.
-    """
-    tail = F.reverse(F.slice(F.reverse(elements), 1, threshold - 1)) if threshold > 1 else F.array()
-    start = F.struct(F.lit(0).cast("bigint").alias("w"), F.lit(0).alias("n"))
-
-    def step(acc: Column, e: Column) -> Column:
-        w = acc["w"] + F.substring_index(e, ":", 1).cast("bigint")
-        full = (w >= threshold) | (acc["w"] < 0)
-        return F.when(full, F.struct(F.lit(-1).cast("bigint").alias("w"), acc["n"].alias("n"))).otherwise(
-            F.struct(w.alias("w"), (acc["n"] + 1).alias("n"))
-        )
-
-    dropped = F.aggregate(F.reverse(tail), start, step, lambda acc: acc["n"]) if threshold > 1 else F.lit(0)
-    return bind(elements, lambda es: F.slice(es, F.lit(1), F.size(es) - dropped))
-
-
 def _distinct_vectors(df: DataFrame, threshold: int, overlap: str) -> DataFrame:
-    """Per question and distinct rationale: its copies, the last turn that holds it, whether it overlaps itself."""
+    """Per question and distinct rationale: its copies, the last turn that holds it, its elements."""
     rows = df.filter(F.col("rationale").isNotNull()).select(
         *KEYS, "turn", _elements(F.col("rationale"), overlap).alias("elements")
     )
@@ -101,107 +77,54 @@ def _distinct_vectors(df: DataFrame, threshold: int, overlap: str) -> DataFrame:
     return grouped.filter(F.col("weight") >= threshold).drop("weight")
 
 
-def _row_flags(vectors: DataFrame, threshold: int) -> DataFrame:
-    """Small questions: one row holds all distinct rationales; each looks for a later one that overlaps."""
-    gathered = vectors.groupBy(*KEYS).agg(
-        F.collect_list(F.struct("last", "elements")).alias("all"),
-        F.sum(F.col("copies") - 1).cast("bigint").alias("n_copies"),
-    )
-    redundant = F.filter(
-        F.col("all"),
-        lambda v: F.exists(
-            F.col("all"), lambda u: (u["last"] > v["last"]) & (_shared(u["elements"], v["elements"]) >= threshold)
-        ),
-    )
-    return gathered.select(*KEYS, (F.col("n_copies") + F.size(redundant)).alias("n_redundant"))
+def _prefixes(vectors: DataFrame, threshold: int) -> DataFrame:
+    """(question, last, element): of each rationale the elements that a partner must share one of.
 
-
-def _search(held: DataFrame, seekers: DataFrame, bucket: Column, tried: Column, best: Column, threshold: int) -> DataFrame:
-    """Seekers that stay without a partner after one comparison per tried bucket.
-
-    Each bucket of a question offers one rationale, the one with the largest ``best``: a maximum, which combines
-    map-side, so a bucket may hold any number of rows. Seekers that overlap a later offer are settled.
+    Elements that only one rationale of the question holds are dropped. Of the rest, rarest first, those are kept that at
+    least ``threshold`` of weight, themselves included, lies at or behind: were the first common element of two
+    rationales further on, all their common elements would weigh too little.
     """
-    offers = (
-        held.withColumn("bucket", bucket)
-        .groupBy(*KEYS, "bucket")
-        .agg(F.max_by(F.struct("last", "elements"), best).alias("offer"))
-    )
-    settled = (
-        seekers.withColumn("bucket", F.explode(tried))
-        .join(offers, [*KEYS, "bucket"])
-        .filter((F.col("offer.last") > F.col("last")) & (_shared(F.col("offer.elements"), F.col("elements")) >= threshold))
-        .select(*KEYS, "last")
-        .distinct()
-    )
-    return materialize(seekers.join(settled, [*KEYS, "last"], "left_anti"), "rationale-seekers")
+    each = vectors.select(*KEYS, "last", F.explode("elements").alias("element"))
+    held = each.groupBy(*KEYS, "element").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    salts = F.explode(F.array(*[F.lit(s) for s in range(SALTS)])).alias("_salt")
+    shared = each.withColumn("_salt", salt(F.col("last"))).join(held.select("*", salts), [*KEYS, "element", "_salt"])
+    ordered = shared.groupBy(*KEYS, "last").agg(F.sort_array(F.collect_list(F.struct("n", "element"))).alias("_ordered"))
+    total = _weight(F.transform("_ordered", lambda s: s["element"]))
+    start = F.struct(total.alias("left"), F.array().cast("array<string>").alias("kept"))
 
+    def step(acc: Column, s: Column) -> Column:
+        kept = F.when(acc["left"] >= threshold, F.concat(acc["kept"], F.array(s["element"]))).otherwise(acc["kept"])
+        return F.struct((acc["left"] - _element_weight(s["element"])).alias("left"), kept.alias("kept"))
 
-def _hot_flags(held: DataFrame, threshold: int, hot_rows: int) -> DataFrame:
-    """Questions with many distinct rationales, without gathering or pairing them off.
+    return ordered.select(*KEYS, "last", F.explode(F.aggregate("_ordered", start, step)["kept"]).alias("element"))
 
-    A rationale needs only one later partner, so most are settled by a few likely ones. Bucketing the turns by their
-    distance from the last one in powers of two, each looks at the largest rationales of its own and the next later
-    buckets. Near copies look at the latest rationale with the same smallest hash. Whatever is left is joined on
-    shared prefix elements (exact by ``_prefix``) to all later rationales, and each candidate is verified once.
-    """
-    ends = held.groupBy(*KEYS).agg(F.max("last").alias("end"), F.count(F.lit(1)).alias("_rows"))
-    held = materialize(join_per_question(held, ends, hot_rows), "rationales-placed")
-
-    place = F.floor(F.log2(F.col("end") - F.col("last") + 1)).cast("bigint")
-    size = F.size("elements")
-    # Large partners overlap more; very large ones are only offered where there is nothing else.
-    large = F.when(size <= OFFER_LIMIT, size).otherwise(-size)
-    nearer = F.sequence(F.greatest(place - 3, F.lit(0)), place)
-    left = _search(held, held, place, nearer, large, threshold)
-    for seed in (1, 2):
-        smallest = F.array_min(F.transform("elements", lambda e: F.xxhash64(e, F.lit(seed))))
-        left = _search(held, left, smallest, F.array(smallest), F.col("last"), threshold)
-
-    prefixed = F.explode(_prefix(F.col("elements"), threshold)).alias("element")
-    candidates = (
-        left.select(*KEYS, F.col("last").alias("seeker"), prefixed)
-        .join(held.select(*KEYS, F.col("last").alias("partner"), prefixed), [*KEYS, "element"])
-        .filter(F.col("partner") > F.col("seeker"))
-        .select(*KEYS, "seeker", "partner")
-        .distinct()
-    )
 
-    def texts(table: DataFrame, role: str, name: str) -> DataFrame:
-        return table.select(*KEYS, F.col("last").alias(role), F.col("elements").alias(name))
+def _overlapping(pairs: DataFrame, vectors: DataFrame, threshold: int) -> DataFrame:
+    """(question, last) of the seekers among ``pairs`` (question, last, partner) that overlap their partner."""
+    elements = vectors.select(*KEYS, "last", "elements")
+    partners = elements.toDF(*KEYS, "partner", "others")
+    met = pairs.join(elements, [*KEYS, "last"]).join(partners, [*KEYS, "partner"])
+    return met.filter(_shared(F.col("elements"), F.col("others")) >= threshold).select(*KEYS, "last").distinct()
 
-    found = (
-        candidates.join(texts(left, "seeker", "a"), [*KEYS, "seeker"])
-        .join(texts(held, "partner", "b"), [*KEYS, "partner"])
-        .filter(_shared(F.col("a"), F.col("b")) >= threshold)
-        .select(*KEYS, F.col("seeker").alias("last"))
-        .distinct()
-    )
-    alone = left.join(found, [*KEYS, "last"], "left_anti").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_alone"))
-    copies = held.groupBy(*KEYS).agg(F.sum("copies").alias("n_held"))
-    redundant = F.col("n_held") - F.coalesce("n_alone", F.lit(0))
-    return copies.join(alone, KEYS, "left").select(*KEYS, redundant.cast("bigint").alias("n_redundant"))
-
-
-def rationale_redundancy(
-    df: DataFrame,
-    threshold: int = 20,
-    overlap: str = "bitand",
-    row_limit: int = ROW_LIMIT,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Per question: non-null rationales, and those that a later one overlaps. (dataset, id, turn) is unique."""
+
+def rationale_redundancy(df: DataFrame, threshold: int = 20, overlap: str = "bitand") -> DataFrame:
+    """Per question: non-null rationales, and those that a later one overlaps. (dataset, split, id, turn) is unique."""
     vectors = materialize(_distinct_vectors(df, threshold, overlap), "rationale-sets")
-    rows, elements = F.count(F.lit(1)), F.sum(F.size("elements").cast("bigint"))
-    sizes = vectors.groupBy(*KEYS).agg(
-        rows.alias("_rows"), ((rows > row_limit) | (elements > ELEMENT_LIMIT)).alias("many")
+    prefixes = materialize(_prefixes(vectors, threshold), "rationale-prefixes")
+
+    latest = prefixes.groupBy(*KEYS, "element").agg(F.max("last").alias("partner"))
+    offered = prefixes.join(latest, [*KEYS, "element"]).filter("partner > last").select(*KEYS, "last", "partner").distinct()
+    settled = materialize(_overlapping(offered, vectors, threshold), "rationales-settled")
+
+    left = prefixes.join(settled, [*KEYS, "last"], "left_anti")
+    others = prefixes.withColumnRenamed("last", "partner")
+    rest = left.join(others, [*KEYS, "element"]).filter("partner > last").select(*KEYS, "last", "partner").distinct()
+    found = settled.unionAll(_overlapping(rest, vectors, threshold)).withColumn("_found", F.lit(1))
+
+    # Of equal rationales all but the last turn's are redundant, and the last one if a later one overlaps it.
+    flags = vectors.join(found, [*KEYS, "last"], "left").groupBy(*KEYS).agg(
+        F.sum(F.col("copies") - 1 + F.coalesce("_found", F.lit(0))).cast("bigint").alias("n_redundant")
     )
-    if sizes.filter("many").isEmpty():
-        flags = _row_flags(vectors, threshold)
-    else:
-        sized = materialize(join_per_question(vectors, sizes, hot_rows), "rationale-sets-sized")
-        small, large = sized.filter(~F.col("many")).drop("many"), sized.filter("many").drop("many")
-        flags = _row_flags(small, threshold).unionByName(_hot_flags(large, threshold, hot_rows))
     totals = df.groupBy(*KEYS).agg(F.count("rationale").alias("n_rationales"))
     return totals.join(flags, KEYS, "left").withColumn(
         "n_redundant", F.coalesce("n_redundant", F.lit(0)).cast("bigint")
@@ -209,8 +132,8 @@ def rationale_redundancy(
 
 
 def redundancy_histogram(counts: DataFrame) -> DataFrame:
-    """How many questions have how many redundant rows."""
-    return counts.groupBy("n_redundant").agg(F.count(F.lit(1)).alias("n_questions"))
+    """How many questions have how many redundant rows, fewest first."""
+    return counts.groupBy("n_redundant").agg(F.count(F.lit(1)).alias("n_questions")).orderBy("n_redundant")
 
 
 def redundancy_share(counts: DataFrame, rows: str) -> DataFrame:

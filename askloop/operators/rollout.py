@@ -2,13 +2,20 @@
 
 Every turn is one Spark job over all open questions and ends in its own Parquet folder ``run_id=…/turn=…``. The
 folder is at once the result, the restart point and the cut in the lineage, so a model is never asked twice.
+
+A finished turn leaves one row in the run's record, beside the base folder: a fingerprint of everything that steers the
+run (questions, settings, model and gate names, prompts), a mark of its own and the mark of the turn before. A run is only
+resumed with an equal fingerprint, and a turn only counts as finished if the turn before is the one it was built on.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 from dataclasses import dataclass, replace
+from hashlib import sha256
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -22,7 +29,7 @@ from askloop.operators.prompts import (
     initial_content,
     with_prompt,
 )
-from askloop.operators.skew import HOT_ROWS, join_per_question
+from askloop.operators.skew import join_per_question
 from askloop.schemas import KEYS
 from askloop.session import shared_root
 
@@ -51,15 +58,51 @@ class RolloutConfig:
         return 1 if self.setting == "gradual" else 0
 
 
-def _turn_path(spark: SparkSession, config: RolloutConfig, turn: int) -> str:
-    base = config.base_path or f"{shared_root(spark)}/rollouts"
-    return f"{base}/run_id={config.run_id}/turn={turn}"
+RECORD = "turn int, fingerprint string, mark string, before string, at double"
+
+
+def _base(spark: SparkSession, config: RolloutConfig) -> str:
+    return (config.base_path or f"{shared_root(spark)}/rollouts").rstrip("/")
+
+
+def _turn_path(base: str, run_id: str, turn: int) -> str:
+    return f"{base}/run_id={run_id}/turn={turn}"
+
+
+def _record_path(base: str, run_id: str) -> str:
+    return f"{base}-records/run_id={run_id}"
+
+
+def _record(spark: SparkSession, base: str, run_id: str) -> dict[int, tuple[str, str, str]]:
+    """turn -> (fingerprint, mark, mark of the turn before), each as last written. One row a written turn."""
+    try:
+        rows = spark.read.schema(RECORD).parquet(_record_path(base, run_id)).orderBy("at").collect()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    return {r.turn: (r.fingerprint, r.mark, r.before) for r in rows}
 
 
-def _is_complete(spark: SparkSession, path: str) -> bool:
-    """A finished turn folder holds the marker that Spark writes when its job commits."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+def _finished(record: dict[int, tuple[str, str, str]], first: int) -> list[int]:
+    """The turns from ``first`` on that are each built on the one before."""
+    turns, before = [], ""
+    while first + len(turns) in record and record[first + len(turns)][2] == before:
+        before = record[first + len(turns)][1]
+        turns.append(first + len(turns))
+    return turns
+
+
+def _fingerprint(questions: DataFrame, config: RolloutConfig, kind: str, names: list[str], prompts: DataFrame | None) -> str:
+    """Of the open questions as a set, the settings, the plug-ins' names and the prompts."""
+
+    def content(df: DataFrame) -> list:
+        each = F.xxhash64(F.to_json(F.struct(*df.columns)))
+        return list(df.agg(F.count(F.lit(1)), F.bit_xor(each), F.sum(each.cast("decimal(20,0)"))).first())
+
+    steering = [config.setting, config.question_type, config.max_turns, config.force_rationale]
+    told = [kind, *names, *steering, content(questions), content(prompts) if prompts is not None else None]
+    return sha256(repr(told).encode()).hexdigest()
 
 
 def _open_questions(qa: DataFrame, config: RolloutConfig) -> DataFrame:
@@ -91,10 +134,16 @@ def _next_questions(done: DataFrame, accepted: Column, config: RolloutConfig, tu
     )
 
 
-def _run(qa, model, config: RolloutConfig, prompts, last_free: int, last: int, judge, accepted: Column, columns):
+def _run(qa, model, config: RolloutConfig, prompts, last_free: int, last: int, judge, accepted: Column, columns, names):
     """``judge(df, turn)`` adds the verdict columns named in ``columns``; ``accepted`` closes a question."""
     spark = qa.sparkSession
-    questions, schema, turns = _open_questions(qa, config), None, []
+    questions, schema, turns, mark = _open_questions(qa, config), None, [], ""
+    base, run_id = _base(spark, config), config.run_id
+    record = _record(spark, base, run_id)
+    fingerprint = _fingerprint(questions, config, columns[0], names, prompts)
+    if any(written != fingerprint for written, _, _ in record.values()):
+        raise ValueError(f"run {run_id} under {base} has other questions, settings, plug-ins or prompts")
+    finished = _finished(record, config.first_turn)
     for turn in range(config.first_turn, last + 1):
         if turn == config.first_turn:
             phase = "first"
@@ -103,8 +152,11 @@ def _run(qa, model, config: RolloutConfig, prompts, last_free: int, last: int, j
         else:
             phase = "first" if config.setting == "gradual" else "retry"
 
-        path = _turn_path(spark, config, turn)
-        if not _is_complete(spark, path):
+        path = _turn_path(base, run_id, turn)
+        if turn in finished:
+            mark = record[turn][1]
+        else:
+            finished, before, mark = [], mark, uuid.uuid4().hex  # later turns are built anew too
             asked = with_prompt(questions, phase, config.setting, prompts)
             answered = model.respond(asked, turn).drop("system", "temperature", "top_p", "max_tokens")
             parsed = answered.withColumn("_p", answer_and_rationale(F.col("response"), F.col("question_type")))
@@ -113,6 +165,8 @@ def _run(qa, model, config: RolloutConfig, prompts, last_free: int, last: int, j
             ).drop("_p")
             judged = judge(parsed, turn).withColumn("answer", normalize_answer(F.col("raw_answer")))
             judged.select(*KEYS, *_KEPT, "answer", "rationale", *columns).write.mode("overwrite").parquet(path)
+            row = spark.createDataFrame([(turn, fingerprint, mark, before, time.time())], RECORD)
+            row.coalesce(1).write.mode("append").parquet(_record_path(base, run_id))
 
         schema = schema or spark.read.parquet(path).schema
         done = spark.read.schema(schema).parquet(path)
@@ -128,13 +182,18 @@ def _run(qa, model, config: RolloutConfig, prompts, last_free: int, last: int, j
 
 
 def read_run(spark: SparkSession, base_path: str, run_id: str) -> DataFrame:
-    """The turns that a finished run left under ``base_path``."""
-    run = spark.read.parquet(f"{base_path}/run_id={run_id}")
+    """The turns of a run's record under ``base_path``; folders of turns that were since overtaken are left out."""
+    base = base_path.rstrip("/")
+    record = _record(spark, base, run_id)
+    if not record:
+        raise ValueError(f"there is no record of run {run_id} under {base}")
+    paths = [_turn_path(base, run_id, t) for t in _finished(record, min(record))]
+    run = spark.read.option("basePath", f"{base}/run_id={run_id}").parquet(*paths)
     verdicts = [c for c in ("verdict", "gate_output", "correct", "confidence_0", "confidence_1") if c in run.columns]
     return run.select(*KEYS, "turn", "task_content", "answer", "rationale", "gold", *verdicts)
 
 
-def _settled(config: RolloutConfig | None, kind: str) -> RolloutConfig:
+def settled(config: RolloutConfig | None, kind: str) -> RolloutConfig:
     config = config or RolloutConfig()
     return replace(
         config,
@@ -146,54 +205,57 @@ def _settled(config: RolloutConfig | None, kind: str) -> RolloutConfig:
 def run_graded(qa: DataFrame, model, config: RolloutConfig | None = None, prompts: DataFrame | None = None) -> DataFrame:
     """Roll out with the gold answers as judge; optionally one more turn that explains the given gold answer.
 
-    ``qa`` has one row per (dataset, id). Give ``run_id`` to resume a broken run at its first unfinished turn.
+    ``qa`` has one row per (dataset, split, id). Give ``run_id`` to resume a broken run at its first unfinished turn.
     """
-    config = _settled(config, "graded")
+    config = settled(config, "graded")
     last_free = config.max_turns
     last = last_free + 1 if config.force_rationale else last_free
 
     def judge(df: DataFrame, turn: int) -> DataFrame:
         return df.withColumn("verdict", exact_match(F.col("raw_answer"), F.col("gold")))
 
-    return _run(qa, model, config, prompts, last_free, last, judge, F.col("verdict") == 1, ["verdict"])
+    return _run(qa, model, config, prompts, last_free, last, judge, F.col("verdict") == 1, ["verdict"], [model.name])
 
 
 def run_gated(
     qa: DataFrame, model, gate, config: RolloutConfig | None = None, prompts: DataFrame | None = None
 ) -> DataFrame:
     """Roll out with a gate as judge. Correctness is recorded and never steers the rollout."""
-    config = _settled(config, "gated")
+    config = settled(config, "gated")
 
     def judge(df: DataFrame, turn: int) -> DataFrame:
         return gate.judge(df, turn).withColumn("correct", exact_match(F.col("raw_answer"), F.col("gold")))
 
     columns = ["gate_output", "correct", "confidence_0", "confidence_1"]
-    return _run(qa, model, config, prompts, config.max_turns, config.max_turns, judge, F.col("gate_output"), columns)
+    names = [model.name, gate.name]
+    return _run(qa, model, config, prompts, config.max_turns, config.max_turns, judge, F.col("gate_output"), columns, names)
 
 
-def truncate_replay(df: DataFrame, accept: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
+def truncate_replay(df: DataFrame, accept: Column) -> DataFrame:
     """Of all recorded turns keep those up to and including the first accepted one of each question.
 
     The first accepted turn is a minimum, which combines map-side, and is joined back; a question with very many
     turns gathers in no task. The metrics take ``accept`` themselves and need no truncated table.
     """
-    first = df.groupBy(*KEYS).agg(
-        F.min(F.when(accept, F.col("turn"))).alias("_stop"), F.count(F.lit(1)).alias("_rows")
-    )
-    kept = join_per_question(df, first, hot_rows)
+    first = df.groupBy(*KEYS).agg(F.min(F.when(accept, F.col("turn"))).alias("_stop"))
+    kept = join_per_question(df, first)
     return kept.filter(F.col("_stop").isNull() | (F.col("turn") <= F.col("_stop"))).drop("_stop")
 
 
 def with_previous_answer(df: DataFrame) -> DataFrame:
     """Add the answer of the turn before ("" on the first turn).
 
-    Turns of a question are consecutive, so the turn before is an equi join on (dataset, id, turn), whose key is
+    Turns of a question are consecutive, so the turn before is an equi join on the question and turn, whose key is
     unique: no window gathers a whole question.
     """
     before = df.select(*KEYS, (F.col("turn") + 1).alias("turn"), F.col("answer").alias("previous"))
     return df.join(before, [*KEYS, "turn"], "left").withColumn("previous", F.coalesce("previous", F.lit("")))
 
 
-def row_slice(qa: DataFrame, start: int, end: int) -> DataFrame:
-    """Rows ``start`` to ``end - 1`` by their stored index; the bounds reach the Parquet scan."""
-    return qa.filter((F.col("row_index") >= start) & (F.col("row_index") < end))
+def row_slice(qa: DataFrame, start: int = 0, end: int | None = None) -> DataFrame:
+    """Rows ``start`` to ``end - 1`` by their stored index, which counts within a data set and split.
+
+    The bounds reach the Parquet scan. Without them all rows are taken.
+    """
+    rows = qa if not start else qa.filter(F.col("row_index") >= start)
+    return rows if end is None else rows.filter(F.col("row_index") < end)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from askloop.session import checked_broadcast
+from askloop.session import materialize
 
 BUCKET_DIGITS = 4
 
@@ -23,21 +23,17 @@ def _bucket(key: str) -> Column:
     return F.substring(key, 1, BUCKET_DIGITS)
 
 
-def _histogram(df: DataFrame, by: list[str], bucket: Column) -> DataFrame:
-    return df.groupBy(*by, bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
-
-
 def bucket_histogram(df: DataFrame, strata: list[str], key: str) -> DataFrame:
     """Rows per (stratum, bucket): at most 65,536 rows a stratum, combined map-side."""
-    return _histogram(df, strata, _bucket(key))
+    return df.groupBy(*strata, _bucket(key).alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
 
 
 def cut_keys(df: DataFrame, strata: list[str], key: str, histogram: DataFrame, quota: DataFrame) -> DataFrame:
     """Per stratum the ``_cut``: the key of the last of its ``take`` rows with the smallest keys.
 
-    ``quota`` has the strata columns and ``take``; ``key`` is unique within a stratum. A stratum that takes nothing
-    has no row here. Only the key column of the one cut bucket (1/65,536 of a stratum) is ranked. The result has one
-    row per stratum and is computed here, so that a join with it shuffles nothing.
+    ``quota`` has the strata columns and ``take``; ``key`` is unique within a stratum; ``df`` is a written narrow table.
+    A stratum that takes nothing has no row here. Only the key column of the one cut bucket (1/65,536 of a stratum) is
+    ranked. The result, one row per stratum, is written, so that the planner knows how small it is.
     """
     upto = Window.partitionBy(*strata).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     cut = (
@@ -50,36 +46,27 @@ def cut_keys(df: DataFrame, strata: list[str], key: str, histogram: DataFrame, q
     cuts = (
         df.select(*strata, key)
         .withColumn("_bucket", _bucket(key))
-        .join(checked_broadcast(cut), [*strata, "_bucket"])
+        .join(cut, [*strata, "_bucket"])
         .withColumn("_rank", F.row_number().over(ranked))
         .filter(F.col("_rank") == F.col("_place"))
         .select(*strata, F.col(key).alias("_cut"))
     )
-    return checked_broadcast(cuts)
+    return materialize(cuts, "cuts")
 
 
-def _number(df: DataFrame, order: str, bucket: Column, by: list[str], name: str) -> DataFrame:
-    """Number rows 0, 1, 2, … within ``by`` in the order of ``order``, of which ``bucket`` is a monotone function.
+def number_rows(df: DataFrame, order: list[Column | str], by: list[str], name: str = "row_index") -> DataFrame:
+    """Number rows 0, 1, 2, … within ``by`` in the order of ``order``, whose values are unique there.
 
-    A bucket's first number is the size of all buckets before it, so rows are ranked bucket by bucket in parallel.
+    Rows are range-partitioned by that order, sorted and written once with their place in the partition; a row's number
+    is its place in its partition and group plus the rows of the group in earlier partitions. Only one row for each
+    partition and group is gathered to add these up.
     """
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    histogram = _histogram(df, by, bucket)
-    offsets = histogram.select(*by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(*by, "_bucket").orderBy(order)
-    return (
-        df.withColumn("_bucket", bucket)
-        .join(offsets, [*by, "_bucket"])
-        .withColumn(name, F.col("_before") + F.row_number().over(within) - 1)
-        .drop("_bucket", "_before")
-    )
-
-
-def number_by_key(df: DataFrame, key: str, by: list[str], name: str = "row_index") -> DataFrame:
-    """Number rows in the order of an md5 text column (65,536 even buckets)."""
-    return _number(df, key, _bucket(key), by, name)
-
-
-def number_by_integer(df: DataFrame, order: str, by: list[str], name: str = "row_index") -> DataFrame:
-    """Number rows in the order of a unique integer column (buckets of 65,536 consecutive values)."""
-    return _number(df, order, F.floor(F.col(order) / 65_536).cast("bigint"), by, name)
+    keys = [*[F.col(c) for c in by], *[F.col(c) if isinstance(c, str) else c for c in order]]
+    sorted_ = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = materialize(sorted_.withColumns({"_part": F.spark_partition_id(), "_place": place}), "numbered")
+    parts = placed.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(*by, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_before"))
+    numbered = placed.join(F.broadcast(offsets), [*by, "_part"])  # a row for each partition and group
+    return numbered.withColumn(name, F.col("_place") + F.col("_before")).select(*df.columns, name)

@@ -2,28 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askloop.schemas import KEYS
 
-# A question with more rows than this is hot. Only the hottest are singled out, so what is broadcast is at most this
-# many rows of a few values each; a question with a thousandth of all rows is always among them.
-HOT_ROWS = 100_000
-HOT_QUESTIONS = 1_000
+SALTS = 16
 
 
-def join_per_question(df: DataFrame, per_question: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add the columns of ``per_question`` (one row a question, with its row count ``_rows``) to every row.
+def salt(turn: Column) -> Column:
+    """A question's turns dealt out to ``SALTS`` parts."""
+    return F.pmod(turn.cast("bigint"), F.lit(SALTS)).cast("int")
 
-    Rows of hot questions stay where they are and meet a broadcast of at most ``HOT_QUESTIONS`` rows; all others take
-    the ordinary equi join, whose partitions then have no hot key.
+
+def join_per_question(df: DataFrame, per_question: DataFrame, turn: str = "turn") -> DataFrame:
+    """Add the columns of ``per_question`` (one narrow row a question) to every row.
+
+    The join key is the question and a salt from the turn, so a hot question's rows go to ``SALTS`` partitions; the
+    narrow side is repeated for each salt. Nothing is counted or fetched to decide this.
     """
-    values = per_question.drop("_rows")
-    hottest = per_question.filter(F.col("_rows") > hot_rows).orderBy(F.desc("_rows")).limit(HOT_QUESTIONS).collect()
-    if not hottest:
-        return df.join(values, KEYS)
-    hot = df.sparkSession.createDataFrame(hottest, per_question.schema).drop("_rows")
-    in_place = df.join(F.broadcast(hot), KEYS)
-    rest = df.join(F.broadcast(hot.select(*KEYS)), KEYS, "left_anti").join(values, KEYS)
-    return in_place.unionByName(rest)
+    salts = F.explode(F.array(*[F.lit(s) for s in range(SALTS)])).alias("_salt")
+    salted = per_question.select("*", salts)
+    return df.withColumn("_salt", salt(F.col(turn))).join(salted, [*KEYS, "_salt"]).drop("_salt")

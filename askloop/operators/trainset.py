@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,8 +15,8 @@ from askloop.functions import encoding
 from askloop.functions.parsing import clean_task_content
 from askloop.functions.text import label_text, tokens
 from askloop.operators.prompts import gate_input
-from askloop.operators.sampling import bucket_histogram, cut_keys, number_by_key, seeded_key
-from askloop.operators.skew import HOT_ROWS, join_per_question
+from askloop.operators.sampling import bucket_histogram, cut_keys, number_rows, seeded_key
+from askloop.operators.skew import SALTS, join_per_question
 from askloop.schemas import KEYS
 from askloop.session import materialize
 
@@ -35,13 +34,15 @@ def class_distribution(df: DataFrame, label: str = "gate_verdict", by: tuple[str
 def balance(df: DataFrame, label: str = "gate_verdict", seed: int = SEED, by: tuple[str, ...] = ("dataset",)) -> DataFrame:
     """Downsample class 0 to exactly the size of class 1, per data set, where class 0 is larger; never the reverse.
 
-    ``shuffle_key`` is the seeded order. No row is shuffled: the sample is a filter against one key per class.
-    (dataset, id, turn) must be unique. A data set has one cut, so the cuts are few and their size is checked.
+    ``shuffle_key`` is the seeded order. The cuts are worked out on a narrow table of keys and labels, written once; the
+    rows themselves are read once, at the end, and filtered against one key per data set without a shuffle.
+    (dataset, split, id, turn) must be unique.
     """
     by = list(by)
     keyed = df.withColumn("shuffle_key", seeded_key(seed, *ROW_KEY))
-    zeros = keyed.filter(F.col(label) == 0)
-    histogram = bucket_histogram(keyed, [*by, label], "shuffle_key")
+    narrow = materialize(keyed.select(*by, label, "shuffle_key"), "balance-keys")
+    zeros = narrow.filter(F.col(label) == 0)
+    histogram = bucket_histogram(narrow, [*by, label], "shuffle_key")
     sizes = histogram.groupBy(*by).agg(
         F.sum(F.when(F.col(label) == 0, F.col("_n")).otherwise(0)).alias("_zeros"),
         F.sum(F.when(F.col(label) == 1, F.col("_n")).otherwise(0)).alias("_ones"),
@@ -56,12 +57,12 @@ def balance(df: DataFrame, label: str = "gate_verdict", seed: int = SEED, by: tu
 
 
 def group_labels(df: DataFrame, label: str = "gate_verdict") -> DataFrame:
-    """One label per question: the more frequent of 0 and 1, 0 on a tie; and its number of rows.
+    """One label per question: the more frequent of 0 and 1, 0 on a tie. Rows without a label have no vote.
 
     Two sums, which aggregate in fixed-width buffers, where ``mode`` would ship a map per question.
     """
-    ones, rows = F.sum(label), F.count(F.lit(1))
-    return df.groupBy(*KEYS).agg(F.when(2 * ones > rows, 1).otherwise(0).alias("group_label"), rows.alias("_rows"))
+    ones, votes = F.sum(label), F.count(label)
+    return df.groupBy(*KEYS).agg(F.when(2 * ones > votes, 1).otherwise(0).alias("group_label"))
 
 
 def dev_quota(sizes: DataFrame, by: list[str], share: float) -> DataFrame:
@@ -91,7 +92,7 @@ def split_groups(
     seed: int = SEED,
     by: tuple[str, ...] = ("dataset",),
 ) -> DataFrame:
-    """Every question with its ``group_label``, ``split`` and row count, stratified by label, exact in number."""
+    """Every question with its ``group_label`` and ``side`` (train or dev), stratified by label, exact in number."""
     by = list(by)
     strata = [*by, "group_label"]
     # One narrow row a question, used by several jobs below.
@@ -100,7 +101,7 @@ def split_groups(
     sizes = histogram.groupBy(*strata).agg(F.sum("_n").alias("_groups"))
     cuts = cut_keys(groups, strata, "_key", histogram, dev_quota(sizes, by, share))
     side = F.when(F.col("_key") <= F.col("_cut"), "dev").otherwise("train")
-    return groups.join(cuts, strata, "left").select(*KEYS, "group_label", side.alias("split"), "_rows")
+    return groups.join(cuts, strata, "left").select(*KEYS, "group_label", side.alias("side"))
 
 
 def group_split(
@@ -109,11 +110,10 @@ def group_split(
     share: float = DEV_SHARE,
     seed: int = SEED,
     by: tuple[str, ...] = ("dataset",),
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Add ``split`` to every row; a question is never on both sides."""
+    """Add ``side`` to every row; a question is never on both sides. ``split`` stays that of the question."""
     groups = split_groups(df, label, share, seed, by).drop("group_label")
-    return join_per_question(df, groups, hot_rows)
+    return join_per_question(df, groups)
 
 
 def join_sets(*sets: DataFrame) -> DataFrame:
@@ -121,9 +121,10 @@ def join_sets(*sets: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sets)
 
 
-def tag_splits(train: DataFrame, val: DataFrame, test: DataFrame) -> DataFrame:
+def tag_sides(train: DataFrame, val: DataFrame, test: DataFrame) -> DataFrame:
+    """One table of the three parts, told apart by ``side``."""
     parts = {"train": train, "val": val, "test": test}
-    return join_sets(*[df.withColumn("split", F.lit(name)) for name, df in parts.items()])
+    return join_sets(*[df.withColumn("side", F.lit(name)) for name, df in parts.items()])
 
 
 def first_rows(df: DataFrame, n: int, order: str | None = None) -> DataFrame:
@@ -148,28 +149,26 @@ PAD, END, UNKNOWN, ZERO, ONE = 0, 1, 2, 3, 4
 RESERVED = 5
 
 
-def build_vocabulary(df: DataFrame, text: str = "input", max_words: int = 32_000) -> DataFrame:
-    """Word ids for the ``max_words`` most frequent words of a corpus, as ``word, token_id``.
+def build_vocabulary(df: DataFrame, text: str = "input", max_words: int | None = None) -> DataFrame:
+    """Word ids of a corpus by falling frequency, as ``word, token_id``; of all words, or of the ``max_words`` first.
 
-    The size is a property of the tokenizer (other words share the unknown id). Counting combines map-side; only the
-    words kept are ranked, so the ranking is of bounded size. The label words "0" and "1" have reserved ids.
+    Counting combines map-side and the numbers come from a range partitioning, so no task holds all words. The label
+    words "0" and "1" have reserved ids.
     """
     words = df.select(F.explode(tokens(F.col(text))).alias("word")).filter(~F.col("word").isin("0", "1"))
     counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    kept = counted.orderBy(F.desc("n"), "word").limit(max_words)
-    ranked = F.row_number().over(Window.orderBy(F.desc("n"), "word")) + F.lit(RESERVED - 1)
-    return kept.select("word", ranked.alias("token_id"))
+    ranked = number_rows(counted, [F.desc("n"), F.col("word")], [], "_place")
+    kept = ranked if max_words is None else ranked.filter(F.col("_place") < max_words)
+    return kept.select("word", (F.col("_place") + RESERVED).cast("int").alias("token_id"))
 
 
 class VocabularyTokenizer:
     """Word ids from a vocabulary table, with the end id last.
 
-    A vocabulary of at most ``max_words`` rows is sent to the tasks, which look whole Arrow batches up: no shuffle. A
-    larger one is joined.
+    A text's different words are looked up by a join on the word, a frequent word dealt out to ``SALTS`` partitions by
+    the row it stands in.
     """
 
-    max_words = 262_144
-
     def __init__(self, vocabulary: DataFrame):
         fixed = vocabulary.sparkSession.createDataFrame([("0", ZERO), ("1", ONE)], "word string, token_id int")
         self.vocabulary = vocabulary.select("word", F.col("token_id").cast("int")).unionByName(fixed)
@@ -179,57 +178,34 @@ class VocabularyTokenizer:
         words = df.select(
             *key, *[F.slice(tokens(F.col(name)), 1, length - 1).alias(name) for name, length in texts.items()]
         )
-        known = self.vocabulary.head(self.max_words + 1)
-        found = self._sent(words, key, list(texts), known) if len(known) <= self.max_words else self._joined(words, key, list(texts))
-        return found.select(*key, *[F.concat(name, F.array(F.lit(END))).alias(name) for name in texts])
-
-    def _sent(self, words: DataFrame, key: list[str], names: list[str], known: list) -> DataFrame:
-        table = words.sparkSession.sparkContext.broadcast(([r["word"] for r in known], [r["token_id"] for r in known]))
-
-        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known_words, known_ids = (pa.array(column) for column in table.value)
-            for batch in batches:
-                columns = [batch.column(k) for k in key]
-                for name in names:
-                    lists = batch.column(name)
-                    ids = pc.take(known_ids.cast(pa.int32()), pc.index_in(lists.flatten(), value_set=known_words))
-                    ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(lists), 0))
-                    offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends.cast(pa.int32())])
-                    columns.append(pa.ListArray.from_arrays(offsets, pc.fill_null(ids, UNKNOWN)))
-                yield pa.RecordBatch.from_arrays(columns, [*key, *names])
-
-        fields = [words.schema[k] for k in key] + [T.StructField(n, T.ArrayType(T.IntegerType())) for n in names]
-        return words.mapInArrow(look_up, T.StructType(fields))
-
-    def _joined(self, words: DataFrame, key: list[str], names: list[str]) -> DataFrame:
-        lists = F.array(*[F.struct(F.lit(n).alias("_text"), F.col(n).alias("_words")) for n in names])
-        listed = words.select(*key, F.explode(lists).alias("_t")).select(
-            *key, "_t._text", F.posexplode_outer("_t._words").alias("_pos", "word")
-        )
-        found = listed.join(self.vocabulary, "word", "left").withColumn("token_id", F.coalesce("token_id", F.lit(UNKNOWN)))
+        every = F.array_distinct(F.concat(*texts))
+        asked = words.select(*key, F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int").alias("_salt"), F.explode(every).alias("word"))
+        salts = F.explode(F.array(*[F.lit(s) for s in range(SALTS)])).alias("_salt")
+        found = asked.join(self.vocabulary.select("*", salts), ["word", "_salt"])
+        known = found.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("word", "token_id"))).alias("_ids"))
+        joined = words.join(known, key, "left")
 
         def column(name: str) -> Column:
-            wanted = (F.col("_text") == name) & F.col("_pos").isNotNull()
-            placed = F.sort_array(F.collect_list(F.when(wanted, F.struct("_pos", "token_id"))))
-            return F.transform(placed, lambda p: p["token_id"]).alias(name)
+            ids = F.transform(name, lambda w: F.coalesce(F.try_element_at("_ids", w), F.lit(UNKNOWN)))
+            return F.concat(ids, F.array(F.lit(END))).alias(name)
 
-        return found.groupBy(*key).agg(*[column(name) for name in names])
+        return joined.select(*key, *[column(name) for name in texts])
 
 
 class CallableTokenizer:
     """Ids from a user's tokenizer: ``load()`` returns ``fn(list of texts) -> list of id lists``, once per worker."""
 
-    def __init__(self, load: Callable[[], Callable[[list[str]], list[list[int]]]], name: str = "tokenizer"):
-        self.load, self.name = load, name
+    def __init__(self, load: Callable[[], Callable[[list[str]], list[list[int]]]]):
+        self.load, self.token = load, uuid.uuid4().hex
 
     def ids(self, df: DataFrame, key: list[str], texts: dict[str, int]) -> DataFrame:
         from askloop.operators.models import load_once
 
-        load, name = self.load, self.name
+        load, token = self.load, self.token
 
         @F.pandas_udf(T.ArrayType(T.IntegerType()))
         def encode(series: pd.Series) -> pd.Series:
-            return pd.Series(load_once(name, load)(series.tolist()))
+            return pd.Series(load_once(token, load)(series.tolist()))
 
         return df.select(*key, *[encode(F.col(t)).alias(t) for t in texts])
 
@@ -250,4 +226,4 @@ def encode_pad(
 def shuffled_index(df: DataFrame, seed: int, key: list[str], by: list[str], name: str = "row_index") -> DataFrame:
     """Number the rows in a seeded shuffle order."""
     keyed = df.withColumn("_shuffle", seeded_key(seed, *key))
-    return number_by_key(keyed, "_shuffle", by, name).drop("_shuffle")
+    return number_rows(keyed, ["_shuffle"], by, name).drop("_shuffle")

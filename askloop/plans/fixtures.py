@@ -23,17 +23,11 @@ SCHEMAS = {
         "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
     ),
 }
-SPLIT_BYTES = 128 * 1024 * 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table. A small one is a single row group, hence one task: it is spread over the cores by its first
-    column. A table with a full split for every core is read as it is.
-    """
-    df = spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores, df.columns[0]) if size < cores * SPLIT_BYTES else df
+    """A test table, read with its given schema."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _digit():
@@ -57,6 +51,7 @@ def responses(spark: SparkSession, sf_dir: str, first_turn: int = 0) -> DataFram
     label = F.when(F.col("conv_id") % 11 == 0, "\n").otherwise("\nRationale: ")
     return table(spark, sf_dir, "conversations").select(
         F.lit("conv").alias("dataset"),
+        F.lit("dev").alias("split"),
         F.col("conv_id").cast("string").alias("id"),
         (F.col("turn") + first_turn).cast("int").alias("turn"),
         F.concat(F.lit("Answer: "), _digit(), label, F.col("text")).alias("response"),
@@ -66,6 +61,7 @@ def responses(spark: SparkSession, sf_dir: str, first_turn: int = 0) -> DataFram
 def gate_outputs(spark: SparkSession, sf_dir: str, first_turn: int = 0) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(
         F.lit("conv").alias("dataset"),
+        F.lit("dev").alias("split"),
         F.col("conv_id").cast("string").alias("id"),
         (F.col("turn") + first_turn).cast("int").alias("turn"),
         (F.length("text") % 3 == 0).alias("gate_output"),
@@ -78,6 +74,7 @@ def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation turn as a recorded, gated rollout turn."""
     return table(spark, sf_dir, "conversations").select(
         F.lit("conv").alias("dataset"),
+        F.lit("dev").alias("split"),
         F.col("conv_id").cast("string").alias("id"),
         F.col("turn").cast("int").alias("turn"),
         F.concat(F.lit("Q: "), F.col("role"), F.lit(" \n")).alias("task_content"),
@@ -106,6 +103,7 @@ def event_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat(kind, F.lit(" "), (F.col("q") % 3).cast("string"))
     return event.select(
         F.lit("events").alias("dataset"),
+        F.lit("train").alias("split"),
         F.col("q").cast("string").alias("id"),
         (F.col("event_id") % 4).cast("int").alias("turn"),
         F.concat(F.lit("Q: which event?"), F.when(F.col("k") % 7 == 0, "\nGround-truth Answer: x\n").otherwise(" \n")).alias(
@@ -135,6 +133,7 @@ def document_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four documents in a row as the rationales of one question, whole texts."""
     return table(spark, sf_dir, "documents").select(
         F.lit("docs").alias("dataset"),
+        F.lit("train").alias("split"),
         F.expr("cast(doc_id div 4 as string)").alias("id"),
         (F.col("doc_id") % 4).cast("int").alias("turn"),
         F.col("source").alias("answer"),
@@ -143,7 +142,8 @@ def document_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_mcq(spark: SparkSession, sf_dir: str, question: str = "question") -> DataFrame:
-    words = F.slice(F.split("text", " "), 1, 4)
+    """Every blank-separated part of an item as one choice."""
+    words = F.split("text", " ")
     return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("row_index"),
         F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("id"),
@@ -226,6 +226,7 @@ def gate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     return joined.select(
         F.lit("docs").alias("dataset"),
+        F.lit("train").alias("split"),
         F.col("doc_id").cast("string").alias("id"),
         F.lit(0).alias("turn"),
         F.concat(F.lit("Q: "), "source", F.lit(" \n")).alias("task_content"),

@@ -75,13 +75,13 @@ def gate_outputs(first: int = 0) -> str:
     FROM conversations"""
 
 
-CONV = f"""SELECT 'conv' AS dataset, CAST(conv_id AS VARCHAR) AS id, CAST(turn AS INT) AS turn,
+CONV = f"""SELECT 'conv' AS dataset, 'dev' AS split, CAST(conv_id AS VARCHAR) AS id, CAST(turn AS INT) AS turn,
     'Q: ' || role || ' ' || chr(10) AS task_content, {DIGIT} AS answer, text AS rationale,
     [CAST(conv_id % 4 AS VARCHAR)] AS gold, length(text) % 3 = 0 AS gate_output,
     CAST(length(text) % 4 = conv_id % 4 AS INT) AS correct FROM conversations"""
 
 _KINDS = "[" + ", ".join(_q(t) for t in EVENT_TYPES) + "]"
-EVENTS = f"""SELECT 'events' AS dataset, CAST(q AS VARCHAR) AS id, CAST(event_id % 4 AS INT) AS turn,
+EVENTS = f"""SELECT 'events' AS dataset, 'train' AS split, CAST(q AS VARCHAR) AS id, CAST(event_id % 4 AS INT) AS turn,
     'Q: which event?' || CASE WHEN k % 7 = 0 THEN chr(10) || 'Ground-truth Answer: x' || chr(10) ELSE ' ' || chr(10) END
         AS task_content,
     answer, CASE WHEN k % 9 <> 0 THEN 'It was ' || event_type || ' ' || props END AS rationale,
@@ -121,7 +121,7 @@ FORMULA = """count(*) AS n, CAST(sum(CAST(score = -1 AS INT)) AS BIGINT) AS n_wr
     CAST(sum(CAST(score = 0 AS INT)) AS BIGINT) AS n_withheld, CAST(sum(CAST(score = 1 AS INT)) AS BIGINT) AS n_right,
     CAST(sum(score) AS BIGINT) AS formula_sum, round(avg(score), 6) AS formula_avg"""
 
-TRAINING = f"SELECT dataset, id, turn, task_content, answer, rationale, correct AS gate_verdict FROM ({CONV} UNION ALL {EVENTS})"
+TRAINING = f"SELECT dataset, split, id, turn, task_content, answer, rationale, correct AS gate_verdict FROM ({CONV} UNION ALL {EVENTS})"
 
 
 def add(name: str, sql: str) -> None:
@@ -141,13 +141,12 @@ add(
     WITH w AS (SELECT doc_id, unnest({tokens("text")}) AS word FROM documents),
     c AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY ALL),
     size AS (SELECT doc_id, sum(n) AS n FROM c GROUP BY doc_id),
-    pair AS (SELECT a.doc_id, a.doc_id + d AS other FROM documents a, (VALUES (1), (2)) t(d)
-             WHERE EXISTS (FROM documents b WHERE b.doc_id = a.doc_id + 1)
-               AND EXISTS (FROM documents b WHERE b.doc_id = a.doc_id + 2)),
+    pair AS (SELECT a.doc_id, b.doc_id AS other FROM documents a LEFT JOIN documents b
+             ON b.doc_id IN (a.doc_id + 1, a.doc_id + 2)),
     shared AS (SELECT pair.doc_id, pair.other, sum(least(x.n, y.n)) AS same
                FROM pair JOIN c x ON x.doc_id = pair.doc_id JOIN c y ON y.doc_id = pair.other AND y.word = x.word
                GROUP BY ALL)
-    SELECT pair.doc_id, round(max(CASE WHEN sa.n IS NULL OR sb.n IS NULL
+    SELECT pair.doc_id, round(max(CASE WHEN pair.other IS NULL THEN 0.0 WHEN sa.n IS NULL OR sb.n IS NULL
                THEN CASE WHEN sa.n IS NULL AND sb.n IS NULL THEN 1.0 ELSE 0.0 END
                ELSE coalesce(2.0 * same / (sa.n + sb.n), 0.0) END), 6) AS f1
     FROM pair LEFT JOIN size sa ON sa.doc_id = pair.doc_id LEFT JOIN size sb ON sb.doc_id = pair.other
@@ -250,7 +249,7 @@ FLAT = "row_index, dataset, split, id, question, array_to_string(gold, '|') AS g
 add(
     "normalise_mcq",
     """
-    WITH b AS (SELECT item_id, text, string_split(text, ' ')[1:4] AS c FROM benchmark),
+    WITH b AS (SELECT item_id, text, string_split(text, ' ') AS c FROM benchmark),
     t AS (SELECT item_id AS row_index, 'item-' || CAST(item_id AS VARCHAR) AS id,
         text || chr(10) || 'Choices: [' || array_to_string(list_transform(range(1, len(c) + 1),
             lambda i: CAST(i - 1 AS VARCHAR) || ': ''' || c[i] || ''''), ', ') || '].' AS question,
@@ -294,9 +293,9 @@ add("first_rows", f"SELECT {FLAT} FROM ({QA}) ORDER BY row_index LIMIT 25")
 add("qa_csv", f"SELECT {FLAT} FROM ({QA})")
 add(
     "predictions_csv",
-    f"""SELECT dataset, id, turn, task_content, answer, rationale, array_to_string(gold, '|') AS gold_text, p.gate_output,
-    correct, round(confidence_0, 6) AS confidence_0, round(confidence_1, 6) AS confidence_1
-    FROM ({CONV}) p JOIN ({gate_outputs()}) g USING (id, turn)""",
+    f"""{PREDICTIONS} SELECT p.dataset, p.split, p.id, p.turn, task_content, answer, rationale, array_to_string(gold, '|') AS gold_text,
+    p.gate_output, correct, round(confidence_0, 6) AS confidence_0, round(confidence_1, 6) AS confidence_1
+    FROM p LEFT JOIN ({gate_outputs()}) g ON p.dataset = 'conv' AND g.id = p.id AND g.turn = p.turn""",
 )
 add("qa_by_split", cloze("p_partkey", "train", "true"))
 add(
@@ -309,15 +308,15 @@ add(
     "metrics_log",
     f"""{SCORED}, l AS (SELECT * FROM s {LAST}),
     a AS (SELECT dataset, count(*) AS n, sum(correct) AS correct, avg(correct) AS accuracy, avg(f1) AS f1 FROM l GROUP BY dataset),
-    g AS (SELECT count(DISTINCT c) AS n_sizes, count(*) AS n_questions
-          FROM (SELECT id, count(*) AS c FROM p WHERE dataset = 'conv' GROUP BY id)),
+    g AS (SELECT dataset, count(DISTINCT c) AS n_sizes, count(*) AS n_questions
+          FROM (SELECT dataset, id, count(*) AS c FROM p GROUP BY dataset, id) GROUP BY dataset),
     long AS (
       SELECT dataset, 'accuracy' AS stage, 'n' AS metric, CAST(n AS DOUBLE) AS v FROM a
       UNION ALL SELECT dataset, 'accuracy', 'correct', correct FROM a
       UNION ALL SELECT dataset, 'accuracy', 'accuracy', accuracy FROM a
       UNION ALL SELECT dataset, 'accuracy', 'f1', f1 FROM a
-      UNION ALL SELECT NULL, 'sizes', 'n_sizes', n_sizes FROM g
-      UNION ALL SELECT NULL, 'sizes', 'n_questions', n_questions FROM g)
+      UNION ALL SELECT dataset, 'sizes', 'n_sizes', n_sizes FROM g
+      UNION ALL SELECT dataset, 'sizes', 'n_questions', n_questions FROM g)
     SELECT 'r1' AS run_id, dataset, stage, metric, round(v, 6) AS value FROM long""",
 )
 
@@ -450,9 +449,9 @@ add(
         FROM p JOIN f1s USING (dataset, id, turn)))
     SELECT round(avg(correct), 6) AS accuracy, round(avg(f1), 6) AS f1, {FORMULA} FROM s""",
 )
-_CRITIC = """SELECT CAST(conv_id AS VARCHAR) AS id, CAST(turn + 1 AS INT) AS call,
-    CASE WHEN length(text) % 5 = 0 THEN 'I cannot tell' ELSE 'I choose (' || CAST(length(text) % 4 AS VARCHAR) || ')' END AS response
-    FROM conversations WHERE turn < 5"""
+_CRITIC = """SELECT CAST(conv_id AS VARCHAR) AS id, call,
+    CASE WHEN size % 5 = 0 THEN 'I cannot tell' ELSE 'I choose (' || CAST(size % 4 AS VARCHAR) || ')' END AS response
+    FROM (SELECT conv_id, CAST(turn % 5 + 1 AS INT) AS call, arg_max(length(text), turn) AS size FROM conversations GROUP BY ALL)"""
 _NUMBER = "regexp_extract(response, '\\((\\d+)\\)$', 1)"
 add(
     "self_critic",
@@ -487,7 +486,7 @@ add(
     "class_distribution",
     f"SELECT dataset, gate_verdict, count(*) AS n FROM ({TRAINING}) GROUP BY ALL",
 )
-ROW_KEY = "md5('42|' || dataset || '|' || id || '|' || CAST(turn AS VARCHAR))"
+ROW_KEY = "md5('42|' || dataset || '|' || split || '|' || id || '|' || CAST(turn AS VARCHAR))"
 
 
 def balanced(source: str, label: str) -> str:
@@ -500,15 +499,15 @@ def split(source: str, label: str) -> str:
     """Rows of the source with their split: groups by label, the dev side by largest remainder of the train side."""
     return f"""
     t AS ({source}),
-    grp AS (SELECT dataset, id, CASE WHEN 2 * sum({label}) > count(*) THEN 1 ELSE 0 END AS lab FROM t GROUP BY ALL),
+    grp AS (SELECT dataset, split, id, CASE WHEN 2 * sum({label}) > count({label}) THEN 1 ELSE 0 END AS lab FROM t GROUP BY ALL),
     counted AS (SELECT dataset, lab, count(*) AS c FROM grp GROUP BY ALL),
     size AS (SELECT *, sum(c) OVER (PARTITION BY dataset) AS n FROM counted),
     exact AS (SELECT *, CAST(n - ceil(n * 0.2) AS BIGINT) AS train, (n - ceil(n * 0.2)) * c / n AS e FROM size),
     laid AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY round(e - floor(e), 9) DESC, lab)
         <= train - sum(floor(e)) OVER (PARTITION BY dataset) AS extra FROM exact),
     quota AS (SELECT dataset, lab, c - floor(e) - CAST(extra AS INT) AS take FROM laid),
-    side AS (SELECT dataset, id, CASE WHEN row_number() OVER (PARTITION BY dataset, lab
-        ORDER BY md5('42|' || dataset || '|' || id)) <= take THEN 'dev' ELSE 'train' END AS split
+    sides AS (SELECT dataset, split, id, CASE WHEN row_number() OVER (PARTITION BY dataset, lab
+        ORDER BY md5('42|' || dataset || '|' || split || '|' || id)) <= take THEN 'dev' ELSE 'train' END AS side
         FROM grp JOIN quota USING (dataset, lab))"""
 
 
@@ -519,12 +518,12 @@ add(
 add(
     "group_split",
     f"""WITH {split(TRAINING, "gate_verdict")}
-    SELECT dataset, id, turn, gate_verdict, split FROM t JOIN side USING (dataset, id)""",
+    SELECT dataset, id, turn, gate_verdict, side FROM t JOIN sides USING (dataset, split, id)""",
 )
 add(
     "joint_trainset",
     f"""WITH {split(balanced(TRAINING, "gate_verdict"), "gate_verdict")}
-    SELECT dataset, split, gate_verdict, count(*) AS n FROM t JOIN side USING (dataset, id) GROUP BY ALL""",
+    SELECT dataset, side, gate_verdict, count(*) AS n FROM t JOIN sides USING (dataset, split, id) GROUP BY ALL""",
 )
 _CUT = "'(?s)^(.*)(?:Ground-truth Answer:|Use this exact correct answer:)'"
 _PLAIN = f"CASE WHEN regexp_matches(task_content, {_CUT}) THEN {strip(f'regexp_extract(task_content, {_CUT}, 1)')} ELSE task_content END"
@@ -542,27 +541,27 @@ add(
 def vocabulary(source: str) -> str:
     return f"""SELECT word, CAST(row_number() OVER (ORDER BY n DESC, word) + 4 AS INT) AS token_id
     FROM (SELECT word, count(*) AS n FROM (SELECT unnest({tokens("text")}) AS word FROM {source})
-          WHERE word NOT IN ('0', '1') GROUP BY word ORDER BY n DESC, word LIMIT 500)"""
+          WHERE word NOT IN ('0', '1') GROUP BY word)"""
 
 
 add("vocabulary", vocabulary("documents"))
 ENCODED = f"""
     d AS (SELECT CAST(doc_id AS VARCHAR) AS id, text, quality FROM documents JOIN labels USING (doc_id)),
     v AS ({vocabulary("d")} UNION ALL SELECT * FROM (VALUES ('0', 3), ('1', 4)) r(word, token_id)),
-    w AS (SELECT id, unnest(t) AS word, unnest(range(len(t))) AS pos FROM (SELECT id, ({tokens("text")})[1:127] AS t FROM d)),
+    w AS (SELECT id, unnest(t) AS word, unnest(range(len(t))) AS pos FROM (SELECT id, ({tokens("text")})[1:1023] AS t FROM d)),
     e AS (SELECT d.id, quality, string_agg(CAST(coalesce(token_id, 2) AS VARCHAR), ' ' ORDER BY pos) AS ids, count(pos) AS n
           FROM d LEFT JOIN w USING (id) LEFT JOIN v USING (word) GROUP BY ALL)"""
 add(
     "encode_pad",
     f"""WITH {ENCODED}
-    SELECT id, coalesce(ids || ' ', '') || '1' || repeat(' 0', 127 - n) AS input_ids,
-        repeat('1 ', n) || '1' || repeat(' 0', 127 - n) AS attention_mask,
-        CASE quality WHEN 1 THEN '4' ELSE '3' END || ' 1 -100 -100' AS labels FROM e""",
+    SELECT id, coalesce(ids || ' ', '') || '1' || repeat(' 0', 1023 - n) AS input_ids,
+        repeat('1 ', n) || '1' || repeat(' 0', 1023 - n) AS attention_mask,
+        CASE quality WHEN 1 THEN '4' ELSE '3' END || ' 1' || repeat(' -100', 62) AS labels FROM e""",
 )
 add(
     "label_recodes",
-    """SELECT CASE quality WHEN 1 THEN '4' ELSE '3' END || ' 1 0 0' AS restored,
-    CAST(quality AS VARCHAR) || ' -100 -100 -100' AS targets, count(*) AS n
+    """SELECT CASE quality WHEN 1 THEN '4' ELSE '3' END || ' 1' || repeat(' 0', 62) AS restored,
+    CAST(quality AS VARCHAR) || repeat(' -100', 63) AS targets, count(*) AS n
     FROM documents JOIN labels USING (doc_id) GROUP BY ALL""",
 )
 
@@ -677,7 +676,7 @@ add(
 )
 add(
     "system_report",
-    f"""{SCORED}, {KEPT}, l AS (SELECT *, {GATED_SCORE} AS score FROM k WHERE dataset = 'conv' {LAST})
+    f"""{SCORED}, {KEPT}, l AS (SELECT *, {GATED_SCORE} AS score FROM k {LAST})
     SELECT dataset, CAST(sum(correct) AS BIGINT) AS correct, round(avg(correct), 6) AS accuracy, round(avg(f1), 6) AS f1,
         {FORMULA} FROM l GROUP BY dataset""",
 )
@@ -708,8 +707,8 @@ def overlapping(source: str, threshold: int, shared: str) -> str:
 
 add("rationale_redundancy", f"{overlapping(f'{TALK} UNION ALL {DOCS}', 20, 'a.n & b.n')} SELECT * FROM r")
 add("rationale_redundancy_min", f"{overlapping(f'{TALK} UNION ALL {DOCS}', 30, 'least(a.n, b.n)')} SELECT * FROM r")
-add("rationale_redundancy_share", f"{overlapping(TALK, 20, 'a.n & b.n')} SELECT {_SHARE.format('n_rationales')} FROM r")
+add("rationale_redundancy_share", f"{overlapping(f'{TALK} UNION ALL {DOCS}', 20, 'a.n & b.n')} SELECT {_SHARE.format('n_rationales')} FROM r")
 add(
     "rationale_redundancy_histogram",
-    f"{overlapping(TALK, 20, 'a.n & b.n')} SELECT n_redundant, count(*) AS n_questions FROM r GROUP BY n_redundant",
+    f"{overlapping(f'{TALK} UNION ALL {DOCS}', 20, 'a.n & b.n')} SELECT n_redundant, count(*) AS n_questions FROM r GROUP BY n_redundant",
 )

@@ -54,12 +54,13 @@ def exact_match(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def token_f1(spark: SparkSession, sf: str) -> DataFrame:
-    """Each document against the two documents after it, whole texts."""
+    """Each document against the two documents after it, whole texts; the last two have fewer."""
     docs = fx.table(spark, sf, "documents").select("doc_id", "text")
-    one = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("g1"))
-    two = docs.select((F.col("doc_id") - 2).alias("doc_id"), F.col("text").alias("g2"))
-    pairs = docs.join(one, "doc_id").join(two, "doc_id")
-    return pairs.select("doc_id", r6(text.token_f1(F.col("text"), F.array("g1", "g2"))).alias("f1"))
+    ahead = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("_ahead")
+    told = docs.select("*", ahead).select((F.col("doc_id") - F.col("_ahead")).alias("doc_id"), "_ahead", "text")
+    by_place = told.groupBy("doc_id").agg(*[F.first(F.when(F.col("_ahead") == k, F.col("text")), True).alias(f"t{k}") for k in range(3)])
+    kept = by_place.filter(F.col("t0").isNotNull()).withColumn("golds", F.array_compact(F.array("t1", "t2")))
+    return kept.select("doc_id", r6(text.token_f1(F.col("t0"), F.col("golds"))).alias("f1"))
 
 
 @query
@@ -199,18 +200,21 @@ def qa_csv(spark: SparkSession, sf: str) -> DataFrame:
     """Questions written to the exchanged CSV form and read back."""
     path = _scratch(spark, "qa-csv")
     tables.write_csv(fx.qa(spark, sf), path, "qa", indexed=True)
-    read = tables.read_csv(spark, path, "qa", "conv", indexed=True).withColumn("split", F.lit("dev"))
+    read = tables.read_csv(spark, path, "qa", "conv", indexed=True, split="dev")
     return _flat(read)
 
 
 @query
 def predictions_csv(spark: SparkSession, sf: str) -> DataFrame:
-    """Gated turns written to the exchanged CSV form and read back."""
-    path = _scratch(spark, "predictions-csv")
+    """Gated turns written to the exchanged CSV form, a file set for each data set, and read back."""
     shares = fx.gate_outputs(spark, sf).drop("gate_output")
-    turns = fx.conversation_turns(spark, sf).join(shares, ["dataset", "id", "turn"])
-    tables.write_csv(turns, path, "predictions")
-    read = tables.read_csv(spark, path, "predictions", "conv")
+    turns = fx.predictions(spark, sf).join(shares, ["dataset", "split", "id", "turn"], "left")
+    parts = []
+    for dataset, split in (("conv", "dev"), ("events", "train")):
+        path = _scratch(spark, f"predictions-csv-{dataset}")
+        tables.write_csv(turns.filter(F.col("dataset") == dataset), path, "predictions")
+        parts.append(tables.read_csv(spark, path, "predictions", dataset, split=split))
+    read = parts[0].unionByName(parts[1])
     return rounded(read.withColumn("gold", joined(F.col("gold"))).withColumnRenamed("gold", "gold_text"))
 
 
@@ -239,8 +243,9 @@ def results_by_run(spark: SparkSession, sf: str) -> DataFrame:
 def metrics_log(spark: SparkSession, sf: str) -> DataFrame:
     path = _scratch(spark, "metrics")
     turns = fx.predictions(spark, sf)
-    tables.append_metrics(metrics.to_long(metrics.accuracy(turns, by=["dataset"]), "r1", "accuracy", "dataset"), path)
-    tables.append_metrics(metrics.to_long(metrics.group_sizes(turns.filter("dataset = 'conv'")).agg(
+    tables.append_metrics(metrics.to_long(metrics.accuracy(turns, by=["dataset"]), "r1", "accuracy"), path)
+    sizes = metrics.group_sizes(turns, by=["dataset"]).groupBy("dataset")
+    tables.append_metrics(metrics.to_long(sizes.agg(
         F.count(F.lit(1)).alias("n_sizes"), F.sum("n_questions").alias("n_questions")), "r1", "sizes"), path)
     return tables.read_metrics(spark, path).select("run_id", "dataset", "stage", "metric", r6("value").alias("value"))
 
@@ -368,7 +373,7 @@ def reasoner_call(spark: SparkSession, sf: str) -> DataFrame:
     asked = fx.qa(spark, sf).withColumns(
         {"task_content": prompts.initial_content(F.col("question"), "gradual"), "question_type": F.lit("OEQ")}
     )
-    asked = prompts.with_prompt(asked.drop("question", "row_index", "split"), "first", "gradual")
+    asked = prompts.with_prompt(asked.drop("question", "row_index"), "first", "gradual")
     answered = models.Model(_counting_model, "counting").respond(asked, 1)
     parsed = parsing.answer_and_rationale(F.col("response"), F.col("question_type"))
     return answered.select("id", "gold", "temperature", parsed.alias("p")).select(
@@ -383,13 +388,16 @@ def zero_shot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _critic_responses(spark: SparkSession, sf: str) -> DataFrame:
-    """Five recorded calls a question: conversation turns 0 to 4 as calls 1 to 5; some give no number."""
-    number = F.concat(F.lit("I choose ("), (F.length("text") % 4).cast("string"), F.lit(")"))
-    return fx.table(spark, sf, "conversations").filter("turn < 5").select(
+    """Five recorded calls a question: of the conversation's turns modulo 5, the latest; some give no number."""
+    number = F.concat(F.lit("I choose ("), (F.col("size") % 4).cast("string"), F.lit(")"))
+    call = (F.col("turn") % 5 + 1).cast("int").alias("turn")
+    latest = fx.table(spark, sf, "conversations").select("conv_id", call, F.col("turn").alias("_turn"), F.length("text").alias("size"))
+    return latest.groupBy("conv_id", "turn").agg(F.max_by("size", "_turn").alias("size")).select(
         F.lit("conv").alias("dataset"),
+        F.lit("dev").alias("split"),
         F.col("conv_id").cast("string").alias("id"),
-        (F.col("turn") + 1).cast("int").alias("turn"),
-        F.when(F.length("text") % 5 == 0, "I cannot tell").otherwise(number).alias("response"),
+        "turn",
+        F.when(F.col("size") % 5 == 0, "I cannot tell").otherwise(number).alias("response"),
     )
 
 
@@ -420,7 +428,7 @@ def class_balance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def group_split(spark: SparkSession, sf: str) -> DataFrame:
-    return trainset.group_split(fx.training(spark, sf)).select("dataset", "id", "turn", "gate_verdict", "split")
+    return trainset.group_split(fx.training(spark, sf)).select("dataset", "id", "turn", "gate_verdict", "side")
 
 
 @query
@@ -430,7 +438,7 @@ def joint_trainset(spark: SparkSession, sf: str) -> DataFrame:
     training = [p.withColumnRenamed("correct", "gate_verdict").drop("gate_output") for p in parts]
     balanced = materialize(trainset.balance(trainset.join_sets(*training)), "balanced")
     split = trainset.group_split(balanced)
-    return trainset.class_distribution(split, by=("dataset", "split"))
+    return trainset.class_distribution(split, by=("dataset", "side"))
 
 
 @query
@@ -443,15 +451,15 @@ def instruct_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    return trainset.build_vocabulary(fx.table(spark, sf, "documents"), "text", 500)
+    return trainset.build_vocabulary(fx.table(spark, sf, "documents"), "text")
 
 
 def _encoded(spark: SparkSession, sf: str) -> DataFrame:
     docs = fx.gate_texts(spark, sf).select(
         "id", F.col("rationale").alias("input"), text.label_text(F.col("gate_verdict")).alias("label")
     )
-    words = materialize(trainset.build_vocabulary(docs, "input", 500), "vocabulary")
-    return trainset.encode_pad(docs, trainset.VocabularyTokenizer(words), ["id"], 128, 4)
+    words = materialize(trainset.build_vocabulary(docs, "input"), "vocabulary")
+    return trainset.encode_pad(docs, trainset.VocabularyTokenizer(words), ["id"])
 
 
 @query
@@ -475,7 +483,7 @@ def label_recodes(spark: SparkSession, sf: str) -> DataFrame:
 def _gate_rows(spark: SparkSession, sf: str) -> DataFrame:
     balanced = trainset.balance(fx.gate_texts(spark, sf), label="toxic")
     split = materialize(trainset.group_split(balanced, label="toxic"), "gate-rows")
-    return trainset.to_instruct(split, label="toxic", keep=("id", "split"))
+    return trainset.to_instruct(split, label="toxic", keep=("id", "side"))
 
 
 @query
@@ -483,8 +491,8 @@ def gate_fit_apply(spark: SparkSession, sf: str) -> DataFrame:
     """Fit on the training side, apply to the development side. Rows only: a fit has no SQL twin."""
     rows = _gate_rows(spark, sf)
     config = gate.GateConfig(features=1 << 12, penalties=(0.01, 0.1), max_iter=20)
-    fitted, _ = gate.fit_gate(rows.filter("split = 'train'"), rows.filter("split = 'dev'"), config)
-    judged = fitted.apply(rows.filter("split = 'dev'"))
+    fitted, _ = gate.fit_gate(rows.filter("side = 'train'"), rows.filter("side = 'dev'"), config)
+    judged = fitted.apply(rows.filter("side = 'dev'"))
     return judged.select("id", "label", "gate_output", r6("confidence_0").alias("confidence_0"), r6("confidence_1").alias("confidence_1"))
 
 
@@ -506,12 +514,12 @@ _TURN = ["dataset", "id", "turn", "answer", "rationale", "correct", "gate_output
 
 @query
 def last_turn(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.last_turn(fx.predictions(spark, sf).select(*_TURN))
+    return metrics.last_turn(fx.predictions(spark, sf).select("split", *_TURN)).drop("split")
 
 
 @query
 def first_turn(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.first_turn(fx.predictions(spark, sf).select(*_TURN))
+    return metrics.first_turn(fx.predictions(spark, sf).select("split", *_TURN)).drop("split")
 
 
 @query
@@ -611,33 +619,33 @@ def answer_redundancy_share(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rationales(spark: SparkSession, sf: str) -> DataFrame:
-    talk = fx.conversation_turns(spark, sf).select("dataset", "id", "turn", "answer", "rationale")
+    talk = fx.conversation_turns(spark, sf).select("dataset", "split", "id", "turn", "answer", "rationale")
     return talk.unionByName(fx.document_turns(spark, sf))
 
 
 @query
 def rationale_redundancy(spark: SparkSession, sf: str) -> DataFrame:
-    return redundancy.rationale_redundancy(_rationales(spark, sf))
+    return redundancy.rationale_redundancy(_rationales(spark, sf)).drop("split")
 
 
 @query
 def rationale_redundancy_min(spark: SparkSession, sf: str) -> DataFrame:
-    return redundancy.rationale_redundancy(_rationales(spark, sf), 30, overlap="min")
+    return redundancy.rationale_redundancy(_rationales(spark, sf), 30, overlap="min").drop("split")
 
 
 @query
 def rationale_redundancy_share(spark: SparkSession, sf: str) -> DataFrame:
-    counts = redundancy.rationale_redundancy(fx.conversation_turns(spark, sf))
+    counts = redundancy.rationale_redundancy(_rationales(spark, sf))
     return rounded(redundancy.redundancy_share(counts, "n_rationales"))
 
 
 @query
 def rationale_redundancy_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return redundancy.redundancy_histogram(redundancy.rationale_redundancy(fx.conversation_turns(spark, sf)))
+    return redundancy.redundancy_histogram(redundancy.rationale_redundancy(_rationales(spark, sf)))
 
 
 @query
 def system_report(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: recorded turns cut at the first accepted one, then scored."""
-    turns = fx.conversation_turns(spark, sf)
+    turns = fx.predictions(spark, sf)
     return rounded(metrics.system_report(turns, by=["dataset"], accept=F.col("gate_output")))

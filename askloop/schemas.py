@@ -1,8 +1,8 @@
-"""Table schemas. Keys are (dataset, id) for a question and (dataset, id, turn) for one answer to it."""
+"""Table schemas. Keys are (dataset, split, id) for a question and with turn for one answer to it."""
 
 from __future__ import annotations
 
-KEYS = ["dataset", "id"]
+KEYS = ["dataset", "split", "id"]
 
 RAW_MCQ = (
     "id string, question string, choices struct<label: array<string>, text: array<string>>, answerKey string"
@@ -14,19 +14,19 @@ RAW_PAIR = "goal string, sol1 string, sol2 string, label int"
 RAW_CLOZE = "sentence string, option1 string, option2 string, answer string"
 
 QA = "row_index bigint, dataset string, split string, id string, question string, gold array<string>"
-RESPONSES = "dataset string, id string, turn int, response string"
+RESPONSES = "dataset string, split string, id string, turn int, response string"
 GENERATED = (
-    "dataset string, id string, turn int, task_content string, answer string, rationale string, "
+    "dataset string, split string, id string, turn int, task_content string, answer string, rationale string, "
     "gold array<string>, verdict int"
 )
 TRAINING = GENERATED.replace("verdict int", "gate_verdict int")
 PREDICTIONS = (
-    "dataset string, id string, turn int, task_content string, answer string, rationale string, "
+    "dataset string, split string, id string, turn int, task_content string, answer string, rationale string, "
     "gold array<string>, gate_output boolean, correct int, confidence_0 double, confidence_1 double"
 )
-ZERO_SHOT = "dataset string, id string, question string, gold array<string>, answer string, correct int"
+ZERO_SHOT = "dataset string, split string, id string, question string, gold array<string>, answer string, correct int"
 SELF_CRITIC = (
-    "dataset string, id string, question string, gold array<string>, answer_1 string, answer_2 string, "
+    "dataset string, split string, id string, question string, gold array<string>, answer_1 string, answer_2 string, "
     "answer_3 string, correct_1 int, correct_2 int, correct_3 int, transcript string"
 )
 METRICS_LOG = "run_id string, dataset string, stage string, metric string, value double, value_str string"

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -36,8 +37,8 @@ def get_session(app: str = "askloop", master: str | None = None, **conf: str) ->
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
 
-    Only a local-mode session without the setting gets a folder of its own; a cluster without it is an error,
-    because a driver-local path would be lost with the machine.
+    Only a local-mode session without the setting gets a folder of its own, which goes with the process; a cluster
+    without it is an error, because a driver-local path would be lost with the machine.
     """
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if root:
@@ -46,29 +47,22 @@ def shared_root(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder shared by all executors")
     if context.applicationId not in _local_roots:
-        _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="askloop-")
+        _local_roots[context.applicationId] = root = tempfile.mkdtemp(prefix="askloop-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
     return _local_roots[context.applicationId]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table under the shared folder and read it back.
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table under the shared folder, or to ``path`` (replaced if there), and read it back.
 
     Used where a result feeds several jobs: the lineage ends in durable files, so a lost executor costs no
     recomputation, and later reads still prune columns and push filters.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if path is None:
+        path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def checked_broadcast(df: DataFrame, limit: int = 10_000) -> DataFrame:
-    """``df`` as a broadcast side if it has at most ``limit`` rows, else ``df`` unchanged.
-
-    For per-stratum or per-data-set tables, which are tiny but which the planner cannot know to be. The rows are
-    fetched once to measure them, at most ``limit`` + 1, so the other side of the join is never shuffled for them.
-    """
-    rows = df.head(limit + 1)
-    if len(rows) > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

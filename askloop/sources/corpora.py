@@ -5,20 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askloop.operators.sampling import number_by_integer
+from askloop.operators.sampling import number_rows
 from askloop.operators.trainset import SEED, shuffled_index
 
 # Fixed value: answer letters in index order.
 LETTERS = "ABCDE"
 
-# Which configuration and split of each public set serves as train and as dev.
-CORPORA = {
-    "commonsenseqa": {"config": None, "train": "train", "dev": "validation"},
-    "openbookqa": {"config": "additional", "train": "train", "dev": "test"},
-    "piqa": {"config": None, "train": "train", "dev": "validation"},
-    "winogrande": {"config": "winogrande_l", "train": "train", "dev": "validation"},
-}
-
 
 def letter_index(letter: Column) -> Column:
     """"A" to "E" as the text of their index, null for anything else."""
@@ -83,8 +75,8 @@ def number_shuffled(df: DataFrame, key: list[str], seed: int = SEED) -> DataFram
 
 
 def number_in_order(df: DataFrame, order: str) -> DataFrame:
-    """Number source records 0, 1, 2, … in the order of a unique integer column, as for a development split."""
-    return number_by_integer(df, order, [])
+    """Number source records 0, 1, 2, … in the order of a unique column, as for a development split."""
+    return number_rows(df, [order], [])
 
 
 def split_sizes(qa: DataFrame) -> DataFrame:

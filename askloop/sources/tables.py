@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from askloop.functions.parsing import literal_list
 from askloop.functions.text import confidence_text
+from askloop.operators.sampling import seeded_key
 from askloop.schemas import CSV_COLUMNS, METRICS_LOG
 
 # Quotes are doubled inside quoted fields, which may span lines.
@@ -28,9 +29,13 @@ def _field_from_text(name: str) -> Column:
     return F.col(name).cast(_TYPES.get(name, "string"))
 
 
-def read_csv(spark: SparkSession, path: str | list[str], kind: str, dataset: str, indexed: bool = False) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str | list[str], kind: str, dataset: str, indexed: bool = False, split: str = ""
+) -> DataFrame:
     """Read one of the exchanged CSV files (``kind`` names a CSV_COLUMNS entry) as text and type it explicitly.
 
+    The files name neither data set nor split, which are given. A file with fields over several lines is one task.
+
     Empty answers stay empty texts and digits stay digits. ``indexed`` files lead with an unnamed index column, kept
     as ``row_index``.
     """
@@ -43,7 +48,7 @@ def read_csv(spark: SparkSession, path: str | list[str], kind: str, dataset: str
         shares = [F.regexp_extract("confidence_scores", rf"{c}: ([0-9.]+)", 1) for c in (0, 1)]
         typed += [F.when(s != "", s).cast("double").alias(f"confidence_{c}") for c, s in enumerate(shares)]
     index = [F.col("row_index").cast("bigint").alias("row_index")] if indexed else []
-    return raw.select(*index, F.lit(dataset).alias("dataset"), *typed)
+    return raw.select(*index, F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), *typed)
 
 
 def python_list_text(values: Column) -> Column:
@@ -90,7 +95,7 @@ def write_csv(df: DataFrame, path: str, kind: str, indexed: bool = False) -> Non
 
 def read_many(spark: SparkSession, base: str, name: str, datasets: list[str], split: str, kind: str) -> DataFrame:
     """Union of ``{base}/{name}_{dataset}_generated_{split}.csv`` over the data sets."""
-    parts = [read_csv(spark, f"{base}/{name}_{d}_generated_{split}.csv", kind, d) for d in datasets]
+    parts = [read_csv(spark, f"{base}/{name}_{d}_generated_{split}.csv", kind, d, split=split) for d in datasets]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -99,14 +104,21 @@ def read_many(spark: SparkSession, base: str, name: str, datasets: list[str], sp
 
 def load_splits(
     spark: SparkSession, train: str, val: str | None, test: str, kind: str = "training", dataset: str = "",
-    sample_fraction: float = 0.2, seed: int = 42,
+    sample_fraction: float = 0.2, seed: int = 42, compat: bool = False,
 ) -> DataFrame:
-    """Train, val and test files as one table with ``split``. Without a val file it is a seeded sample of train.
+    """Train, val and test files as one table with ``split``.
 
-    A missing file is an error.
+    Without a val file, val is a seeded sample of the train questions and leaves train; with ``compat`` its rows also
+    stay in train. The sample goes by the seeded key of dataset and id, so all turns of a question are on one side. A
+    missing file is an error.
     """
     train_df = read_csv(spark, train, kind, dataset)
-    val_df = train_df.sample(sample_fraction, seed) if val is None else read_csv(spark, val, kind, dataset)
+    if val is None:
+        place = F.conv(F.substring(seeded_key(seed, "dataset", "id"), 1, 8), 16, 10).cast("bigint")
+        chosen = place < int(sample_fraction * (1 << 32))
+        val_df, train_df = train_df.filter(chosen), train_df if compat else train_df.filter(~chosen)
+    else:
+        val_df = read_csv(spark, val, kind, dataset)
     test_df = read_csv(spark, test, kind, dataset)
     parts = [df.withColumn("split", F.lit(s)) for s, df in (("train", train_df), ("val", val_df), ("test", test_df))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -134,8 +146,8 @@ def append_results(df: DataFrame, path: str, run_id: str) -> None:
 
 
 def write_sets(df: DataFrame, path: str) -> None:
-    """Training rows by split."""
-    df.write.mode("overwrite").partitionBy("split").parquet(path)
+    """Training rows by side."""
+    df.write.mode("overwrite").partitionBy("side").parquet(path)
 
 
 def append_metrics(long: DataFrame, path: str) -> None:

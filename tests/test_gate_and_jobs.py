@@ -79,6 +79,8 @@ def test_all_stages(spark, tmp_path):
     assert predicted.filter(F.col("confidence_1").isNull()).isEmpty()
     last = jobs.evaluate(predicted).first()
     assert last.n == 80
+    again = jobs.generate(spark, path["qa"], path["generated"], model, RolloutConfig("exploration", "OEQ", max_turns=2), start=60)
+    assert {r.id for r in again.select("id").collect()} == {f"q{i}" for i in range(60, 80)}
 
     jobs.zero_shot(spark, path["qa"], path["zero"], model, log_path=path["log"])
     jobs.self_critic(spark, path["qa"], path["critic"], model, path["log"])
@@ -87,9 +89,11 @@ def test_all_stages(spark, tmp_path):
     for want in [
         ("g", "generated"), ("g", "verdict, turn 0"), ("g", "zero-shot"), ("g", "system"), ("training", "balanced"),
         ("training", "dev"), ("joint", "train"), ("exp", "gate"), ("i", "evaluation, all turns"), ("i", "gate, turn 0"),
-        ("i", "questions, turns 1"), ("i", "comparison"), ("zero-shot", "zero-shot"), ("self-critic", "answer 3"),
+        ("i", "comparison"), ("zero-shot", "zero-shot"), ("self-critic", "answer 3"),
     ]:
         assert want in stages, want
+    assert any(run == "i" and stage.startswith("questions, turns") for run, stage in stages)
+    assert {r.dataset for r in log.filter("run_id IN ('g', 'i', 'training', 'joint')").select("dataset").distinct().collect()} == {"d"}
     rows = log.filter("run_id = 'training' and stage = 'balanced'").collect()
     sizes = {r.metric: r.value for r in rows}
     assert sizes["n_reject"] == min(sizes["n_reject"], sizes["n_accept"]) and sizes["n_rows"] == split.count()

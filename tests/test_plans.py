@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from askloop.functions import text
-from askloop.operators import metrics, rollout, trainset
+from askloop.operators import metrics, redundancy, rollout, trainset
+from askloop.operators.sampling import number_rows
 from askloop.schemas import PREDICTIONS, TRAINING
 from askloop.sources import tables
 
@@ -22,7 +23,7 @@ def exchanges(df):
 @pytest.fixture(scope="module")
 def stored(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("plans") / "turns")
-    rows = [("d", f"q{i // 4}", i % 4, "content", "a", "r", ["a"], i % 3 == 0, i % 2, 0.5, 0.5) for i in range(400)]
+    rows = [("d", "s", f"q{i // 4}", i % 4, "content", "a", "r", ["a"], i % 3 == 0, i % 2, 0.5, 0.5) for i in range(400)]
     spark.createDataFrame(rows, PREDICTIONS).write.parquet(path)
     return spark.read.schema(PREDICTIONS).parquet(path)
 
@@ -60,6 +61,35 @@ def test_balance_moves_no_row(stored):
     assert exchanges(trainset.balance(training(stored))) == []
 
 
+@pytest.mark.parametrize("pick", [metrics.last_turn, metrics.first_turn])
+def test_turn_rows_are_picked_by_hash(stored, pick):
+    assert "SortAggregate" not in plan(pick(stored))
+
+
+def test_redundancy_aggregates_by_hash_and_gathers_no_question(stored):
+    shown = plan(redundancy.rationale_redundancy(stored))
+    assert "Window" not in shown and "CartesianProduct" not in shown and "NestedLoop" not in shown
+
+
+def test_numbering_gathers_one_row_a_partition(spark, stored):
+    sparse = spark.range(2_000).select((F.col("id") * 1_000_003).alias("v"))
+    shown = plan(number_rows(sparse, ["v"], []))
+    before, _, after = shown.partition("SinglePartition")
+    assert "Range" not in after and "HashAggregate(keys=[_part" in after
+
+
+def test_accuracy_without_f1_reads_no_answer(stored):
+    read = re.search(r"ReadSchema: struct<(.*?)>", plan(metrics.accuracy(stored, with_f1=False))).group(1)
+    assert "answer" not in read and "gold" not in read
+
+
+@pytest.mark.parametrize("name", ["row_slice", "first_rows", "norm_answers", "parse_responses", "assistant_output"])
+def test_slices_and_projections_have_no_exchange(spark, name):
+    from askloop.plans.queries import QUERIES
+
+    assert "Exchange" not in plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
 def test_split_joins_on_the_question_only(stored):
     shown = plan(trainset.group_split(training(stored)))
     assert "SinglePartition" not in shown and "CartesianProduct" not in shown and "NestedLoop" not in shown

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from askloop.operators import redundancy
 
-SCHEMA = "dataset string, id string, turn int, answer string, rationale string"
+SCHEMA = "dataset string, split string, id string, turn int, answer string, rationale string"
 
 
 def texts(rng, n, words, longest):
@@ -17,14 +17,12 @@ def texts(rng, n, words, longest):
 
 
 def table(spark, groups):
-    rows = [("d", g, t, "x", text) for g, held in groups.items() for t, text in enumerate(held)]
+    rows = [("d", "s", g, t, "x", text) for g, held in groups.items() for t, text in enumerate(held)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
-@pytest.mark.parametrize("row_limit", [64, 3])
 @pytest.mark.parametrize("threshold,how", [(1, "bitand"), (5, "bitand"), (20, "bitand"), (8, "min"), (20, "min")])
-def test_rationales_against_brute_force(spark, threshold, how, row_limit):
-    """With a row limit of 3 nearly every question takes the path for questions too large to gather."""
+def test_rationales_against_brute_force(spark, threshold, how):
     rng = random.Random(threshold)
     groups = {f"g{i}": texts(rng, rng.randrange(1, 9), 12 + i % 30, 60) for i in range(60)}
     # Near copies, exact copies, one word many times, and a later unrelated text.
@@ -33,18 +31,17 @@ def test_rationales_against_brute_force(spark, threshold, how, row_limit):
     groups["same"] = [base] * 30 + ["z1 z2"]
     groups["bits"] = ["ww " * k for k in range(1, 40)]
     groups["none"] = [None, None]
-    got = redundancy.rationale_redundancy(table(spark, groups), threshold, how, row_limit).collect()
+    got = redundancy.rationale_redundancy(table(spark, groups), threshold, how).collect()
     assert {r.id: (r.n_rationales, r.n_redundant) for r in got} == {
         g: (sum(t is not None for t in held), plain.redundant(held, threshold, how)) for g, held in groups.items()
     }
 
 
-@pytest.mark.parametrize("hot_rows", [100, 100_000])
-def test_a_question_with_a_third_of_all_rows(spark, hot_rows):
+def test_a_question_with_a_third_of_all_rows(spark):
     rng = random.Random(11)
     groups = {f"g{i}": texts(rng, 4, 200, 40) for i in range(150)}
     groups["hot"] = texts(rng, 300, 400, 60)
-    got = redundancy.rationale_redundancy(table(spark, groups), 12, hot_rows=hot_rows).collect()
+    got = redundancy.rationale_redundancy(table(spark, groups), 12).collect()
     want = {g: plain.redundant(held, 12) for g, held in groups.items()}
     assert {r.id: r.n_redundant for r in got} == want
     assert 0 < want["hot"] < 300
@@ -58,7 +55,7 @@ def test_counts_combine_by_bits_or_minimum(spark):
 
 
 def test_answers(spark):
-    rows = [("d", "a", t, a, None) for t, a in enumerate(["x", "x", "y", None, None, "z", "z", "z"])] + [("e", "a", 0, "x", None)]
+    rows = [("d", "s", "a", t, a, None) for t, a in enumerate(["x", "x", "y", None, None, "z", "z", "z"])] + [("e", "s", "a", 0, "x", None)]
     counts = redundancy.answer_redundancy(spark.createDataFrame(rows, SCHEMA))
     assert {(r.dataset, r.n_rows, r.n_redundant) for r in counts.collect()} == {("d", 8, 5), ("e", 1, 0)}
     assert {(r.n_redundant, r.n_questions) for r in redundancy.redundancy_histogram(counts).collect()} == {(5, 1), (0, 1)}
@@ -68,6 +65,14 @@ def test_answers(spark):
     assert empty.percent == 0
 
 
+def test_shared_words_under_the_threshold_make_no_candidates(spark):
+    shared = " ".join(f"sharedverylongword{i}" for i in range(15))
+    held = [f"{shared} " + " ".join(f"own{k}x{i}" for i in range(20)) for k in range(2_000)]
+    vectors = redundancy._distinct_vectors(table(spark, {"hot": held}), 20, "bitand")
+    assert vectors.count() == 2_000
+    assert redundancy._prefixes(vectors, 20).isEmpty()
+
+
 def test_near_copies_after_which_unrelated_texts_follow(spark):
     """Copies that no block offer settles: the last rows of the question share nothing with them."""
     rng = random.Random(5)

@@ -1,6 +1,5 @@
 import uuid
 
-import plain
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,10 +19,15 @@ QUESTIONS = [(i, "d" if i % 2 else "e", "dev", f"q{i}", f"What is {i}?", [str(i
 
 def reply(content, system=""):
     """A deterministic stand-in for a language model: the answer moves with the length of the conversation."""
-    n = (len(content) + len(system)) % 5
+    return said(content, system)[0]
+
+
+def said(content, system=""):
+    """The reply, and what it says: answer and rationale as written, the normal answer, its last number."""
+    n, size = (len(content) + len(system)) % 5, len(content)
     if n == 4:
-        return f"I do not know {len(content)}"
-    return f"Answer: The {n}!\nRationale: because {len(content)}\nmore"
+        return f"I do not know {size}", "Answer not found", "Rationale not found", "answer not found", str(size)
+    return f"Answer: The {n}!\nRationale: because {size}\nmore", f"The {n}!", f"because {size}", str(n), str(size)
 
 
 def load_model():
@@ -50,26 +54,23 @@ def simulate(setting, kind, max_turns, force, gated):
                 phase = "force"
             else:
                 phase = "first" if setting == "gradual" or turn == first else "retry"
-            response = reply(content, system[phase].replace("{answer}", gold[0]))
+            response, answer, rationale, normal, last = said(content, system[phase].replace("{answer}", gold[0]))
             if kind == "MATH":
-                answer, rationale = plain.number(response), response
-            else:
-                answer, rationale = plain.parts(response)
-            right = int(plain.normal(answer) in [plain.normal(g) for g in gold])
+                answer, rationale, normal = last, response, last
+            right = int(normal in gold)
             accepted = accepts(content, answer, rationale) if gated else bool(right)
-            out.append((dataset, qid, turn, content, plain.normal(answer), rationale, accepted, right))
+            out.append((dataset, qid, turn, content, normal, rationale, accepted, right))
             if accepted:
                 break
             if force and turn == max_turns:
                 mark = "Ground-truth Answer" if kind == "MCQ" else "Use this exact correct answer"
                 content += f"\n{mark}: {gold[0]}\n"
             elif setting == "gradual":
-                same = plain.normal(answer) == plain.normal(previous)
-                feedback = prompts.REPEAT_FEEDBACK if same else prompts.GENERIC_FEEDBACK
+                feedback = prompts.REPEAT_FEEDBACK if normal == previous else prompts.GENERIC_FEEDBACK
                 content += f"LLM Answer {turn}: {answer}\nLLM Rationale {turn}: {rationale}\n{feedback}\n"
             else:
                 content += f"Previous LLM Response: {response}\nWrong answer! Try again.\n"
-            previous = answer
+            previous = normal
     return sorted(out)
 
 
@@ -118,13 +119,51 @@ def test_a_model_is_asked_once_and_a_run_is_resumed(spark, qa, tmp_path):
     once = sorted(done.collect())
     assert sorted(done.collect()) == once
     # Every turn is there, so another run with the same id only reads.
-    again = run_graded(qa, models.Model(load_broken_model, "broken"), config)
+    again = run_graded(qa, models.Model(load_broken_model, "random"), config)
     assert sorted(again.collect()) == once
     assert read_run(spark, str(tmp_path), "r").count() == len(once) == 2 * len(QUESTIONS)
-    # Without its commit marker a turn is not finished and is asked again.
-    (tmp_path / "run_id=r" / "turn=2" / "_SUCCESS").unlink()
+    assert read_run(spark, str(tmp_path), "r").count() == len(once)
+    # A turn without a record is not finished: it is asked again.
+    record = tmp_path.parent / f"{tmp_path.name}-records" / "run_id=r"
+    table = spark.read.parquet(str(record)).filter("turn = 1").toPandas()
+    for part in record.glob("*"):
+        part.unlink()
+    for part in record.glob(".*"):
+        part.unlink()
+    spark.createDataFrame(table).write.mode("append").parquet(str(record))
     with pytest.raises(Exception, match="asked again"):
-        run_graded(qa, models.Model(load_broken_model, "broken"), config)
+        run_graded(qa, models.Model(load_broken_model, "random"), config)
+
+
+def test_runs_in_one_folder_stay_apart(spark, qa, tmp_path):
+    config = RolloutConfig("exploration", "OEQ", max_turns=1, run_id="r", base_path=str(tmp_path))
+    model = models.Model(load_model, "reply")
+    run_gated(qa.filter("row_index < 10"), model, models.RuleGate(accept_column()), config)
+    with pytest.raises(ValueError, match="other questions"):
+        run_gated(qa.filter("row_index >= 10"), model, models.RuleGate(accept_column()), config)
+    with pytest.raises(ValueError, match="other questions"):
+        run_gated(qa.filter("row_index < 10"), model, models.RuleGate(F.lit(True)), config)
+    # Without a name each run is its own.
+    free = RolloutConfig("exploration", "OEQ", max_turns=1, base_path=str(tmp_path))
+    done = [run_gated(qa.filter(f"row_index {op} 10"), model, models.RuleGate(accept_column()), free) for op in ("<", ">=")]
+    assert [d.select("id").distinct().count() for d in done] == [10, 13]
+
+
+def test_models_of_one_name_stay_apart(spark, qa):
+    asked = qa.select("dataset", "split", "id", F.col("question").alias("task_content"))
+    one, two = (models.Model(lambda w=w: lambda chats, settings: [w] * len(chats)) for w in ("one", "two"))
+    assert {r.response for r in one.respond(asked, 0).collect()} == {"one"}
+    assert {r.response for r in two.respond(asked, 0).collect()} == {"two"}
+
+
+def test_splits_stay_apart(spark):
+    rows = [(i, "d", s, str(i), f"{s} {i}?", [str(i % 4)]) for s in ("train", "dev") for i in range(20)]
+    both = spark.createDataFrame(rows, QA)
+    replay = both.select("dataset", "split", "id", F.lit(0).alias("turn"), F.concat(F.lit("Answer: "), F.col("gold")[0], F.lit(" Rationale: r")).alias("response"))
+    done = run_graded(both, models.Replay(replay), RolloutConfig("exploration", "OEQ", max_turns=0, force_rationale=False))
+    assert done.count() == 40
+    score = metrics.accuracy(done, "verdict").first()
+    assert (score.n, score.accuracy) == (40, 1.0)
 
 
 def test_model_gets_settings_and_batches(spark, qa):
@@ -138,13 +177,13 @@ def test_model_gets_settings_and_batches(spark, qa):
 
 
 def test_model_rows_can_be_spread(spark, qa):
-    asked = qa.select("dataset", "id", F.col("question").alias("task_content")).coalesce(1)
+    asked = qa.select("dataset", "split", "id", F.col("question").alias("task_content")).coalesce(1)
     rows = models.Model(load_model, "reply", partitions=5).respond(asked, 1)
     assert rows.rdd.getNumPartitions() == 5 and rows.count() == len(QUESTIONS)
 
 
 def test_missing_replay_counts_as_no_answer(spark, qa):
-    replay = models.Replay(spark.createDataFrame([("d", "q1", 1, "Answer: 1\nRationale: r")], RESPONSES))
+    replay = models.Replay(spark.createDataFrame([("d", "dev", "q1", 1, "Answer: 1\nRationale: r")], RESPONSES))
     done = run_graded(qa, replay, RolloutConfig("gradual", "OEQ", max_turns=1, force_rationale=False))
     verdicts = {r.id: (r.answer, r.verdict) for r in done.collect()}
     assert verdicts.pop("q1") == ("1", 1)
@@ -153,16 +192,15 @@ def test_missing_replay_counts_as_no_answer(spark, qa):
 
 def recorded(spark, n=40, turns=6):
     rows = [
-        ("d", f"q{i}", t, "c", str(t % 3), "r", [str(i % 3)], (i * 7 + t * 5) % 6 == 0, int(t % 3 == i % 3), 0.0, 1.0)
+        ("d", "s", f"q{i}", t, "c", str(t % 3), "r", [str(i % 3)], (i * 7 + t * 5) % 6 == 0, int(t % 3 == i % 3), 0.0, 1.0)
         for i in range(n)
         for t in range(turns)
     ]
-    rows += [("d", "hot", t, "c", "1", "r", ["1"], t == 300, t % 2, 0.0, 1.0) for t in range(500)]
+    rows += [("d", "s", "hot", t, "c", "1", "r", ["1"], t == 300, t % 2, 0.0, 1.0) for t in range(500)]
     return spark.createDataFrame(rows, PREDICTIONS)
 
 
-@pytest.mark.parametrize("hot_rows", [100, 100_000])
-def test_truncation(spark, hot_rows):
+def test_truncation(spark):
     df = recorded(spark)
     want = set()
     for qid, group in df.toPandas().groupby("id"):
@@ -170,7 +208,7 @@ def test_truncation(spark, hot_rows):
             want.add((qid, r.turn))
             if r.gate_output:
                 break
-    kept = truncate_replay(df, F.col("gate_output"), hot_rows)
+    kept = truncate_replay(df, F.col("gate_output"))
     assert {(r.id, r.turn) for r in kept.collect()} == want
     assert kept.columns == df.columns or set(kept.columns) == set(df.columns)
 
@@ -191,7 +229,7 @@ def test_previous_answer(spark):
 def test_zero_shot_and_self_critic(spark, qa):
     done = baselines.zero_shot(qa, models.Model(load_model, "reply"), "MCQ", abstain=True)
     system = prompts._system_text("zero_shot", "MCQ", "abstain")
-    want = {q[3]: plain.normal(plain.parts(reply(f"Question: {q[4]}\n", system))[0].lower()) for q in QUESTIONS}
+    want = {q[3]: said(f"Question: {q[4]}\n", system)[3] for q in QUESTIONS}
     assert {r.id: r.answer for r in done.collect()} == want
 
     critic = baselines.self_critic(qa, models.Model(load_model, "reply"))
@@ -202,7 +240,7 @@ def test_zero_shot_and_self_critic(spark, qa):
         for step in range(5):
             response = reply(content)
             if step % 2 == 0:
-                answers.append(plain.choice(response))
+                answers.append(said(content)[4])
             if step < 4:
                 content += "\n" + response + "\n" + texts[step + 1]
         assert [row.answer_1, row.answer_2, row.answer_3] == answers
@@ -214,7 +252,9 @@ def test_user_prompts_replace_the_built_in_ones(spark, qa):
     table = spark.createDataFrame([("gradual", "OEQ", "first", "be {answer}", 0.5, 0.5, 9)], prompts.PROMPTS)
     asked = prompts.with_prompt(qa.withColumn("question_type", F.lit("OEQ")), "first", "gradual", table)
     assert {r.system for r in asked.collect()} == {f"be {i}" for i in range(4)}
-    # A table with very many question types is joined.
+    twice = spark.createDataFrame([("gradual", "OEQ", "first", t, 0.5, 0.5, 9) for t in ("one", "two")], prompts.PROMPTS)
+    with pytest.raises(ValueError, match="one prompt for each"):
+        prompts.with_prompt(qa.withColumn("question_type", F.lit("OEQ")), "first", "gradual", twice)
     many = [("gradual", f"t{i}", "first", f"say {i}", 0.5, 0.5, 9) for i in range(200)]
     typed = qa.withColumn("question_type", F.concat(F.lit("t"), F.col("row_index").cast("string")))
     asked = prompts.with_prompt(typed, "first", "gradual", spark.createDataFrame(many, prompts.PROMPTS))

@@ -31,7 +31,7 @@ def test_reads_what_pandas_writes(spark, tmp_path):
 
 
 def test_pandas_reads_what_we_write(spark, tmp_path):
-    data = [("d", "a", 1, NASTY, "007", "r", ["0", "it's"], True, 1, 0.25, 0.75)]
+    data = [("d", "", "a", 1, NASTY, "007", "r", ["0", "it's"], True, 1, 0.25, 0.75)]
     tables.write_csv(spark.createDataFrame(data, PREDICTIONS).coalesce(1), str(tmp_path / "p"), "predictions")
     (part,) = (tmp_path / "p").glob("*.csv")
     row = pd.read_csv(part, dtype={"Reasoner Answer": str}).iloc[0]
@@ -43,10 +43,10 @@ def test_pandas_reads_what_we_write(spark, tmp_path):
 @pytest.mark.parametrize(
     "kind,schema,data",
     [
-        ("generated", GENERATED, [("d", "1", 0, NASTY, "", "r", ["0"], 1), ("d", "2", 1, "c", "0", None, ["a"], 0)]),
-        ("predictions", PREDICTIONS, [("d", "1", 0, "c", "0", "r", ["0"], False, 1, None, None), ("d", "1", 1, "c", "1", "r", ["0"], True, 0, 0.1, 0.9)]),
-        ("zero_shot", ZERO_SHOT, [("d", "1", "q", ["0"], "00", 0)]),
-        ("self_critic", SELF_CRITIC, [("d", "1", "q", ["0"], "1", None, "0", 0, 0, 1, NASTY)]),
+        ("generated", GENERATED, [("d", "", "1", 0, NASTY, "", "r", ["0"], 1), ("d", "", "2", 1, "c", "0", None, ["a"], 0)]),
+        ("predictions", PREDICTIONS, [("d", "", "1", 0, "c", "0", "r", ["0"], False, 1, None, None), ("d", "", "1", 1, "c", "1", "r", ["0"], True, 0, 0.1, 0.9)]),
+        ("zero_shot", ZERO_SHOT, [("d", "", "1", "q", ["0"], "00", 0)]),
+        ("self_critic", SELF_CRITIC, [("d", "", "1", "q", ["0"], "1", None, "0", 0, 0, 1, NASTY)]),
     ],
 )
 def test_every_exchanged_table_round_trips(spark, tmp_path, kind, schema, data):
@@ -76,6 +76,10 @@ def test_split_files(spark, tmp_path):
     sampled = tables.load_splits(spark, paths["train"], None, paths["test"]).filter("split = 'val'")
     again = tables.load_splits(spark, paths["train"], None, paths["test"]).filter("split = 'val'")
     assert 10 < sampled.count() < 80 and rows(sampled, "id") == rows(again, "id")
+    parted = tables.load_splits(spark, paths["train"], None, paths["test"])
+    assert parted.filter("split IN ('train', 'val')").select("id").distinct().count() == parted.filter("split <> 'test'").count() == 200
+    doubled = tables.load_splits(spark, paths["train"], None, paths["test"], compat=True)
+    assert doubled.filter("split = 'train'").count() == 200
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         tables.load_splits(spark, paths["train"], str(tmp_path / "gone"), paths["test"])
 
@@ -115,10 +119,10 @@ def test_question_partitions_are_pruned(spark, tmp_path):
 
 
 def test_sets_and_runs(spark, tmp_path):
-    df = spark.createDataFrame([("d", "1", 0, "c", "1", "r", ["1"], 1)], GENERATED)
+    df = spark.createDataFrame([("d", "s", "1", 0, "c", "1", "r", ["1"], 1)], GENERATED)
     tables.append_results(df, str(tmp_path / "r"), "one")
     tables.append_results(df, str(tmp_path / "r"), "two")
     assert spark.read.parquet(str(tmp_path / "r")).filter("run_id = 'one'").count() == 1
-    tables.write_sets(df.withColumn("split", F.lit("dev")), str(tmp_path / "s"))
-    assert (tmp_path / "s" / "split=dev").is_dir()
+    tables.write_sets(df.withColumn("side", F.lit("dev")), str(tmp_path / "s"))
+    assert (tmp_path / "s" / "side=dev").is_dir()
     assert rows(corpora.split_sizes(spark.createDataFrame([(0, "d", "dev", "a", "q", ["0"])], QA)), "*") == [("d", "dev", 1)]

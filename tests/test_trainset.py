@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from askloop.functions import encoding
 from askloop.operators import trainset
-from askloop.operators.sampling import number_by_integer, seeded_key
+from askloop.operators.sampling import number_rows, seeded_key
 from askloop.schemas import TRAINING
 from askloop.sources import corpora
 
@@ -15,9 +15,9 @@ from askloop.sources import corpora
 def training(spark, seed=1, n=400, hot=0, share=0.25):
     rng = random.Random(seed)
     rows = [
-        (rng.choice("ab"), f"q{i % 90}", i, f"content {i}", "a", "r", ["a"], int(rng.random() < share)) for i in range(n)
+        (rng.choice("ab"), "s", f"q{i % 90}", i, f"content {i}", "a", "r", ["a"], int(rng.random() < share)) for i in range(n)
     ]
-    rows += [("a", "hot", i, "c", "a", "r", ["a"], i % 2) for i in range(hot)]
+    rows += [("a", "s", "hot", i, "c", "a", "r", ["a"], i % 2) for i in range(hot)]
     return spark.createDataFrame(rows, TRAINING)
 
 
@@ -37,7 +37,7 @@ def test_balance_takes_the_smallest_keys_and_repeats(spark):
     df = training(spark)
     got = trainset.balance(df).filter("gate_verdict = 0").collect()
     assert sorted(got) == sorted(trainset.balance(df.repartition(3)).filter("gate_verdict = 0").collect())
-    keys = df.filter("gate_verdict = 0").withColumn("k", seeded_key(42, "dataset", "id", "turn")).collect()
+    keys = df.filter("gate_verdict = 0").withColumn("k", seeded_key(42, "dataset", "split", "id", "turn")).collect()
     for d in "ab":
         mine = sorted(r.shuffle_key for r in got if r.dataset == d)
         assert mine == sorted(r.k for r in keys if r.dataset == d)[: len(mine)]
@@ -48,20 +48,19 @@ def test_balance_never_grows_or_reverses(spark):
     assert classes(trainset.balance(df)) == classes(df)
 
 
-@pytest.mark.parametrize("hot_rows", [50, 100_000])
-def test_split_keeps_questions_together(spark, hot_rows):
+def test_split_keeps_questions_together(spark):
     df = training(spark, hot=200)
-    split = trainset.group_split(df, hot_rows=hot_rows)
+    split = trainset.group_split(df)
     assert split.count() == df.count()
-    assert set(split.columns) == {*df.columns, "split"}
-    sides = split.groupBy("dataset", "id").agg(F.count_distinct("split").alias("n")).collect()
+    assert set(split.columns) == {*df.columns, "side"}
+    sides = split.groupBy("dataset", "id").agg(F.count_distinct("side").alias("n")).collect()
     assert {r.n for r in sides} == {1}
     groups = trainset.split_groups(df)
-    for r in groups.groupBy("dataset").agg(F.count("*").alias("n"), F.sum((F.col("split") == "dev").cast("int")).alias("dev")).collect():
+    for r in groups.groupBy("dataset").agg(F.count("*").alias("n"), F.sum((F.col("side") == "dev").cast("int")).alias("dev")).collect():
         assert r.dev == math.ceil(r.n * 0.2)
     for r in (
         groups.groupBy("dataset", "group_label")
-        .agg(F.count("*").alias("n"), F.sum((F.col("split") == "dev").cast("int")).alias("dev"))
+        .agg(F.count("*").alias("n"), F.sum((F.col("side") == "dev").cast("int")).alias("dev"))
         .collect()
     ):
         assert abs(r.dev - 0.2 * r.n) <= 1
@@ -69,7 +68,7 @@ def test_split_keeps_questions_together(spark, hot_rows):
 
 def test_no_leak_between_splits(spark):
     split = trainset.group_split(training(spark))
-    ids = {s: split.filter(F.col("split") == s).select("dataset", "id") for s in ("train", "dev")}
+    ids = {s: split.filter(F.col("side") == s).select("dataset", "id") for s in ("train", "dev")}
     assert ids["train"].intersect(ids["dev"]).isEmpty()
 
 
@@ -96,21 +95,22 @@ def test_dev_quota(spark):
 
 
 def test_group_label_ties_go_to_the_smallest(spark):
-    rows = [("d", "t", 0, "", "", "", [], 1), ("d", "t", 1, "", "", "", [], 0), ("d", "u", 0, "", "", "", [], 1)]
+    votes = [("t", 1), ("t", 0), ("u", 1), ("v", 1), ("v", None), ("v", None), ("w", None)]
+    rows = [("d", "s", q, t, "", "", "", [], vote) for t, (q, vote) in enumerate(votes)]
     labels = trainset.group_labels(spark.createDataFrame(rows, TRAINING)).collect()
-    assert {r.id: r.group_label for r in labels} == {"t": 0, "u": 1}
+    assert {r.id: r.group_label for r in labels} == {"t": 0, "u": 1, "v": 1, "w": 0}
 
 
 def test_join_tag_and_first_rows(spark):
     one, two = training(spark, 1, 30), training(spark, 2, 50)
     assert trainset.join_sets(one, two).count() == 80
-    tagged = trainset.tag_splits(one, two, one)
-    assert {r.split: r["count"] for r in tagged.groupBy("split").count().collect()} == {"train": 30, "val": 50, "test": 30}
+    tagged = trainset.tag_sides(one, two, one)
+    assert {r.side: r["count"] for r in tagged.groupBy("side").count().collect()} == {"train": 30, "val": 50, "test": 30}
     assert [r.turn for r in trainset.first_rows(one, 3, "turn").collect()] == [0, 1, 2]
 
 
 def test_instruction_text(spark):
-    rows = [("d", "t", 3, "Q: hi \n\nGround-truth Answer: 3\n", "3", None, ["3"], 1)]
+    rows = [("d", "s", "t", 3, "Q: hi \n\nGround-truth Answer: 3\n", "3", None, ["3"], 1)]
     got = trainset.to_instruct(spark.createDataFrame(rows, TRAINING)).first()
     assert got.label == "1"
     assert got.input.split("\n")[1:] == ["Q: hi ", "Answer: 3", "Rationale: "]
@@ -128,10 +128,7 @@ def test_encoding(spark):
     assert rows[1].labels == [trainset.ONE, trainset.END, -100]
     assert rows[2].input_ids == [trainset.END, 0, 0, 0, 0, 0]
     assert rows[3].input_ids == [5, 5, 5, 5, 5, trainset.END]
-    # A vocabulary over the checked size is joined without a hint and gives the same.
-    large = trainset.VocabularyTokenizer(words)
-    large.max_words = 1
-    assert {r.i: r for r in trainset.encode_pad(texts, large, ["i"], 6, 3).collect()} == rows
+    assert {r.word: r.token_id for r in trainset.build_vocabulary(texts, "input").collect()} == {"b": 5, "c": 6, "zz": 7}
 
 
 def load_lengths():
@@ -160,8 +157,11 @@ def test_label_recodes_and_collation(spark):
 def test_row_numbers(spark):
     values = random.Random(2).sample(range(10**7), 5000)
     df = spark.createDataFrame([(v,) for v in values], "v bigint")
-    numbered = {r.v: r.row_index for r in number_by_integer(df, "v", []).collect()}
+    numbered = {r.v: r.row_index for r in number_rows(df, ["v"], []).collect()}
     assert numbered == {v: i for i, v in enumerate(sorted(values))}
+    grouped = number_rows(df.withColumn("g", F.col("v") % 3), [F.desc("v")], ["g"]).collect()
+    for g in range(3):
+        assert {r.v: r.row_index for r in grouped if r.g == g} == {v: i for i, v in enumerate(sorted((v for v in values if v % 3 == g), reverse=True))}
     shuffled = corpora.number_shuffled(df, ["v"])
     assert sorted(r.row_index for r in shuffled.collect()) == list(range(5000))
     assert {tuple(r) for r in shuffled.collect()} == {tuple(r) for r in corpora.number_shuffled(df.repartition(5), ["v"]).collect()}
