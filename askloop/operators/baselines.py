@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askloop.functions.parsing import final_answer, final_paren_number
@@ -37,18 +37,18 @@ def zero_shot(
     return materialize(graded, "zero-shot", path)
 
 
+def critic_settings() -> dict[str, Column]:
+    temperature, top_p = SAMPLING["self_critic", "critic"]
+    return {"temperature": F.lit(temperature), "top_p": F.lit(top_p), "max_tokens": F.lit(MAX_TOKENS)}
+
+
 def self_critic(qa: DataFrame, model, compat: bool = False, path: str | None = None) -> DataFrame:
     """Five chained calls; the first, third and fifth give an answer each.
 
     The transcript ends before the last response. Each call is written before the next one is built on it, the last one
     in its final form (to ``path``).
     """
-    temperature, top_p = SAMPLING["self_critic", "critic"]
-    settings = {
-        "temperature": F.lit(temperature),
-        "top_p": F.lit(top_p),
-        "max_tokens": F.lit(MAX_TOKENS),
-    }
+    settings = critic_settings()
     state = qa.select(*KEYS, "question", "gold", initial_content(F.col("question"), "self_critic").alias("task_content"))
     for call, text, answer_no in CRITIC_STEPS:
         if call > 1:

@@ -320,14 +320,46 @@ add(
     SELECT 'r1' AS run_id, dataset, stage, metric, round(v, 6) AS value FROM long""",
 )
 
+_VAL = "CAST('0x' || substr(md5('42|joint|' || id), 1, 8) AS BIGINT) < floor(0.2 * 4294967296)"
+add(
+    "split_files",
+    f"""{PREDICTIONS} SELECT 'joint' AS dataset, CASE WHEN dataset = 'events' THEN 'test' WHEN {_VAL} THEN 'val' ELSE 'train' END AS split,
+    id, turn, answer, correct AS gate_verdict FROM p""",
+)
+add(
+    "tagged_sides",
+    f"""SELECT ['train', 'val', 'test'][CAST(turn % 3 + 1 AS INT)] AS side, dataset, gate_verdict, count(*) AS n
+    FROM ({TRAINING}) GROUP BY ALL""",
+)
+add("files_by_name", f"{PREDICTIONS} SELECT dataset, 'train' AS split, id, turn, answer, correct AS verdict FROM p")
+ORACLE["raw_records"] = f"SELECT * FROM ({ORACLE['normalise_mcq']}) WHERE dataset = 'mcq'"
+
 # --- Prompts --------------------------------------------------------------------------------------------------------
 
+# Temperature and top_p of each setting and phase, the longest response, the gate's instruction.
+SAMPLING = {
+    ("gradual", "first"): (0.6, 0.9),
+    ("gradual", "force"): (0.6, 0.9),
+    ("exploration", "first"): (0.1, 0.9),
+    ("exploration", "retry"): (0.6, 0.7),
+    ("exploration", "force"): (0.1, 0.9),
+    ("zero_shot", "first"): (0.1, 0.9),
+    ("zero_shot", "abstain"): (0.1, 0.9),
+    ("self_critic", "critic"): (0.0, 0.9),
+}
+MAX_TOKENS = 256
+GATE_INSTRUCTION = (
+    "Instruction: Predict if the following answer to the question and context should be accepted, 1, or rejected, 0,"
+    " based on the rationale."
+)
+
 _PROMPT_ROWS = ", ".join(
-    f"({_q(setting)}, {_q(kind)}, {_q(phase)}, {_q(prompts._system_text(setting, kind, phase))}, {t}, {p}, {prompts.MAX_TOKENS})"
-    for (setting, phase), (t, p) in prompts.SAMPLING.items()
+    f"({_q(setting)}, {_q(kind)}, {_q(phase)}, {_q(prompts._system_text(setting, kind, phase))}, {t}, {p}, {MAX_TOKENS})"
+    for (setting, phase), (t, p) in SAMPLING.items()
     if setting in prompts.SETTINGS
     for kind in prompts.QUESTION_TYPES
 )
+_SAMPLING_ROWS = ", ".join(f"({_q(s)}, {_q(f)}, {t}, {p})" for (s, f), (t, p) in SAMPLING.items())
 PROMPTS = f"prompts(setting, question_type, phase, system, temperature, top_p, max_tokens) AS (VALUES {_PROMPT_ROWS})"
 KIND = "['MCQ', 'MATH', 'OEQ'][CAST(row_index % 3 + 1 AS INT)]"
 
@@ -345,6 +377,12 @@ add(
       FROM asked JOIN (FROM prompts WHERE phase = 'first') USING (setting, question_type)
     UNION ALL SELECT setting, id, CASE WHEN setting = 'self_critic' THEN 0 ELSE 1 END, 'user', content FROM asked""",
 )
+add(
+    "sampling_settings",
+    f"""SELECT setting, phase, question_type, CAST(temperature AS DOUBLE) AS temperature, CAST(top_p AS DOUBLE) AS top_p,
+    {MAX_TOKENS} AS max_tokens, count(*) AS n
+    FROM (SELECT {KIND} AS question_type FROM ({QA})), (VALUES {_SAMPLING_ROWS}) v(setting, phase, temperature, top_p) GROUP BY ALL""",
+)
 add(
     "force_prompts",
     f"""
@@ -375,7 +413,7 @@ add(
     f"""SELECT id, chr(10) || CASE WHEN row_index % 2 = 0 THEN 'Ground-truth Answer: '
     ELSE 'Use this exact correct answer: ' END || gold[1] || chr(10) AS context FROM ({QA})""",
 )
-INSTRUCTION = _q(prompts.GATE_INSTRUCTION)
+INSTRUCTION = _q(GATE_INSTRUCTION)
 
 
 def gate_text(content: str, label: str = "") -> str:
@@ -431,6 +469,32 @@ def rollout(first: int, last: int, last_free: int | None, setting: str, mcq: boo
 
 add("graded_rollout_gradual", rollout(1, 5, 4, "gradual", mcq=True, gated=False))
 add("graded_rollout_exploration", rollout(0, 4, 3, "exploration", mcq=False, gated=False))
+add(
+    "rollout_two_splits",
+    """
+    SELECT 'cloze' AS dataset, split, count(*) AS n, CAST(sum(CAST(i % 3 <> 0 AS INT)) AS BIGINT) AS correct,
+        round(avg(CAST(i % 3 <> 0 AS INT)), 6) AS accuracy
+    FROM (SELECT CASE WHEN p_partkey % 5 = 0 THEN 'dev' ELSE 'train' END AS split,
+              row_number() OVER (PARTITION BY p_partkey % 5 = 0 ORDER BY p_partkey) - 1 AS i FROM part) GROUP BY split""",
+)
+# An answer is one token or none of gold's, so its token F1 is its verdict.
+add(
+    "generate_job",
+    f"""
+    WITH r AS ({rollout(0, 4, 3, "exploration", mcq=False, gated=False)}),
+    l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY turn DESC) = 1),
+    t AS (SELECT turn, CAST(count(*) FILTER (verdict = 0) AS DOUBLE) AS wrong, CAST(count(*) FILTER (verdict = 1) AS DOUBLE) AS right_
+          FROM r GROUP BY turn),
+    z AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(verdict) AS a FROM r WHERE turn = 0),
+    s AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(verdict) AS DOUBLE) AS c, avg(verdict) AS a FROM l),
+    long AS (
+      SELECT 'generated' AS stage, 'n_rows' AS metric, CAST(count(*) AS DOUBLE) AS v FROM r
+      UNION ALL SELECT 'verdict, turn ' || turn, 'wrong', wrong FROM t UNION ALL SELECT 'verdict, turn ' || turn, 'right', right_ FROM t
+      UNION ALL SELECT 'zero-shot', 'n', n FROM z UNION ALL SELECT 'zero-shot', 'accuracy', a FROM z UNION ALL SELECT 'zero-shot', 'f1', a FROM z
+      UNION ALL SELECT 'system', 'n', n FROM s UNION ALL SELECT 'system', 'correct', c FROM s
+      UNION ALL SELECT 'system', 'accuracy', a FROM s UNION ALL SELECT 'system', 'f1', a FROM s)
+    SELECT 'conv' AS dataset, stage, metric, round(v, 6) AS value FROM long""",
+)
 add("gated_rollout_gradual", rollout(1, 5, None, "gradual", mcq=False, gated=True))
 add("gated_rollout_exploration", rollout(0, 4, None, "exploration", mcq=False, gated=True))
 add(
@@ -520,6 +584,11 @@ add(
     f"""WITH {split(TRAINING, "gate_verdict")}
     SELECT dataset, id, turn, gate_verdict, side FROM t JOIN sides USING (dataset, split, id)""",
 )
+add(
+    "sets_by_side",
+    f"""WITH {split(TRAINING, "gate_verdict")}
+    SELECT dataset, gate_verdict, count(*) AS n FROM t JOIN sides USING (dataset, split, id) WHERE side = 'dev' GROUP BY ALL""",
+)
 add(
     "joint_trainset",
     f"""WITH {split(balanced(TRAINING, "gate_verdict"), "gate_verdict")}
@@ -558,6 +627,14 @@ add(
         repeat('1 ', n) || '1' || repeat(' 0', 1023 - n) AS attention_mask,
         CASE quality WHEN 1 THEN '4' ELSE '3' END || ' 1' || repeat(' -100', 62) AS labels FROM e""",
 )
+add(
+    "collated",
+    f"""
+    WITH d AS (SELECT doc_id, len(t) AS n, coalesce(list_sum(list_transform(t, lambda w: length(w) + 5)), 0) AS total
+        FROM (SELECT doc_id, {tokens("text")} AS t FROM documents))
+    SELECT doc_id, CAST(ceil(max(n) OVER (PARTITION BY doc_id // 8) / 8.0) * 8 AS BIGINT) AS width, CAST(total AS BIGINT) AS total,
+        '3 1' || repeat(' -100', 6) AS labels, n AS n_words FROM d""",
+)
 add(
     "label_recodes",
     """SELECT CASE quality WHEN 1 THEN '4' ELSE '3' END || ' 1' || repeat(' 0', 62) AS restored,

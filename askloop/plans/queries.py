@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from askloop import jobs
 from askloop.functions import encoding, parsing, text
 from askloop.operators import baselines, gate, metrics, models, prompts, redundancy, rollout, trainset
 from askloop.plans import fixtures as fx
+from askloop.schemas import RAW_MCQ
 from askloop.session import materialize, shared_root
 from askloop.sources import corpora, tables
 
@@ -250,6 +252,59 @@ def metrics_log(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_metrics(spark, path).select("run_id", "dataset", "stage", "metric", r6("value").alias("value"))
 
 
+def _training_csv(spark: SparkSession, turns: DataFrame, name: str) -> str:
+    path = _scratch(spark, name)
+    tables.write_csv(turns, path, "training")
+    return path
+
+
+@query
+def split_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Training files as one table: conversations as train, with val drawn from them, events as test."""
+    turns = fx.training(spark, sf)
+    train = _training_csv(spark, turns.filter("dataset = 'conv'"), "train-csv")
+    test = _training_csv(spark, turns.filter("dataset = 'events'"), "test-csv")
+    parted = tables.load_splits(spark, train, None, test, dataset="joint")
+    return parted.select("dataset", "split", "id", "turn", "answer", "gate_verdict")
+
+
+@query
+def tagged_sides(spark: SparkSession, sf: str) -> DataFrame:
+    """Three parts in one table, told apart by side."""
+    turns = fx.training(spark, sf)
+    parts = [turns.filter(F.col("turn") % 3 == k) for k in range(3)]
+    return trainset.tag_sides(*parts).groupBy("side", "dataset", "gate_verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def files_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    """One file set for each data set, found by the name pattern."""
+    base = _scratch(spark, "by-name")
+    turns = fx.generated(spark, sf)
+    for name in ("conv", "events"):
+        tables.write_csv(turns.filter(F.col("dataset") == name), f"{base}/exp_{name}_generated_train.csv", "generated")
+    read = tables.read_many(spark, base, "exp", ["conv", "events"], "train", "generated")
+    return read.select("dataset", "split", "id", "turn", "answer", "verdict")
+
+
+@query
+def raw_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested source records landed as JSON lines, read with their schema and normalised."""
+    path = _scratch(spark, "raw")
+    fx.raw_mcq(spark, sf).write.json(path)
+    raw = tables.read_raw(spark, path, f"row_index bigint, {RAW_MCQ}")
+    return _flat(corpora.normalise_mcq(raw, "mcq", "train"))
+
+
+@query
+def sets_by_side(spark: SparkSession, sf: str) -> DataFrame:
+    """Training rows written by side; the development side read back."""
+    path = _scratch(spark, "sets")
+    tables.write_sets(trainset.group_split(fx.training(spark, sf)), path)
+    dev = spark.read.parquet(path).filter("side = 'dev'")
+    return dev.groupBy("dataset", "gate_verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- Prompts --------------------------------------------------------------------------------------------------------
 
 
@@ -284,6 +339,23 @@ def force_prompts(spark: SparkSession, sf: str) -> DataFrame:
     return asked.select("id", "question_type", "system", "temperature", "top_p", "max_tokens")
 
 
+@query
+def sampling_settings(spark: SparkSession, sf: str) -> DataFrame:
+    """The sampling of every setting and phase, as its questions get it."""
+    kinds = F.element_at(F.array(F.lit("MCQ"), F.lit("MATH"), F.lit("OEQ")), (F.col("row_index") % 3 + 1).cast("int"))
+    asked, parts = fx.qa(spark, sf).withColumn("question_type", kinds), []
+    for setting, phase in prompts.SAMPLING:
+        if setting == "self_critic":
+            settings = baselines.critic_settings()
+            told = asked.withColumns(settings)
+        else:
+            told = prompts.with_prompt(asked, phase, setting)
+        named = told.withColumns({"setting": F.lit(setting), "phase": F.lit(phase)})
+        counted = named.groupBy("setting", "phase", "question_type", "temperature", "top_p", "max_tokens")
+        parts.append(counted.agg(F.count(F.lit(1)).alias("n")))
+    return metrics.union_reports(*parts)
+
+
 @query
 def gradual_context(spark: SparkSession, sf: str) -> DataFrame:
     turns = rollout.with_previous_answer(fx.conversation_turns(spark, sf))
@@ -340,6 +412,35 @@ def graded_rollout_exploration(spark: SparkSession, sf: str) -> DataFrame:
     return _graded(spark, sf, "exploration", "OEQ")
 
 
+@query
+def rollout_two_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions of two splits that share their ids; one in three has a wrong recorded response."""
+    raw = fx.raw_cloze(spark, sf)
+    parts = []
+    for split, where in (("train", "source_index % 5 <> 0"), ("dev", "source_index % 5 = 0")):
+        numbered = corpora.number_in_order(raw.filter(where), "source_index")
+        parts.append(corpora.normalise_cloze(numbered, "cloze", split))
+    both = parts[0].unionByName(parts[1])
+    said = F.when(F.col("row_index") % 3 == 0, "neither").otherwise(F.col("gold")[0])
+    recorded = both.select(
+        "dataset", "split", "id", F.lit(0).alias("turn"),
+        F.concat(F.lit("Answer: "), said, F.lit("\nRationale: so")).alias("response"),
+    )
+    config = rollout.RolloutConfig("exploration", "OEQ", max_turns=0, force_rationale=False)
+    done = rollout.run_graded(both, models.Replay(recorded), config)
+    return rounded(metrics.accuracy(done, "verdict", by=["dataset", "split"], with_f1=False))
+
+
+@query
+def generate_job(spark: SparkSession, sf: str) -> DataFrame:
+    """The generation job from stored questions to its log."""
+    base = _scratch(spark, "generate")
+    tables.write_qa(fx.qa(spark, sf), f"{base}/qa")
+    config = rollout.RolloutConfig("exploration", "OEQ")
+    jobs.generate(spark, f"{base}/qa", f"{base}/turns", models.Replay(fx.responses(spark, sf)), config, f"{base}/log")
+    return tables.read_metrics(spark, f"{base}/log").select("dataset", "stage", "metric", r6("value").alias("value"))
+
+
 def _gated(spark: SparkSession, sf: str, setting: str) -> DataFrame:
     first = 1 if setting == "gradual" else 0
     model = models.Replay(fx.responses(spark, sf, first))
@@ -467,6 +568,23 @@ def encode_pad(spark: SparkSession, sf: str) -> DataFrame:
     return _encoded(spark, sf).select("id", *[joined(F.col(c), " ").alias(c) for c in ("input_ids", "attention_mask", "labels")])
 
 
+@query
+def collated(spark: SparkSession, sf: str) -> DataFrame:
+    """Word lists of documents padded to the longest of their batch of eight documents."""
+    words = text.tokens(F.col("text"))
+    ones = F.transform(words, lambda _: F.lit(1))
+    docs = fx.table(spark, sf, "documents").select(
+        "doc_id", F.expr("doc_id div 8").alias("batch"), F.transform(words, lambda w: F.length(w) + 5).alias("input_ids"),
+        ones.alias("attention_mask"), F.array(F.lit(3), F.lit(1)).alias("labels"),
+    )
+    padded = encoding.collate(docs, "batch", trainset.PAD)
+    total = F.aggregate("input_ids", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return padded.select(
+        "doc_id", F.size("input_ids").cast("bigint").alias("width"), total.alias("total"), joined(F.col("labels"), " ").alias("labels"),
+        F.size(F.filter("attention_mask", lambda m: m == 1)).cast("bigint").alias("n_words"),
+    )
+
+
 @query
 def label_recodes(spark: SparkSession, sf: str) -> DataFrame:
     labels = _encoded(spark, sf).select(
