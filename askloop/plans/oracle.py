@@ -579,6 +579,10 @@ add(
     "class_balance",
     f"SELECT dataset, id, turn, gate_verdict, shuffle_key FROM ({balanced(TRAINING, 'gate_verdict')})",
 )
+add(
+    "first_training_rows",
+    f"SELECT dataset, id, turn, shuffle_key FROM ({balanced(TRAINING, 'gate_verdict')}) ORDER BY shuffle_key LIMIT 50",
+)
 add(
     "group_split",
     f"""WITH {split(TRAINING, "gate_verdict")}
@@ -751,6 +755,7 @@ add(
         round(avg({GATED_SCORE}), 6) AS final_formula FROM fin GROUP BY dataset)
     SELECT * FROM a JOIN b USING (dataset)""",
 )
+ORACLE["compare_report_recorded"] = ORACLE["compare_report"].replace("FROM k ", "FROM s ")
 add(
     "system_report",
     f"""{SCORED}, {KEPT}, l AS (SELECT *, {GATED_SCORE} AS score FROM k {LAST})

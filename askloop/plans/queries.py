@@ -527,6 +527,13 @@ def class_balance(spark: SparkSession, sf: str) -> DataFrame:
     return trainset.balance(fx.training(spark, sf)).select("dataset", "id", "turn", "gate_verdict", "shuffle_key")
 
 
+@query
+def first_training_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The first rows of a balanced training table in its seeded order."""
+    balanced = trainset.balance(fx.training(spark, sf))
+    return trainset.first_rows(balanced, 50, "shuffle_key").select("dataset", "id", "turn", "shuffle_key")
+
+
 @query
 def group_split(spark: SparkSession, sf: str) -> DataFrame:
     return trainset.group_split(fx.training(spark, sf)).select("dataset", "id", "turn", "gate_verdict", "side")
@@ -721,6 +728,12 @@ def compare_report(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(metrics.compare_report(turns, by=["dataset"], accept=F.col("gate_output")))
 
 
+@query
+def compare_report_recorded(spark: SparkSession, sf: str) -> DataFrame:
+    """First against last recorded turns, all turns counting."""
+    return rounded(metrics.compare_report(fx.predictions(spark, sf), by=["dataset"]))
+
+
 @query
 def distinct_questions(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.distinct_questions(fx.predictions(spark, sf))
