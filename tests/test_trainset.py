@@ -2,7 +2,6 @@ import math
 import random
 from collections import Counter
 
-import pytest
 from pyspark.sql import functions as F
 
 from askloop.functions import encoding
