@@ -31,9 +31,10 @@ LOWER[65:91] += 32
 MASK = (1 << 64) - 1
 
 
-def width(spark: SparkSession) -> int:
-    """Shards or buckets of a step: twice the session's shuffle partitions, so that a hash deals them out evenly."""
-    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def widths(spark: SparkSession) -> tuple[int, int]:
+    """Shards and buckets of a step: twice and half the session's shuffle partitions, so a round has their square of rows."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return 2 * partitions, max(1, partitions // 2)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -265,13 +266,30 @@ ASKED = "bucket int, shard int, body binary, tags binary"
 ANSWERED = "shard int, bucket int, bits binary"
 
 
+def in_ranges(parts: list[np.ndarray], at_once: int = 1 << 20) -> Iterator[tuple[np.ndarray, list[slice]]]:
+    """Sorted arrays joined range by range of their values, about ``at_once`` of them at a time, and where they come from."""
+    total = sum(map(len, parts))
+    ranges = 1 + total // at_once
+    every = max(1, total // (ranges * 64))
+    sample = np.sort(np.concatenate([p[::every] for p in parts]))
+    edges = np.unique(sample[[len(sample) * k // ranges for k in range(1, ranges)]]) if ranges > 1 else sample[:0]
+    cuts = [np.concatenate([[0], np.searchsorted(p, edges), [len(p)]]) for p in parts]
+    for k in range(len(edges) + 1):
+        slices = [slice(int(c[k]), int(c[k + 1])) for c in cuts]
+        yield np.concatenate([p[s] for p, s in zip(parts, slices)]), slices
+
+
 def answer(asked: pa.Table) -> pa.Table:
     """For each value of a bucket one bit: does another shard ask for it too?"""
     parts = [unpack_sorted(b) for b in asked.column("body").to_pylist()]
-    numbers = np.concatenate(parts)
-    tags = asked.column("tags").to_pylist()
-    every = Asked(numbers, None if tags[0] is None else np.frombuffer(b"".join(tags), np.uint32))
-    shared = every.repeated[every.place]
-    cuts = np.cumsum([0, *map(len, parts)])
-    bits = [np.packbits(shared[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+    tags = [None if t is None else np.frombuffer(t, np.uint32) for t in asked.column("tags").to_pylist()]
+    shared = [np.zeros(len(p), bool) for p in parts]
+    for numbers, slices in in_ranges(parts):
+        marks = None if tags[0] is None else np.concatenate([t[s] for t, s in zip(tags, slices)])
+        every = Asked(numbers, marks)
+        repeated, at = every.repeated[every.place], 0
+        for out, s in zip(shared, slices):
+            out[s] = repeated[at : at + s.stop - s.start]
+            at += s.stop - s.start
+    bits = [np.packbits(s).tobytes() for s in shared]
     return pa.table({"shard": asked.column("shard"), "bucket": asked.column("bucket"), "bits": pa.array(bits, pa.binary())})

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askloop.llm.common import ANSWERED, ASKED, NO_ID, Asked, ids_array, mix, pack, shingles, split_at, unpack_docs, unpack_sorted, width
+from askloop.llm.common import ANSWERED, ASKED, NO_ID, Asked, ids_array, mix, pack, shingles, split_at, unpack_docs, unpack_sorted, widths
 from askloop.session import materialize
 
 PERCENT = 80
@@ -156,7 +156,7 @@ def _sets(shard: Sets, answers: list[dict], buckets: int, percent: int) -> pa.Ta
 
 def shingle_sets(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """``SETS`` for every row: its set size, its node, and the prefix and fragments of nodes that may link."""
-    shards = buckets = width(docs.sparkSession)
+    shards, buckets = widths(docs.sparkSession)
     by_shard = pack(docs, shards).groupBy("shard")
 
     def question(key: tuple, blobs: pa.Table) -> pa.Table:

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askloop.llm.common import NO_ID, Docs, ids_array, mix, pack, shard_of, unpack_docs, width
+from askloop.llm.common import NO_ID, Docs, ids_array, mix, pack, shard_of, unpack_docs, widths
 from askloop.session import materialize
 
 ORDER = 5
@@ -188,8 +188,8 @@ def probabilities(grams: DataFrame, order: int = ORDER) -> DataFrame:
 
 def scores(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     """(doc_id, lang, trusted, n_bytes, bits) of every row."""
-    shards = width(docs.sparkSession)
-    buckets = shards | 1
+    shards, buckets = widths(docs.sparkSession)
+    buckets |= 1
     by_shard = pack(docs, shards, "lang").groupBy("shard")
     trusted = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(shard_of("doc_id", shards), F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
 

@@ -18,16 +18,18 @@ their own. Kept words are joined by one space. Other columns are not read. Texts
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from askloop.llm.common import ANSWERED, ASKED, Asked, Docs, answer, hasher, ids_array, pack, unpack_docs, width
+from askloop.llm.common import ANSWERED, ASKED, Asked, Docs, answer, hasher, ids_array, pack, unpack_docs, widths
 
 SIZE = 35
 FIRST = 12
 FILTER_BITS = 48
+SCHEMA = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("body", pa.binary()), ("tags", pa.binary())])
 KEPT = "doc_id bigint, n_words bigint, n_removed bigint, kept string"
 
 
@@ -80,10 +82,28 @@ class Shard:
 
 
 def _answers(table: pa.Table) -> dict[int, list[tuple[int, bytes]]]:
-    out: dict[int, list[tuple[int, bytes]]] = {}
-    for row in table.to_pylist():
-        out.setdefault(row["level"], []).append((row["bucket"], row["bits"]))
-    return out
+    """The answers of every level so far: of earlier ones in the row that went along, of the last one in the others."""
+    known, last = {}, []
+    for bucket, bits in zip(table.column("bucket").to_pylist(), table.column("bits").to_pylist()):
+        if bucket < 0:
+            known = pickle.loads(bits)
+        else:
+            last.append((bucket, bits))
+    return {**known, len(known): last} if known or last else {}
+
+
+def _asked(key: tuple, asked: Asked, bits: int, buckets: int, known: dict) -> pa.Table:
+    """The shard's questions, and a row that takes what it knows along to the next step."""
+    shard = key[0].as_py()
+    along = pa.table({"bucket": [shard % buckets], "shard": [shard], "body": [None], "tags": [pickle.dumps(known)]}, SCHEMA)
+    return pa.concat_tables([asked.rows(shard, buckets, bits), along])
+
+
+def _answered(asked: pa.Table) -> pa.Table:
+    known = asked.filter(pa.compute.is_null(asked.column("body")))
+    passed = pa.table({"shard": known.column("shard"), "bucket": pa.array([-1] * len(known), pa.int32()), "bits": known.column("tags")})
+    questions = asked.filter(pa.compute.is_valid(asked.column("body")))
+    return pa.concat_tables([answer(questions), passed]) if len(questions) else passed
 
 
 def _kept(docs: Docs, words, removed: np.ndarray) -> pa.Table:
@@ -109,19 +129,24 @@ def _kept(docs: Docs, words, removed: np.ndarray) -> pa.Table:
 def remove_repeats(docs: DataFrame, size: int = SIZE, first: int = FIRST) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): every document without the words that repeats cover."""
     lengths = levels(size, first)
-    shards = buckets = width(docs.sparkSession)
-    packed = pack(docs, shards)
+    shards, buckets = widths(docs.sparkSession)
+    by_shard = pack(docs, shards).groupBy("shard")
+
+    def shard_of(blobs: pa.Table) -> Shard:
+        return Shard(blobs.column("docs").to_pylist(), lengths, buckets)
+
+    def first_question(key: tuple, blobs: pa.Table) -> pa.Table:
+        return _asked(key, *shard_of(blobs).run({}, 0), buckets, {})
 
     def question(level: int):
         def run(key: tuple, blobs: pa.Table, answers: pa.Table) -> pa.Table:
-            shard = Shard(blobs.column("docs").to_pylist(), lengths, buckets)
-            asked, bits = shard.run(_answers(answers), level)
-            return asked.rows(key[0].as_py(), buckets, bits)
+            known = _answers(answers)
+            return _asked(key, *shard_of(blobs).run(known, level), buckets, known)
 
         return run
 
     def finish(key: tuple, blobs: pa.Table, answers: pa.Table) -> pa.Table:
-        shard = Shard(blobs.column("docs").to_pylist(), lengths, buckets)
+        shard = shard_of(blobs)
         starts = np.flatnonzero(shard.run(_answers(answers), len(lengths)))
         step = np.zeros(len(shard.hashes) + 1, np.int64)
         step[starts] += 1
@@ -130,11 +155,9 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, first: int = FIRST) -> Dat
         ends = np.cumsum([len(w[0]) for w in shard.words])
         return pa.concat_tables([_kept(d, w, removed[e - len(w[0]) : e]) for d, w, e in zip(shard.docs, shard.words, ends)])
 
-    def meet(answers: DataFrame, step, schema: str) -> DataFrame:
-        return packed.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(step, schema)
-
-    answers = docs.sparkSession.createDataFrame([], f"{ANSWERED}, level int")
-    for level in range(len(lengths)):
-        asked = meet(answers, question(level), ASKED)
-        answers = answers.unionAll(asked.groupBy("bucket").applyInArrow(answer, ANSWERED).withColumn("level", F.lit(level)))
-    return meet(answers, finish, KEPT)
+    asked = by_shard.applyInArrow(first_question, ASKED)
+    for level in range(1, len(lengths) + 1):
+        answers = asked.groupBy("bucket").applyInArrow(_answered, ANSWERED)
+        met = by_shard.cogroup(answers.groupBy("shard"))
+        asked = met.applyInArrow(question(level), ASKED) if level < len(lengths) else met.applyInArrow(finish, KEPT)
+    return asked
