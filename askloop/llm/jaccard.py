@@ -11,8 +11,9 @@ in each fragment, and the sums per pair decide.
 
 Equal sets are one node, first within a shard. To find components without all pairs of a group, every node first meets two
 leaders among the holders of its prefix shingles: the one made of the most frequent shingles and the one with the smallest id.
-Links found give components; then every pair of nodes that shares a prefix shingle, could reach the threshold by size and is
-not yet in one component is compared too, so no link between components is missed.
+Links found give components. Nodes that share a prefix shingle but are still in different components may link too. In a
+group of near copies these are many; there nodes are told by their difference from the group's root, and only pairs whose
+differences have enough in common are compared (see ``_near_root``). So no link between components is missed.
 
 Defined cases: null or empty texts, or ones without words, have an empty set and link with nothing; rows without an id link
 with nothing and have no component; rows that share an id but not their set are nodes of their own. Other columns are not
@@ -27,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askloop.llm.common import ANSWERED, ASKED, NO_ID, Asked, ids_array, mix, pack, shingles, split_at, unpack_docs, unpack_sorted, widths
+from askloop.llm.common import ANSWERED, ASKED, NO_ID, Asked, ids_array, in_ranges, mix, pack, shingles, split_at, unpack_docs, unpack_sorted, widths
 from askloop.session import materialize
 
 PERCENT = 80
@@ -35,6 +36,7 @@ WORDS = 5
 BITS = 48
 CLASSES = 8
 RANGES = 4
+SALTS = 16
 SETS = (
     "doc_id bigint, part int, n_shingles bigint, rep_id bigint, rep_part int, score bigint, "
     "prefix array<bigint>, fragments array<int>, tokens array<array<bigint>>"
@@ -84,12 +86,16 @@ def _unzip(blob: bytes, kind) -> np.ndarray:
 def _magnitudes(asked: pa.Table) -> pa.Table:
     """For each shingle of a bucket the binary magnitude of its document frequency: 0 for one document, 1 for 2 or 3, ..."""
     parts = [unpack_sorted(b) for b in asked.column("body").to_pylist()]
-    counts = np.concatenate([_unzip(t, np.uint32) for t in asked.column("tags").to_pylist()]).astype(np.float64)
-    every = Asked(np.concatenate(parts))
-    total = np.bincount(every.place, counts)
-    magnitude = np.floor(np.log2(total)).astype(np.uint8)[every.place]
-    cuts = np.cumsum([0, *map(len, parts)])
-    bits = [_zip(magnitude[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+    counts = [_unzip(t, np.uint32) for t in asked.column("tags").to_pylist()]
+    found = [np.zeros(len(p), np.uint8) for p in parts]
+    for numbers, slices in in_ranges(parts):
+        every = Asked(numbers)
+        total = np.bincount(every.place, np.concatenate([c[s] for c, s in zip(counts, slices)]))
+        magnitude, at = np.floor(np.log2(total)).astype(np.uint8)[every.place], 0
+        for out, s in zip(found, slices):
+            out[s] = magnitude[at : at + s.stop - s.start]
+            at += s.stop - s.start
+    bits = [_zip(f) for f in found]
     return pa.table({"shard": asked.column("shard"), "bucket": asked.column("bucket"), "bits": pa.array(bits, pa.binary())})
 
 
@@ -212,17 +218,23 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
         F.min(F.struct("node", "n")).alias("least"),
     )
     met = prefixes.join(leader, "token")
-    chosen = met.groupBy("node", "n").agg(F.max_by("common", F.struct("common.score", "common.n", "common.node")).alias("common"), F.min("least").alias("least"))
-    pairs = chosen.select("node", "n", F.inline(F.array(F.struct("common.node", "common.n"), F.struct("least.node", "least.n")))).toDF("a", "n_a", "b", "n_b")
-    first = materialize(links(_possible(pairs, percent).distinct(), fragments, percent), "links")
+    best = F.max_by("common", F.struct("common.score", "common.n", "common.node"))
+    chosen = materialize(met.groupBy("node", "n").agg(best.alias("common"), F.min("least").alias("least")), "leaders")
+    pairs = chosen.select("node", "n", F.inline(F.array(F.struct("common.node", "common.n"), F.struct("least.node", "least.n"))))
+    first = materialize(links(_possible(pairs.toDF("a", "n_a", "b", "n_b"), percent).distinct(), fragments, percent), "links")
     labels = components(first, "components")
 
-    # What these links leave apart: pairs with a common prefix token in different components.
+    # What these links leave apart: nodes with a common prefix token in different components.
     labelled = prefixes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     apart = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    open_ = labelled.join(apart.select("token"), "token", "left_semi").select("token", "node", "n", "label")
-    mine, others = open_.toDF("token", "a", "n_a", "label_a"), open_.toDF("token", "b", "n_b", "label_b")
-    rest = mine.join(others, "token").filter("label_a < label_b").select("a", "n_a", "b", "n_b")
+    left = labelled.join(apart.select("token"), "token", "left_semi").join(_roots(chosen), "node")
+    left = materialize(left.select("token", "node", "n", "label", "root"), "apart")
+    mine = left.select("token", "root", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "label")])
+    others = left.select("token", F.col("root").alias("root_b"), *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "label")])
+    rest = mine.join(others, "token").filter("root <> root_b AND label_a < label_b")
+    rest = rest.unionByName(_near_root(left, nodes, percent), allowMissingColumns=True).select(
+        F.col("node_a").alias("a"), "n_a", F.col("node_b").alias("b"), "n_b"
+    )
     second = links(_possible(rest, percent).distinct(), fragments, percent)
     labels = components(materialize(first.unionAll(second), "links"), "components")
 
@@ -231,6 +243,53 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
     return rows.join(mine, "rep", "left").select("doc_id", "n_shingles", F.coalesce("smallest", "rep.doc_id").alias("component_id"))
 
 
+def _roots(chosen: DataFrame) -> DataFrame:
+    """(node, root): the leader's leader's leader, which most nodes of a group of near copies have in common."""
+    step = chosen.select("node", F.col("common.node").alias("root"))
+    for _ in range(2):
+        onward = chosen.select(F.col("node").alias("root"), F.col("common.node").alias("next"))
+        step = step.join(onward, "root").select("node", F.col("next").alias("root"))
+    return step
+
+
+def _near_root(left: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs in different components under one root that may link.
+
+    A node is told by how it differs from its root: the tokens added and removed. Two nodes differ by as many tokens as
+    their differences do, so with e the size of a node's difference and ``w`` = (100 + percent) e - (100 - percent) n, two
+    nodes link if and only if 2 (100 + percent) times the number of changes that they share is at least the sum of their
+    w. So they share an added token, or else each one's removed tokens alone must be enough for that.
+    """
+    up, down = 100 + percent, 100 - percent
+    tokens = nodes.select("node", F.flatten("tokens").alias("all"))
+    salts = F.explode(F.array(*[F.lit(k) for k in range(SALTS)])).alias("salt")
+    roots = left.select("root").distinct().join(tokens.toDF("root", "held"), "root").select("*", salts)
+    own = left.select("node", "n", "label", "root").distinct().join(tokens, "node")
+    own = own.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(roots, ["root", "salt"])
+    own = own.withColumns({"added": F.array_except("all", "held"), "removed": F.size(F.array_except("held", "all"))})
+    differs = F.col("n") + F.size("held") - 2 * (F.size("all") - F.size("added"))
+    own = own.withColumn("w", up * differs - down * F.col("n")).withColumn("reach", 2 * up * F.col("removed") - F.col("w"))
+    own = materialize(own.select("root", "node", "n", "label", "added", "w", "reach"), "differences")
+
+    def side(df: DataFrame, end: str, *more: str) -> DataFrame:
+        return df.select("root", *more, *[F.col(c).alias(f"{c}_{end}") for c in ("node", "n", "label", "w", "reach")])
+
+    added = own.withColumn("token", F.explode("added"))
+    shared = added.groupBy("root", "token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    added = added.join(shared.select("root", "token"), ["root", "token"], "left_semi")
+    by_token = side(added, "a", "token").join(side(added, "b", "token"), ["root", "token"]).filter("label_a < label_b")
+
+    furthest = own.groupBy("root").agg(F.max("reach").alias("furthest"))
+    able = own.join(furthest, "root").filter("w <= furthest")
+    counted = able.groupBy("root", "label").agg(F.count("*").alias("size"))
+    most = counted.groupBy("root").agg(F.max_by("label", F.struct("size", "label")).alias("most"), F.count("*").alias("labels"))
+    able = able.join(most.filter("labels > 1"), "root")
+    by_removed = side(able.filter("label <> most"), "a").join(side(able, "b"), "root")
+    by_removed = by_removed.filter("label_a <> label_b AND w_a <= reach_b AND w_b <= reach_a")
+    columns = ["root", "node_a", "n_a", "node_b", "n_b"]
+    return by_token.select(columns).unionByName(by_removed.select(columns))
+
+
 def _possible(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs of different nodes whose sizes allow a link."""
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
