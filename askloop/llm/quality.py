@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from askloop.llm.common import NO_ID, Docs, ids_array, mix, pack, shard_of, unpack_docs, widths
@@ -153,36 +153,38 @@ def discounts(counts: DataFrame) -> DataFrame:
     return counts.agg(*held).select(discount(1, 0.5).alias("one"), discount(2, 1.0).alias("two"), discount(3, 1.5).alias("more"))
 
 
-def _level(counts: DataFrame, wanted: DataFrame, lower: DataFrame | None) -> DataFrame:
-    """(gram, p) of the wanted grams, from counts (gram, n) of their order and the next lower order's (gram, p)."""
-    d = F.broadcast(discounts(counts).withColumn("all", F.lit(1)))  # one row by construction
+def _level(grams: DataFrame, lower: DataFrame | None, mask: int) -> DataFrame:
+    """(gram, p) of all grams (gram, n) of one order, given the (gram, p) of the next lower one; ``mask`` cuts the first byte.
+
+    A context has at most 256 grams, so its sums are a window over few rows.
+    """
+    d = F.broadcast(discounts(grams.filter("n > 0")).withColumn("all", F.lit(1)))  # one row by construction
     cut = F.when(F.col("n") == 1, F.col("one")).when(F.col("n") == 2, F.col("two")).otherwise(F.col("more"))
-    cut = counts.withColumn("all", F.lit(1)).join(d, "all").select("gram", "n", F.least(cut, F.col("n").cast("double")).alias("cut"))
-    contexts = cut.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("total"), F.sum("cut").alias("rest"))
-    asked = wanted.withColumn("context", F.shiftright("gram", 8))
-    joined = asked.join(contexts, "context", "left").join(cut, "gram", "left")
+    cut = F.when(F.col("n") > 0, F.least(cut, F.col("n").cast("double"))).otherwise(F.lit(0.0))
+    told = grams.withColumn("all", F.lit(1)).join(d, "all").select("gram", "n", cut.alias("cut"))
+    siblings = Window.partitionBy(F.shiftright("gram", 8))
+    told = told.withColumns({"total": F.sum("n").over(siblings), "rest": F.sum("cut").over(siblings)})
     if lower is None:
-        joined = joined.withColumn("lower", F.lit(1.0 / 256))
+        told = told.withColumn("lower", F.lit(1.0 / 256))
     else:
-        suffix = lower.select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
-        joined = joined.join(suffix, "suffix")
-    own = F.coalesce(F.col("n") - F.col("cut"), F.lit(0.0))
-    p = F.when(F.col("total").isNull(), F.col("lower")).otherwise((own + F.col("rest") * F.col("lower")) / F.col("total"))
-    return joined.select("gram", p.alias("p"))
+        shorter = lower.select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
+        told = told.withColumn("suffix", F.col("gram").bitwiseAND(F.lit(mask))).join(shorter, "suffix")
+    p = F.when(F.col("total") == 0, F.col("lower")).otherwise((F.col("n") - F.col("cut") + F.col("rest") * F.col("lower")) / F.col("total"))
+    return told.select("gram", p.alias("p"))
 
 
 def probabilities(grams: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, p) for every gram (gram, n), n being its count in trusted text; p of its last byte after the others."""
-    counts = {order: grams.filter("n > 0").select("gram", "n")}
-    wanted = {order: grams.select("gram")}
+    """(gram, p) for every gram (gram, n), n being its count in trusted text; p of its last byte after the others.
+
+    All grams of lower orders are there too, with the number of different bytes that trusted text has before them.
+    """
+    of_order = {order: grams}
     for k in range(order - 1, 0, -1):
         low = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")
-        counts[k] = counts[k + 1].groupBy(low).agg(F.count("*").alias("n"))
-        wanted[k] = wanted[k + 1].select(low).distinct()
+        of_order[k] = of_order[k + 1].groupBy(low).agg(F.sum((F.col("n") > 0).cast("bigint")).alias("n"))
     found = None
     for k in range(1, order + 1):
-        asked = wanted[k].withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)))
-        found = _level(counts[k], asked, found)
+        found = _level(of_order[k], found, (1 << 8 * (k - 1)) - 1)
     return found
 
 
