@@ -31,6 +31,7 @@ from askloop.session import materialize
 
 FEATURE_BITS = 18
 SAMPLE_ROWS = 12_000
+SAMPLE_PARTITIONS = 6
 FOLDS = 3
 REGULARISATION = 0.0005
 LEADING = (4, 5, 6, 7, 8)
@@ -136,7 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
     texts = docs.filter("length(trim(text)) > 0")
     texts = texts.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(1 << 30)) < F.lit(share * (1 << 30)))
     rows = _counted(texts).join(chosen, "doc_id").withColumn("fold", F.pmod(F.hash("doc_id", F.lit("fold")), F.lit(FOLDS)))
-    rows = materialize(rows, "toxicity-sample")
+    # Every iteration of a fit returns a gradient from each partition, so the bounded sample stands in few of them.
+    rows = materialize(rows.coalesce(SAMPLE_PARTITIONS), "toxicity-sample")
     chain: list[Link] = []
     for k, name in enumerate(names):
         earlier = [f"p_{n}" for n in names[:k]]
