@@ -1,5 +1,6 @@
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -149,6 +150,28 @@ def test_quality_rejects_text_unlike_the_trusted(spark, documents):
     assert quality.keep_good(documents([]), labels).count() == 0
 
 
+def test_quality_threshold_is_the_quantile_of_held_out_trusted_text(spark, documents):
+    rng = random.Random(4)
+    texts = {i: "".join(rng.choices("abcé d", weights=rng.choices([1, 5], k=6), k=rng.randint(40, 90))) for i in range(30)}
+    rows = [(i, t, "xx") for i, t in texts.items()] + [(40, texts[0], "xx")]
+    labels = spark.createDataFrame([(i, int(i < 16 or i == 40), 0) for i in [*range(30), 40]], "doc_id bigint, quality int, toxic int")
+    texts[40] = texts[0]
+    half = {i: zlib.crc32(t.encode()) % 2 for i, t in texts.items() if i < 16 or i == 40}
+    assert set(half.values()) == {0, 1}
+    models = [plain_kneser_ney([texts[i] for i in half if h is None or half[i] != h], quality.ORDER) for h in (0, 1, None)]
+
+    def bits(i):
+        raw = texts[i].encode()
+        padded = b"\n" * (quality.ORDER - 1) + raw
+        return -sum(math.log2(models[half.get(i, 2)](padded[k : k + quality.ORDER])) for k in range(len(raw))), len(raw)
+
+    median = sorted(b / n for b, n in map(bits, half))[(len(half) - 1) // 2]
+    score = {i: (b + quality.PRIOR_BYTES * median) / (n + quality.PRIOR_BYTES) for i, (b, n) in ((i, bits(i)) for i in texts)}
+    for r in quality.classify(documents(rows), labels).collect():
+        assert r.score == pytest.approx(score[r.doc_id], rel=1e-5)
+        assert r.threshold == pytest.approx(max(score[i] for i in half), rel=1e-5)
+
+
 def test_toxicity_on_held_out_rows(spark, documents):
     rng = random.Random(8)
     plain = [f"word{i}" for i in range(300)]
