@@ -102,15 +102,21 @@ class Items:
 
 def find(docs: DataFrame, items: DataFrame, threshold: float = 0.8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item): the pairs whose document contains the item."""
+    found = None
+    for ids, texts in _blocks(items, block_bytes):
+        pairs = id_text(docs).mapInArrow(_finder(ids, texts, threshold), FOUND)
+        found = pairs if found is None else found.unionAll(pairs)
+    return found
+
+
+def _blocks(items: DataFrame, block_bytes: int) -> Iterator[tuple[list, list]]:
+    """Ids and texts of the items, in blocks of about ``block_bytes`` of text; one empty block if there are none."""
     named = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + total // block_bytes
-    found = None
     for b in range(blocks):
         rows = named.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        pairs = id_text(docs).mapInArrow(_finder([r.item_id for r in rows], [r.text for r in rows], threshold), FOUND)
-        found = pairs if found is None else found.unionAll(pairs)
-    return found
+        yield [r.item_id for r in rows], [r.text for r in rows]
 
 
 def _finder(ids, texts, threshold):
@@ -128,7 +134,23 @@ def _finder(ids, texts, threshold):
     return run
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """``docs`` without the documents that contain an item. Rows without an id cannot be named and stay."""
-    found = find(docs, items, threshold).select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("__found"), "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows whose own text contains an item; every row is judged in place, whatever its id."""
+    clean = docs
+    for ids, texts in _blocks(items, block_bytes):
+        clean = clean.mapInArrow(_cleaner(ids, texts, threshold), docs.schema)
+    return clean
+
+
+def _cleaner(ids, texts, threshold):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(ids, texts)
+        for batch in batches:
+            text = batch.column(batch.schema.get_field_index("text")).cast(pa.string())
+            keep, at = np.ones(len(batch), bool), 0
+            for docs in slices([pa.record_batch([pa.nulls(len(batch), pa.int64()), text], ["doc_id", "text"])]):
+                keep[[at + d for d, _, _ in items.contained(docs, threshold)]] = False
+                at += len(docs)
+            yield batch.filter(pa.array(keep))
+
+    return run

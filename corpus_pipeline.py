@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on every row that the stage before kept. Its result is written as Parquet in
 the folder that ``spark.checkpoint.dir`` names and read again as the next stage's docs, so a lost executor costs no earlier
-stage. Rows that share an id are one document to these decisions, and rows without an id stay.
+stage. Rows that share an id are one document to quality and near duplicates, where rows without an id stay; the other stages
+take each row by itself.
 """
 
 from __future__ import annotations

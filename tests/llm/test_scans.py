@@ -110,6 +110,16 @@ def test_decontaminate(spark, documents):
     assert containment.decontaminate(documents([]), bench).count() == 0
 
 
+@pytest.mark.parametrize("block", [16 << 20, 40])
+def test_decontaminate_judges_each_row_on_its_own_text(spark, documents, block):
+    items = [" ".join(f"{c}{k}" for k in range(9)) for c in "pqr"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    rows = [(1, f"before {items[0]} after"), (1, "clean text of the same id"), (None, f"x {items[1]}"), (None, "clean too"), (2, items[2]), (3, None)]
+    kept = containment.decontaminate(documents(rows), bench, block_bytes=block)
+    assert sorted((r.doc_id, r.text) for r in kept.filter("doc_id IS NOT NULL").collect()) == [(1, "clean text of the same id"), (3, None)]
+    assert [r.text for r in kept.filter("doc_id IS NULL").collect()] == ["clean too"]
+
+
 def test_sketches_find_items_at_any_size():
     """Recall of the sketches alone against brute force, documents of many sizes."""
     import numpy as np
