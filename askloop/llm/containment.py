@@ -7,8 +7,9 @@ the document's.
 Documents are partitioned by the power of two ``u`` that bounds their set size. A partition uses one-permutation MinHash with
 2u bins (the leading bits of a shingle's hash choose the bin, the smallest hash in a bin is its value), so that a sketch
 keeps a shingle that both sides share with a probability of 0.78 at any size and one equal bin makes a candidate: an item
-with s shared shingles is missed with a probability of 0.22 ** s, 6e-7 for s = 9. Items of at most ``EXACT_ITEM`` shingles
-are looked up by every shingle instead, so none of them is missed. Candidates are verified on the words themselves.
+with s shared shingles is missed by the sketches with a probability of 0.22 ** s. Items of at most ``EXACT_ITEM`` shingles
+are looked up by every shingle instead, and for longer ones that no bin found the shared hashes are counted, so none is missed.
+Candidates are verified on the words themselves.
 
 Items are a stated set, taken in blocks of about ``BLOCK_BYTES`` of text; each block travels with its tasks and meets every
 document in place, so no document is shuffled and a document's length or popularity is of no matter.
@@ -65,7 +66,13 @@ class Items:
         self.sets = [shingle_set(block.text(i)) for i in range(len(ids))]
         self.hashes = [np.unique(h) for h in np.split(hashes, np.searchsorted(owner, np.arange(1, len(ids))))] if ids else []
         self.classes: dict[int, dict[int, list[int]]] = {}
-        self.known = np.unique(hashes)
+        holders = np.repeat(np.arange(len(ids)), [len(h) for h in self.hashes]) if ids else np.zeros(0, np.int64)
+        every = np.concatenate(self.hashes) if ids else hashes
+        order = np.argsort(every, kind="stable")
+        #: The distinct hashes, and the items that hold them: those of hash k are holders[first[k]:first[k + 1]].
+        self.known, first = np.unique(every[order], return_index=True)
+        self.holders, self.first = holders[order], np.append(first, len(every))
+        self.sizes = np.array([len(h) for h in self.hashes], np.int64)
         self.filter = np.zeros(1 << 20, bool)
         self.filter[self.known >> np.uint64(44)] = True
 
@@ -79,6 +86,13 @@ class Items:
             self.classes[size] = dict(by_value)
         return self.classes[size]
 
+    def enough(self, shared: np.ndarray, threshold: float) -> list[int]:
+        """Items that have enough of the known hashes ``shared``."""
+        at = np.searchsorted(self.known, shared)
+        found = [self.holders[a:b] for a, b in zip(self.first[at].tolist(), self.first[at + 1].tolist())]
+        items, n = np.unique(np.concatenate(found), return_counts=True)
+        return items[n >= threshold * self.sizes[items]].tolist()
+
     def contained(self, docs: Docs, threshold: float) -> Iterator[tuple[int, int, int]]:
         """(document, item, shared shingles) of the items that the documents contain."""
         hashes, owner, _ = shingles(docs, WORDS)
@@ -90,14 +104,16 @@ class Items:
             size = int(size_class(len(own)))
             sketches, minima = self.sketches(size), set(bin_minima(own, size + 1).tolist())
             candidates = set()
-            for h in np.unique(hashes[near[owner[near] == d]]).tolist():
+            shared = np.unique(hashes[near[owner[near] == d]])
+            for h in shared.tolist():
                 candidates.update(i for i in sketches.get(h, ()) if h in minima or len(self.hashes[i]) <= EXACT_ITEM)
+            candidates.update(self.enough(shared, threshold))
             if candidates:
                 there = shingle_set(docs.text(d))
                 for i in sorted(candidates):
-                    shared = len(self.sets[i] & there)
-                    if shared and shared >= threshold * len(self.sets[i]):
-                        yield d, i, shared
+                    n = len(self.sets[i] & there)
+                    if n and n >= threshold * len(self.sets[i]):
+                        yield d, i, n
 
 
 def find(docs: DataFrame, items: DataFrame, threshold: float = 0.8, block_bytes: int = BLOCK_BYTES) -> DataFrame:

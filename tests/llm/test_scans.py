@@ -1,10 +1,12 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from brute import base_spans, shingles
 
 from askloop.llm import containment, secrets
+from askloop.llm.common import docs_of
 
 KEY = "AKIA" + "ABCDEFGH12345678"
 HEX = "0123456789abcdef01234567"
@@ -98,6 +100,15 @@ def test_containment(spark, documents, block):
     assert sorted(map(tuple, got.collect()), key=str) == contained(docs, items)
 
 
+def test_containment_finds_items_that_no_bin_shows(spark, documents, monkeypatch):
+    monkeypatch.setattr(containment, "bin_minima", lambda hashes, bits: hashes[:0])
+    item = " ".join(f"w{k}" for k in range(13))  # nine shingles
+    bench = spark.createDataFrame([(1, item), (2, "another " * 20)], "item_id bigint, text string")
+    found = containment.Items([1, 2], [item, " ".join(f"v{k}" for k in range(30))]).contained(docs_of(pa.array([7]), pa.array([f"a b {item[:-3]} c d"])), 0.8)
+    assert list(found) == [(0, 0, 8)]
+    assert [r.doc_id for r in containment.find(documents([(7, f"a {item} b"), (8, item[:20])]), bench).collect()] == [7]
+
+
 def test_decontaminate(spark, documents):
     docs, items = leaky()
     bench = spark.createDataFrame(items, "item_id bigint, text string")
