@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACK_BYTES = 16 << 20
@@ -182,6 +182,18 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[
             at = end
 
 
+def salted_join(rows: DataFrame, lookup: DataFrame, keys: list[tuple[str, str]], salt: Column, how: str = "inner", salts: int = 16) -> DataFrame:
+    """``rows`` with the other columns of ``lookup``, which has one row a key; nulls are equal.
+
+    The rows of a key are dealt to ``salts`` places by ``salt``, a hash, and its one row of ``lookup`` to each of them.
+    """
+    spread = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    same = F.pmod(salt, F.lit(salts)).cast("int") == F.col("_salt")
+    for own, other in keys:
+        same = same & F.col(own).eqNullSafe(F.col(other))
+    return rows.join(spread, same, how).drop("_salt", *[other for _, other in keys])
+
+
 def id_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
