@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from askloop.operators.prompts import chat_messages
 from askloop.schemas import KEYS
+from askloop.session import materialize
 
 # model(list of message lists, settings) -> list of responses
 BatchModel = Callable[[list[list[dict[str, str]]], dict[str, Any]], list[str]]
@@ -72,25 +73,38 @@ class Model:
         return asked.mapInPandas(answer, schema)
 
 
-class Replay:
+class _Recorded:
+    """A table of recorded turns, written by turn when first asked, so that each turn of a rollout reads its own folder only."""
+
+    reads_content = False
+
+    def __init__(self, table: DataFrame, name: str):
+        self.table, self.name, self.stored = table, name, None
+
+    def of_turn(self, turn: int) -> DataFrame:
+        if self.stored is None:
+            self.stored = materialize(self.table, "recorded", partition_by=["turn"])
+        return self.stored.filter(F.col("turn") == turn)
+
+
+class Replay(_Recorded):
     """Answers from recorded responses ``dataset, split, id, turn, response``; a turn without a record has none."""
 
     def __init__(self, responses: DataFrame, name: str = "replay"):
-        self.responses, self.name = responses, name
+        super().__init__(responses, name)
 
     def respond(self, df: DataFrame, turn: int) -> DataFrame:
-        recorded = self.responses.filter(F.col("turn") == turn).select(*KEYS, "response")
-        return df.join(recorded, KEYS, "left")
+        return df.join(self.of_turn(turn).select(*KEYS, "response"), KEYS, "left")
 
 
-class ReplayGate:
+class ReplayGate(_Recorded):
     """Accepts or rejects from recorded gate outputs ``dataset, split, id, turn, gate_output [, confidences]``."""
 
     def __init__(self, outputs: DataFrame, name: str = "replay"):
-        self.outputs, self.name = outputs, name
+        super().__init__(outputs, name)
 
     def judge(self, df: DataFrame, turn: int) -> DataFrame:
-        recorded = self.outputs.filter(F.col("turn") == turn)
+        recorded = self.of_turn(turn)
         known = [
             F.col(c) if c in recorded.columns else F.lit(None).cast("double").alias(c)
             for c in ("confidence_0", "confidence_1")

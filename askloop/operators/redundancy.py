@@ -7,22 +7,33 @@ rationales are the summed weight of their common elements:
 * ``bitand`` (counts combined by bitwise and): one element per word and set bit of its count, weighing that bit;
 * ``min`` (the smaller count): one element per repeat of a word, weighing 1.
 
-Exact copies collapse before anything is compared. Within a question elements are ordered rarest first and those of a
-single rationale are dropped; two rationales that overlap enough share an element before the tail that weighs too little.
-Each rationale first meets the latest holder of each such element, which settles most; those left meet all later holders.
-Every step is a join or a hash aggregate on (question, element), so no question is ever gathered.
+Exact copies collapse before anything is compared. What is left is an existence join that never makes a row for a pair: the
+rationales of a question fall into blocks of about ``BLOCK`` by a hash, each block meets each other one of its question in one
+task, and a rationale leaves that task as soon as a partner is found. There the elements are ordered rarest first and those
+of a single rationale are dropped. Partners are taken a stretch at a time, latest first. A rationale is only tested against
+a stretch that holds an element of its prefix, that is one with ``threshold`` of its own weight at or behind it (two that
+overlap enough have their first common element there), and if the weight it could share with the whole stretch reaches
+``threshold``. Those left are one product of matrices. A question with n different rationales costs n rows for each BLOCK
+of them: one row a rationale up to about a thousand.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askloop.functions.text import word_counts, word_tokens
-from askloop.operators.skew import SALTS, salt
+from askloop.operators.skew import join_per_question
 from askloop.schemas import KEYS
 from askloop.session import materialize
 
+#: Different rationales of a block, on average; partners tested at a time; numbers of a matrix at a time.
+BLOCK = 1_024
+STRETCH = 256
+CELLS = 1 << 23
+
 
 def answer_redundancy(df: DataFrame) -> DataFrame:
     """Per question: rows, and rows whose answer occurs more than once."""
@@ -77,49 +88,100 @@ def _distinct_vectors(df: DataFrame, threshold: int, overlap: str) -> DataFrame:
     return grouped.filter(F.col("weight") >= threshold).drop("weight")
 
 
-def _prefixes(vectors: DataFrame, threshold: int) -> DataFrame:
-    """(question, last, element): of each rationale the elements that a partner must share one of.
-
-    Elements that only one rationale of the question holds are dropped. Of the rest, rarest first, those are kept that at
-    least ``threshold`` of weight, themselves included, lies at or behind: were the first common element of two
-    rationales further on, all their common elements would weigh too little.
-    """
-    each = vectors.select(*KEYS, "last", F.explode("elements").alias("element"))
-    held = each.groupBy(*KEYS, "element").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    salts = F.explode(F.array(*[F.lit(s) for s in range(SALTS)])).alias("_salt")
-    shared = each.withColumn("_salt", salt(F.col("last"))).join(held.select("*", salts), [*KEYS, "element", "_salt"])
-    ordered = shared.groupBy(*KEYS, "last").agg(F.sort_array(F.collect_list(F.struct("n", "element"))).alias("_ordered"))
-    total = _weight(F.transform("_ordered", lambda s: s["element"]))
-    start = F.struct(total.alias("left"), F.array().cast("array<string>").alias("kept"))
-
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.when(acc["left"] >= threshold, F.concat(acc["kept"], F.array(s["element"]))).otherwise(acc["kept"])
-        return F.struct((acc["left"] - _element_weight(s["element"])).alias("left"), kept.alias("kept"))
-
-    return ordered.select(*KEYS, "last", F.explode(F.aggregate("_ordered", start, step)["kept"]).alias("element"))
-
-
-def _overlapping(pairs: DataFrame, vectors: DataFrame, threshold: int) -> DataFrame:
-    """(question, last) of the seekers among ``pairs`` (question, last, partner) that overlap their partner."""
-    elements = vectors.select(*KEYS, "last", "elements")
-    partners = elements.toDF(*KEYS, "partner", "others")
-    met = pairs.join(elements, [*KEYS, "last"]).join(partners, [*KEYS, "partner"])
-    return met.filter(_shared(F.col("elements"), F.col("others")) >= threshold).select(*KEYS, "last").distinct()
+def _meetings(vectors: DataFrame, block: int) -> DataFrame:
+    """``vectors`` of questions that have several, a row for each two blocks ``_one`` <= ``_two`` that theirs is one of."""
+    sizes = vectors.groupBy(*KEYS).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"), F.count(F.lit(1)).alias("_n"))
+    placed = join_per_question(vectors.select(*KEYS, "last", "elements"), sizes.filter("_n > 1").drop("_n"), "last")
+    own = F.pmod(F.xxhash64("last"), F.col("_blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
+    met = placed.select(*KEYS, "last", "elements", own.alias("_own"), other)
+    return met.select(*KEYS, F.least("_own", "_other").alias("_one"), F.greatest("_own", "_other").alias("_two"), "_own", "last", "elements")
+
+
+class _Sets:
+    """Some rationales as element numbers, rarest first: those of a row are ``codes[ends[i] : ends[i + 1]]``."""
+
+    def __init__(self, elements: pa.ListArray):
+        words = elements.flatten().dictionary_encode()
+        codes, row = words.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(elements)), elements.value_lengths().to_numpy(zero_copy_only=False))
+        weights = np.array([int(w[: w.index(":")]) for w in words.dictionary.to_pylist()], np.float64)
+        held = np.bincount(codes, minlength=len(weights))
+        shared = held[codes] > 1
+        codes, row = codes[shared], row[shared]
+        rank = np.empty(len(held), np.int64)
+        rank[np.argsort(held, kind="stable")] = np.arange(len(held))
+        order = np.lexsort((rank[codes], row))
+        self.codes, self.row, self.rank, self.weights = codes[order], row[order], rank, weights
+        self.ends = np.searchsorted(self.row, np.arange(len(elements) + 1))
+        sums = np.append(0.0, np.cumsum(weights[self.codes]))
+        self.behind = sums[self.ends[self.row + 1]] - sums[:-1]  # the weight at and behind each element of a row
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the elements of ``rows``, and which of ``rows`` each belongs to."""
+        sizes = self.ends[rows + 1] - self.ends[rows]
+        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.ends[rows], sizes)
+        return at, np.repeat(np.arange(len(rows)), sizes)
+
+    def possible(self, rows: np.ndarray, partners: np.ndarray, threshold: int) -> np.ndarray:
+        """Those of ``rows`` that both bounds leave."""
+        theirs = np.zeros(len(self.weights), bool)
+        prefixes = np.zeros(len(self.weights), bool)
+        at, _ = self.of(partners)
+        theirs[self.codes[at]] = True
+        prefixes[self.codes[at[self.behind[at] >= threshold]]] = True
+        at, place = self.of(rows)
+        code = self.codes[at]
+        met = np.bincount(place, prefixes[code] & (self.behind[at] >= threshold), len(rows)) > 0
+        return rows[met & (np.bincount(place, self.weights[code] * theirs[code], len(rows)) >= threshold)]
+
+    def overlaps(self, rows: np.ndarray, partners: np.ndarray) -> np.ndarray:
+        """Shared weight of each of ``rows`` with each of ``partners``; elements are multiplied some at a time."""
+        (at, mine), (there, theirs) = self.of(rows), self.of(partners)
+        known, column = np.unique(np.concatenate([self.codes[at], self.codes[there]]), return_inverse=True)
+        out, width = np.zeros((len(rows), len(partners))), max(1, CELLS // (len(rows) + len(partners)))
+        for low in range(0, len(known), width):
+            a, b = (np.zeros((len(x), min(width, len(known) - low))) for x in (rows, partners))
+            for matrix, place, columns in ((a, mine, column[: len(at)]), (b, theirs, column[len(at) :])):
+                here = (columns >= low) & (columns < low + width)
+                matrix[place[here], columns[here] - low] = 1
+            out += (a * self.weights[known[low : low + width]]) @ b.T
+        return out
+
+
+def _found(last: np.ndarray, own: np.ndarray, elements: pa.ListArray, threshold: int) -> np.ndarray:
+    """Which rationales overlap a later one, of the same block or of the other one where there are two."""
+    sets, found = _Sets(elements), np.zeros(len(last), bool)
+    for block in np.unique(own):
+        partners = np.flatnonzero(own == block)
+        partners = partners[np.argsort(-last[partners], kind="stable")]
+        seekers = np.flatnonzero(own != block) if own.min() < own.max() else partners
+        for low in range(0, len(partners), STRETCH):
+            some = partners[low : low + STRETCH]
+            open_ = seekers[~found[seekers] & (last[seekers] < last[some].max())]
+            open_ = sets.possible(open_, some, threshold)
+            for at in range(0, len(open_), STRETCH):
+                rows = open_[at : at + STRETCH]
+                found[rows] = ((sets.overlaps(rows, some) >= threshold) & (last[some] > last[rows, None])).any(axis=1)
+    return found
+
+
+def _overlapped(vectors: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
+    """(question, last) of the rationales that a later one of their question overlaps."""
+
+    def tested(group: pa.Table) -> pa.Table:
+        last, own = (group.column(c).to_numpy() for c in ("last", "_own"))
+        found = _found(last, own, group.column("elements").combine_chunks(), threshold)
+        return group.select([*KEYS, "last"]).filter(pa.array(found))
+
+    schema = ", ".join([f"{k} string" for k in KEYS] + [f"last {vectors.schema['last'].dataType.simpleString()}"])
+    met = _meetings(vectors, block).groupBy(*KEYS, "_one", "_two")
+    return met.applyInArrow(tested, schema).distinct()
 
 
 def rationale_redundancy(df: DataFrame, threshold: int = 20, overlap: str = "bitand") -> DataFrame:
     """Per question: non-null rationales, and those that a later one overlaps. (dataset, split, id, turn) is unique."""
     vectors = materialize(_distinct_vectors(df, threshold, overlap), "rationale-sets")
-    prefixes = materialize(_prefixes(vectors, threshold), "rationale-prefixes")
-
-    latest = prefixes.groupBy(*KEYS, "element").agg(F.max("last").alias("partner"))
-    offered = prefixes.join(latest, [*KEYS, "element"]).filter("partner > last").select(*KEYS, "last", "partner").distinct()
-    settled = materialize(_overlapping(offered, vectors, threshold), "rationales-settled")
-
-    left = prefixes.join(settled, [*KEYS, "last"], "left_anti")
-    others = prefixes.withColumnRenamed("last", "partner")
-    rest = left.join(others, [*KEYS, "element"]).filter("partner > last").select(*KEYS, "last", "partner").distinct()
-    found = settled.unionAll(_overlapping(rest, vectors, threshold)).withColumn("_found", F.lit(1))
+    found = _overlapped(vectors, threshold).withColumn("_found", F.lit(1))
 
     # Of equal rationales all but the last turn's are redundant, and the last one if a later one overlaps it.
     flags = vectors.join(found, [*KEYS, "last"], "left").groupBy(*KEYS).agg(

@@ -52,17 +52,14 @@ def shared_root(spark: SparkSession) -> str:
     return _local_roots[context.applicationId]
 
 
-def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, path: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table under the shared folder, or to ``path`` (replaced if there), and read it back.
 
     Used where a result feeds several jobs: the lineage ends in durable files, so a lost executor costs no
-    recomputation, and later reads still prune columns and push filters.
+    recomputation, and later reads still prune columns and push filters. Columns of ``partition_by`` become folders.
     """
-    spark = df.sparkSession
-    if path is None:
-        path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-    else:
-        df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+    spark, by = df.sparkSession, partition_by or []
+    mode = "error" if path is None else "overwrite"
+    path = path or f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.mode(mode).partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,12 +67,35 @@ def test_answers(spark):
     assert empty.percent == 0
 
 
-def test_shared_words_under_the_threshold_make_no_candidates(spark):
-    shared = " ".join(f"sharedverylongword{i}" for i in range(15))
-    held = [f"{shared} " + " ".join(f"own{k}x{i}" for i in range(20)) for k in range(2_000)]
+def test_a_question_costs_a_row_for_each_block(spark):
+    """30 of 100 words at random: nearly all pairs share prefix words and none overlaps by 20."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(100)]
+    held = [" ".join(rng.sample(words, 30)) for _ in range(1_000)]
     vectors = redundancy._distinct_vectors(table(spark, {"hot": held}), 20, "bitand")
-    assert vectors.count() == 2_000
-    assert redundancy._prefixes(vectors, 20).isEmpty()
+    assert redundancy._meetings(vectors, redundancy.BLOCK).count() == 1_000
+    assert redundancy._meetings(vectors, 100).count() == 1_000 * 10
+    found = {r.last for r in redundancy._overlapped(vectors, 20).collect()}
+    assert found == {r.last for r in redundancy._overlapped(vectors, 20, block=150).collect()}
+    assert len(found) == plain.redundant(held, 20)
+
+
+@pytest.mark.parametrize("cells", [1 << 23, 600])
+def test_bounds_and_stretches_lose_nothing(monkeypatch, cells):
+    monkeypatch.setattr(redundancy, "STRETCH", 7)
+    monkeypatch.setattr(redundancy, "CELLS", cells)
+    rng = random.Random(cells)
+    for _ in range(60):
+        n, threshold = rng.randrange(1, 60), rng.randrange(1, 40)
+        rows = [sorted({f"{1 << rng.randrange(4)}:w{int(rng.paretovariate(0.4)) % 90}" for _ in range(rng.randrange(30))}) for _ in range(n)]
+        last, own = np.array(rng.sample(range(1000), n)), np.array([rng.randrange(2) for _ in range(n)])
+        one_block = own.min() == own.max()
+
+        def weight(a, b):
+            return sum(int(e.split(":")[0]) for e in set(rows[a]) & set(rows[b]))
+
+        want = [any(last[j] > last[i] and (one_block or own[i] != own[j]) and weight(i, j) >= threshold for j in range(n)) for i in range(n)]
+        assert redundancy._found(last, own, pa.array(rows, pa.list_(pa.string())), threshold).tolist() == want
 
 
 def test_near_copies_after_which_unrelated_texts_follow(spark):

@@ -1,4 +1,5 @@
 import uuid
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -265,3 +266,64 @@ def test_prompts_need_no_join(spark, qa):
     asked = prompts.with_prompt(qa.withColumn("question_type", F.lit("OEQ")), "first", "gradual")
     assert "Join" not in asked._jdf.queryExecution().executedPlan().toString()
     assert {r.max_tokens for r in prompts.default_prompts(spark).collect()} == {256}
+
+
+def load_counting_model(log, fails_on=None):
+    """Writes down each question it is asked; fails on a question that is in ``fails_on``."""
+
+    def load():
+        def answer(chats, settings):
+            texts = [c[-1]["content"] for c in chats]
+            if fails_on and any(f in t for t in texts for f in fails_on):
+                raise RuntimeError("the model broke down")
+            with open(log, "a") as f:
+                f.writelines(t.split("\n")[0] + "\n" for t in texts)
+            return [reply(t) for t in texts]
+
+        return answer
+
+    return load
+
+
+@pytest.mark.parametrize("setting", ["gradual", "exploration"])
+def test_a_crash_costs_one_bucket(spark, qa, tmp_path, setting):
+    buckets = 4
+    config = RolloutConfig(setting, "OEQ", max_turns=2, force_rationale=False, run_id="r", base_path=str(tmp_path / "run"), buckets=buckets)
+    place = qa.select("question", F.pmod(F.xxhash64("dataset", "split", "id"), F.lit(buckets)).alias("b")).collect()
+    broken = [r.question for r in place if r.b == 2]
+    assert broken and len({r.b for r in place}) == buckets
+    log = tmp_path / "asked"
+    with pytest.raises(Exception, match="broke down"):
+        run_graded(qa, models.Model(load_counting_model(log, broken[:1]), "m"), config)
+    before = sorted(f"Q: {r.question} " for r in place if r.b < 2)
+    lost = {f"Q: {r.question} " for r in place if r.b == 2}
+    assert sorted(t for t in log.read_text().splitlines() if t not in lost) == before  # the buckets before it, once each
+    assert read_run(spark, config.base_path, "r").count() == len(before)
+    done = run_graded(qa, models.Model(load_counting_model(log), "m"), config)
+    columns = ["dataset", "id", "turn", "task_content", "answer", "verdict"]
+
+    def told(df):
+        return sorted(map(tuple, df.select(*columns).collect()))
+
+    turns = Counter(r[3].split("\n")[0] for r in told(done))
+    asked = Counter(log.read_text().splitlines())
+    assert {q: n for q, n in asked.items() if q not in lost} == {q: n for q, n in turns.items() if q not in lost}
+    assert told(done) == told(read_run(spark, config.base_path, "r"))
+    whole = run_graded(qa, models.Model(load_counting_model(log), "m"), RolloutConfig(setting, "OEQ", max_turns=2, force_rationale=False))
+    assert told(done) == told(whole)
+    # A run that is resumed with another number of buckets keeps its own.
+    again = run_graded(qa, models.Model(load_broken_model, "m"), RolloutConfig(**{**config.__dict__, "buckets": 7}))
+    assert told(again) == told(done)
+
+
+def test_a_turn_stores_what_it_adds(spark, qa, tmp_path):
+    wordy = models.Model(lambda: lambda chats, settings: ["Answer: z\nRationale: " + "so " * 200] * len(chats), "wordy")
+    config = RolloutConfig("exploration", "OEQ", max_turns=4, force_rationale=False, run_id="r", base_path=str(tmp_path))
+    done = run_graded(qa, wordy, config)
+    stored = spark.read.parquet(f"{tmp_path}/run_id=r").groupBy("turn").agg(F.sum(F.length("added")).alias("n")).collect()
+    later = {r.n for r in stored if r.turn > 0}
+    assert len(stored) == 5 and len(later) == 1
+    grown = [r.n for r in done.groupBy("turn").agg(F.sum(F.length("task_content")).alias("n")).orderBy("turn").collect()]
+    assert grown == [grown[0] + k * later.copy().pop() for k in range(5)]
+    plan = done.groupBy("turn").agg(F.avg("verdict"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "collect_list" not in plan  # the contents are not put together for who does not read them
