@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from askloop.operators import baselines, metrics, trainset
-from askloop.operators.gate import Gate, GateConfig, fit_gate
+from askloop.operators.gate import Gate, GateConfig, StepConfig, WeightGate, fit_gate, fit_steps
 from askloop.operators.rollout import RolloutConfig, row_slice, run_gated, run_graded, settled
 from askloop.sources.tables import append_metrics, read_qa
 
@@ -81,15 +81,23 @@ def join_training(
 
 def train_gate(
     split: DataFrame, base_path: str, experiment: str, setting: str = "exploration",
-    config: GateConfig | None = None, eval_only: bool = False, log_path: str | None = None,
-) -> Gate:
-    """Fit a gate and save it under the experiment's name, or load the saved one; log its development report."""
+    config: GateConfig | StepConfig | None = None, eval_only: bool = False, log_path: str | None = None,
+) -> Gate | WeightGate:
+    """Fit a gate and save it under the experiment's name, or load the saved one; log its development report.
+
+    A ``StepConfig`` asks for a table of weights, anything else for a Spark ML pipeline.
+    """
     rows = trainset.to_instruct(split, setting=setting, keep=("side",))
-    dev = rows.filter(F.col("side") == "dev")
-    if eval_only:
+    train, dev = (rows.filter(F.col("side") == side) for side in ("train", "dev"))
+    spark = split.sparkSession
+    if isinstance(config, StepConfig):
+        if not eval_only:
+            fit_steps(train, config, setting, experiment).save(spark, base_path, experiment)
+        gate = WeightGate.load(spark, base_path, experiment, setting)
+    elif eval_only:
         gate = Gate.load(base_path, experiment, setting)
     else:
-        gate, _ = fit_gate(rows.filter(F.col("side") == "train"), dev, config, setting)
+        gate, _ = fit_gate(train, dev, config, setting)
         gate.save(base_path, experiment)
     _log(gate.evaluate(dev), log_path, experiment, "gate")
     return gate

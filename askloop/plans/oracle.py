@@ -469,6 +469,7 @@ def rollout(first: int, last: int, last_free: int | None, setting: str, mcq: boo
 
 add("graded_rollout_gradual", rollout(1, 5, 4, "gradual", mcq=True, gated=False))
 add("graded_rollout_exploration", rollout(0, 4, 3, "exploration", mcq=False, gated=False))
+ORACLE["resumed_rollout"] = ORACLE["graded_rollout_exploration"]
 add(
     "rollout_two_splits",
     """
@@ -657,6 +658,32 @@ def class_columns(c: str) -> str:
     round(coalesce(2 * {tp} / nullif({said} + {true}, 0), 0), 6) AS f1_{c}"""
 
 
+
+
+def gate_steps(where: str, steps: int = 6, features: int = 4096, rate: float = 4.0, penalty: float = 0.001, accept: float = 3.0) -> str:
+    """Weights w{steps}(f, w) after full-batch steps, one after the other; a text's features share a length of 1."""
+    out = f"""WITH texts AS (SELECT CAST(doc_id AS VARCHAR) AS id, toxic, list_distinct(list_transform({word_tokens("coalesce(text, '')")},
+        lambda w: CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {features})) AS fs FROM documents JOIN labels USING (doc_id)),
+    held AS MATERIALIZED (SELECT id, toxic, unnest(fs) AS f, 1 / sqrt(len(fs)) AS x FROM texts UNION ALL SELECT id, toxic, -1, 1.0 FROM texts),
+    xs AS MATERIALIZED (SELECT *, CASE WHEN toxic = 1 THEN {accept} ELSE 1.0 END AS c FROM held WHERE toxic IS NOT NULL AND {where}),
+    total AS MATERIALIZED (SELECT sum(c) AS n FROM xs WHERE f = -1),
+    w0 AS (SELECT DISTINCT f, CAST(0 AS DOUBLE) AS w FROM xs)"""
+    for k in range(steps):
+        out += f""",
+    e{k} AS MATERIALIZED (SELECT id, any_value(c) * (1 / (1 + exp(-sum(x * w))) - any_value(toxic)) AS e FROM xs JOIN w{k} USING (f) GROUP BY id),
+    w{k + 1} AS MATERIALIZED (SELECT f, (1 - {rate} * {penalty}) * any_value(w) - {rate} * sum(e * x) / (SELECT n FROM total) AS w
+        FROM xs JOIN e{k} USING (id) JOIN w{k} USING (f) GROUP BY f)"""
+    return out
+
+
+add("gate_fit_steps", f"{gate_steps('true')} SELECT f AS feature, round(w, 6) AS weight FROM w6")
+_GATED = f"""{gate_steps("right(id, 1) <> '7'")},
+    said AS (SELECT id, CAST(any_value(toxic) AS VARCHAR) AS label, 1 / (1 + exp(-sum(x * coalesce(w, 0)))) AS one
+        FROM held LEFT JOIN w6 USING (f) WHERE right(id, 1) = '7' GROUP BY id)"""
+add(
+    "gate_apply",
+    f"""{_GATED} SELECT id, label, one > 0.5 AS gate_output, round(1 - one, 6) AS confidence_0, round(one, 6) AS confidence_1 FROM said""",
+)
 add(
     "gate_report",
     f"""{PREDICTIONS}, r AS (SELECT CAST(correct AS VARCHAR) AS label,
@@ -664,6 +691,12 @@ add(
     SELECT count(*) AS n, round(avg(CAST(label = said AS INT)), 6) AS accuracy, {class_columns("0")}, {class_columns("1")}
     FROM r""",
 )
+add(
+    "gate_roundtrip",
+    f"""{_GATED}, r AS (SELECT label, CASE WHEN one > 0.5 THEN '1' ELSE '0' END AS said FROM said)
+    SELECT count(*) AS n, round(avg(CAST(label = said AS INT)), 6) AS accuracy, {class_columns("0")}, {class_columns("1")}
+    FROM r""",
+)
 
 # --- Evaluation -----------------------------------------------------------------------------------------------------
 

@@ -412,6 +412,30 @@ def graded_rollout_exploration(spark: SparkSession, sf: str) -> DataFrame:
     return _graded(spark, sf, "exploration", "OEQ")
 
 
+class _Breaks(models.Replay):
+    """Recorded responses from a reasoner that breaks down on its ``calls``-th call."""
+
+    calls = 6
+
+    def respond(self, df: DataFrame, turn: int) -> DataFrame:
+        self.calls -= 1
+        if not self.calls:
+            raise ConnectionError("the reasoner is gone")
+        return super().respond(df, turn)
+
+
+@query
+def resumed_rollout(spark: SparkSession, sf: str) -> DataFrame:
+    """A rollout that breaks down in the second bucket of its second turn, and is resumed there."""
+    config = rollout.RolloutConfig("exploration", "OEQ", run_id="resumed", base_path=_scratch(spark, "rollout"), buckets=4)
+    asked, recorded = fx.qa(spark, sf), fx.responses(spark, sf)
+    try:
+        rollout.run_graded(asked, _Breaks(recorded), config)
+    except ConnectionError:
+        return rollout.run_graded(asked, models.Replay(recorded), config).select(*_GRADED)
+    raise AssertionError("the first run should have ended early")
+
+
 @query
 def rollout_two_splits(spark: SparkSession, sf: str) -> DataFrame:
     """Questions of two splits that share their ids; one in three has a wrong recorded response."""
@@ -621,6 +645,42 @@ def gate_fit_apply(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("id", "label", "gate_output", r6("confidence_0").alias("confidence_0"), r6("confidence_1").alias("confidence_1"))
 
 
+def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.gate_texts(spark, sf).select("id", F.col("rationale").alias("input"), F.col("toxic").cast("string").alias("label"))
+
+
+_STEPS = gate.StepConfig(features=1 << 12, steps=6, rate=4.0, penalty=0.001, weight_accept=3.0)
+
+
+@query
+def gate_fit_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """The weights of a gate after a few full-batch steps over all labelled texts."""
+    fitted = gate.fit_steps(_labelled(spark, sf), _STEPS)
+    return fitted.table(spark).select("feature", r6("weight").alias("weight"))
+
+
+def _held_out(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    last = F.substring("id", -1, 1)
+    return rows.filter(last != "7"), rows.filter(last == "7")
+
+
+@query
+def gate_apply(spark: SparkSession, sf: str) -> DataFrame:
+    """Outputs and confidences on the texts that the gate was not fitted on."""
+    train, rest = _held_out(_labelled(spark, sf))
+    judged = gate.fit_steps(train, _STEPS).apply(rest)
+    return judged.select("id", "label", "gate_output", r6("confidence_0").alias("confidence_0"), r6("confidence_1").alias("confidence_1"))
+
+
+@query
+def gate_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """A gate saved under its experiment's name, loaded, applied to texts it has not seen, and reported on by class."""
+    train, rest = _held_out(_labelled(spark, sf))
+    base = _scratch(spark, "gates")
+    gate.fit_steps(train, _STEPS).save(spark, base, "exp1")
+    return rounded(gate.WeightGate.load(spark, base, "exp1").evaluate(rest))
+
+
 @query
 def gate_report(spark: SparkSession, sf: str) -> DataFrame:
     """Per-class report of a recorded gate that sometimes says neither class."""
