@@ -199,7 +199,7 @@ def _run(qa, model, config: RolloutConfig, prompts, last_free: int, last: int, j
     fingerprint = _fingerprint(questions.drop("bucket"), config, columns[0], [p.name for p in plugins], prompts)
     if any(t.fingerprint != fingerprint for t in record.values()):
         raise ValueError(f"run {run_id} under {base} has other questions, settings, plug-ins or prompts")
-    begun, mark, tables = _begun(record, config.first_turn), "", []
+    begun, mark, tables, schema = _begun(record, config.first_turn), "", [], None
     reads_content = any(getattr(p, "reads_content", True) for p in plugins)
     for turn in range(config.first_turn, last + 1):
         if turn == config.first_turn:
@@ -224,10 +224,10 @@ def _run(qa, model, config: RolloutConfig, prompts, last_free: int, last: int, j
             written = materialize(judged.select(*KEYS, *_KEPT, "answer", "rationale", *columns), "turn", f"{path}/bucket={bucket}")
             this.n_open[bucket] = written.filter(~accepted).count()  # a narrow scan of the verdicts
             row = (turn, bucket, buckets, this.n_open[bucket], fingerprint, mark, this.before, time.time())
-            spark.createDataFrame([row], RECORD).coalesce(1).write.mode("append").parquet(_record_path(base, run_id))
+            told = [F.lit(v).cast(f.split()[1]).alias(f.split()[0]) for v, f in zip(row, RECORD.split(", "))]
+            spark.range(1, numPartitions=1).select(*told).write.mode("append").parquet(_record_path(base, run_id))
 
-        if not tables:
-            schema = spark.read.parquet(f"{path}/bucket=0").schema.add("bucket", IntegerType())
+        schema = schema or spark.read.parquet(f"{path}/bucket=0").schema.add("bucket", IntegerType())
         tables.append(spark.read.schema(schema).parquet(path))
         if not sum(this.n_open.values()):  # nothing was rejected
             break
