@@ -214,23 +214,33 @@ def _level(grams: DataFrame, lower: DataFrame | None, mask: int) -> DataFrame:
     return told.select("gram", *[p(m).alias(m) for m in MODELS])
 
 
-def probabilities(grams: DataFrame, order: int = ORDER) -> DataFrame:
+def probabilities(grams: DataFrame, order: int = ORDER, written: bool = False) -> DataFrame:
     """(gram, p of each model) for every gram with its counts in the models' text; p of its last byte after the others.
 
-    All grams of lower orders are there too, with the number of different bytes that the text has before them.
+    All grams of lower orders are there too, with the number of different bytes that the text has before them. With
+    ``written`` each order's counts and probabilities are tables of their own.
     """
-    of_order = {order: grams}
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name) if written else df
+
+    of_order = {order: kept(grams, "gram-counts")}
     for k in range(order - 1, 0, -1):
         low = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")
-        of_order[k] = of_order[k + 1].groupBy(low).agg(*[F.sum((F.col(m) > 0).cast("bigint")).alias(m) for m in MODELS])
+        counts = of_order[k + 1].groupBy(low).agg(*[F.sum((F.col(m) > 0).cast("bigint")).alias(m) for m in MODELS])
+        of_order[k] = kept(counts, "gram-counts")
     found = None
     for k in range(1, order + 1):
-        found = _level(of_order[k], found, (1 << 8 * (k - 1)) - 1)
+        found = kept(_level(of_order[k], found, (1 << 8 * (k - 1)) - 1), "gram-probabilities")
     return found
 
 
-def scores(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
-    """(doc_id, lang, trusted, n_bytes, bits, held_out) of every row; held_out are the bits without a document's own counts."""
+def scores(docs: DataFrame, labels: DataFrame, order: int = ORDER, written: bool = False) -> DataFrame:
+    """(doc_id, lang, trusted, n_bytes, bits, held_out) of every row; held_out are the bits without a document's own counts.
+
+    One plan holds the whole model, and deals out the documents once. With ``written`` the model is built in small plans from
+    written tables, for a driver that holds the plans of other stages too; the documents are then dealt out a second time.
+    """
     shards, buckets = widths(docs.sparkSession)
     buckets |= 1
     by_shard = pack(docs, shards, "lang").groupBy("shard")
@@ -258,7 +268,7 @@ def scores(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
 
     asked = by_shard.cogroup(trusted.groupBy("shard")).applyInArrow(question, ASKED)
     grams = asked.groupBy("bucket").applyInArrow(_gathered, "gram bigint, " + ", ".join(f"{m} bigint" for m in MODELS))
-    costs = probabilities(grams, order).select(
+    costs = probabilities(grams, order, written).select(
         F.pmod(F.col("gram"), F.lit(buckets)).cast("int").alias("bucket"), "gram", *[(-F.log2(m)).alias(m) for m in MODELS]
     )
     answers = asked.groupBy("bucket").cogroup(costs.groupBy("bucket")).applyInArrow(_answer, ANSWERED)
@@ -268,9 +278,9 @@ def scores(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     return by_shard.cogroup(told.groupBy("shard")).applyInArrow(finish, SCORED)
 
 
-def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, written: bool = False) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity, score, threshold, keep) of every row."""
-    scored = materialize(scores(docs, labels, order), "quality-scores").withColumn("key", F.coalesce("lang", F.lit("\x00")))
+    scored = materialize(scores(docs, labels, order, written), "quality-scores").withColumn("key", F.coalesce("lang", F.lit("\x00")))
     trusted = scored.filter("trusted AND n_bytes > 0")
     median = trusted.groupBy("key").agg(F.percentile_approx(F.col("held_out") / F.col("n_bytes"), 0.5, 10_000).alias("median"))
     score = (F.col("held_out") + PRIOR_BYTES * F.col("median")) / (F.col("n_bytes") + PRIOR_BYTES)
@@ -285,5 +295,5 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows whose id has a rejected text. Rows without an id cannot be named and stay."""
-    rejected = classify(docs, labels).filter("NOT keep").select(F.col("doc_id").alias("__rejected")).distinct()
+    rejected = classify(docs, labels, written=True).filter("NOT keep").select(F.col("doc_id").alias("__rejected")).distinct()
     return docs.join(rejected, F.col("doc_id") == F.col("__rejected"), "left_anti")
