@@ -2,7 +2,8 @@
 
 Tables are Parquet folders; use ``askloop.sources.tables`` for CSV at the edges. Each job returns the table it wrote,
 read back, which is the input of the next. A rollout writes its turns straight under ``out_path`` and is resumed by
-running it again with the same ``run_id``; without one each call is a run of its own. Reports have a row for each data set.
+running it again with the same ``run_id``; without one each call is a run of its own. Reports have a row for each data set
+and replace what the log holds of the same run and stage.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql.types import StructType
 
 from askloop.operators import baselines, metrics, trainset
 from askloop.operators.gate import Gate, GateConfig, StepConfig, WeightGate, fit_gate, fit_steps
-from askloop.operators.rollout import RolloutConfig, row_slice, run_gated, run_graded, settled
-from askloop.sources.tables import append_metrics, read_qa
+from askloop.operators.rollout import RolloutConfig, run_gated, run_graded, settled
+from askloop.sources.tables import append_metrics, read_qa, read_qa_slice
 
 
 def _write(df: DataFrame, path: str, *partitions: str) -> DataFrame:
@@ -34,9 +35,10 @@ def generate(
     spark: SparkSession, qa_path: str, out_path: str, model, config: RolloutConfig,
     log_path: str | None = None, start: int = 0, end: int | None = None,
 ) -> DataFrame:
-    """Graded rollout over a slice of the questions, with its statistics logged."""
+    """Graded rollout over a slice of all stored questions, counted through the whole source, with its statistics logged."""
     config = settled(replace(config, base_path=out_path), "graded")
-    generated = run_graded(row_slice(read_qa(spark, qa_path), start, end), model, config)
+    questions = read_qa_slice(spark, qa_path, start, end) if start or end is not None else read_qa(spark, qa_path)
+    generated = run_graded(questions, model, config)
     if log_path:
         by, run_id = ["dataset"], config.run_id
         _log(generated.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows")), log_path, run_id, "generated")

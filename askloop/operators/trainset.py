@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +18,7 @@ from askloop.functions.parsing import clean_task_content
 from askloop.functions.text import label_text, tokens
 from askloop.operators.prompts import gate_input
 from askloop.operators.sampling import bucket_histogram, cut_keys, number_rows, seeded_key
-from askloop.operators.skew import SALTS, join_per_question
+from askloop.operators.skew import join_per_question
 from askloop.schemas import KEYS
 from askloop.session import materialize
 
@@ -165,33 +167,66 @@ def build_vocabulary(df: DataFrame, text: str = "input", max_words: int | None =
 class VocabularyTokenizer:
     """Word ids from a vocabulary table, with the end id last.
 
-    A text's different words are looked up by a join on the word, a frequent word dealt out to ``SALTS`` partitions by
-    the row it stands in.
+    The ``at_hand`` most frequent words, those of the smallest ids, travel with the tasks and answer in Arrow batches, each
+    different word of a batch once. Only words behind them leave their row: a row for each text and different one is joined
+    with the rest of the vocabulary. None of these can be hot, as it is rarer than ``at_hand`` others.
     """
 
-    def __init__(self, vocabulary: DataFrame):
-        fixed = vocabulary.sparkSession.createDataFrame([("0", ZERO), ("1", ONE)], "word string, token_id int")
-        self.vocabulary = vocabulary.select("word", F.col("token_id").cast("int")).unionByName(fixed)
+    def __init__(self, vocabulary: DataFrame, at_hand: int = 1 << 15):
+        self.vocabulary = vocabulary.select("word", F.col("token_id").cast("int"))
+        self.first_rare = RESERVED + at_hand
 
     def ids(self, df: DataFrame, key: list[str], texts: dict[str, int]) -> DataFrame:
-        """``key`` plus one id array per text column, cut to the given length."""
-        words = df.select(
-            *key, *[F.slice(tokens(F.col(name)), 1, length - 1).alias(name) for name, length in texts.items()]
-        )
-        every = F.array_distinct(F.concat(*texts))
-        asked = words.select(*key, F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int").alias("_salt"), F.explode(every).alias("word"))
-        salts = F.explode(F.array(*[F.lit(s) for s in range(SALTS)])).alias("_salt")
-        found = asked.join(self.vocabulary.select("*", salts), ["word", "_salt"])
-        known = found.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("word", "token_id"))).alias("_ids"))
-        joined = words.join(known, key, "left")
+        """``key`` plus one id array per text column, cut to the given length. Rows are told apart by ``key``."""
+        rare = F.col("token_id") >= self.first_rare
+        frequent = self.vocabulary.filter(~rare).collect()  # at most ``at_hand`` words
+        known = {r.word: r.token_id for r in frequent} | {"0": ZERO, "1": ONE}
+        words = df.select(*key, *[F.slice(tokens(F.col(name)), 1, length - 1).alias(name) for name, length in texts.items()])
+        fields = [words.schema[k] for k in key] + [T.StructField(n, T.ArrayType(T.IntegerType())) for n in texts]
+        schema = T.StructType([*fields, T.StructField("_unknown", T.ArrayType(T.StringType()))])
+
+        def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                columns = [batch.column(n) for n in texts]
+                found, unknown = _look_up(columns, known)
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in key], *found, unknown], [*key, *texts, "_unknown"])
+
+        told = materialize(words.mapInArrow(looked_up, schema), "looked-up")
+        asked = told.select(*key, F.posexplode("_unknown").alias("_place", "word"))
+        answered = asked.join(self.vocabulary.filter(rare), "word")
+        learnt = answered.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("_place", "token_id"))).alias("_ids"))
+        joined = told.join(learnt, key, "left")
 
         def column(name: str) -> Column:
-            ids = F.transform(name, lambda w: F.coalesce(F.try_element_at("_ids", w), F.lit(UNKNOWN)))
+            ids = F.transform(name, lambda x: F.when(x < 0, F.coalesce(F.try_element_at("_ids", -1 - x), F.lit(UNKNOWN))).otherwise(x))
             return F.concat(ids, F.array(F.lit(END))).alias(name)
 
         return joined.select(*key, *[column(name) for name in texts])
 
 
+def _look_up(columns: list[pa.ListArray], known: dict[str, int]) -> tuple[list[pa.ListArray], pa.ListArray]:
+    """The ids of each column's words, and each row's words that are not ``known``: the k-th of these has the id -1 - k."""
+    columns = [c.fill_null([]) if c.null_count else c for c in columns]
+    sizes = [c.value_lengths().to_numpy(zero_copy_only=False) for c in columns]
+    every = pa.chunked_array([c.flatten() for c in columns], pa.string()).combine_chunks().dictionary_encode()
+    names = every.dictionary.to_pylist()
+    code = every.indices.to_numpy(zero_copy_only=False)
+    ids = np.array([known.get(w, -1) for w in names], np.int32)[code] if names else np.zeros(0, np.int32)
+    row = np.concatenate([np.repeat(np.arange(len(s)), s) for s in sizes])
+    missing = np.flatnonzero(ids < 0)
+    pairs, place = np.unique(row[missing].astype(np.int64) * max(1, len(names)) + code[missing], return_inverse=True)
+    of_row = pairs // max(1, len(names))
+    firsts = np.searchsorted(of_row, np.arange(len(sizes[0]) + 1))
+    ids[missing] = -1 - (place - firsts[row[missing]])
+    unknown = pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), every.dictionary.take(pa.array(pairs % max(1, len(names)))))
+    cuts = np.cumsum([0, *(s.sum() for s in sizes)])
+    found = [
+        pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(s)), pa.int32()), pa.array(ids[a:b]))
+        for s, a, b in zip(sizes, cuts[:-1], cuts[1:])
+    ]
+    return found, unknown
+
+
 class CallableTokenizer:
     """Ids from a user's tokenizer: ``load()`` returns ``fn(list of texts) -> list of id lists``, once per worker."""
 

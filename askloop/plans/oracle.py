@@ -286,11 +286,19 @@ add(
     FROM part GROUP BY ALL""",
 )
 add("row_slice", f"SELECT {FLAT} FROM ({QA}) WHERE row_index BETWEEN 10 AND 59")
+add(
+    "global_slice",
+    f"""SELECT position, dataset, split, id, question, gold_text FROM (
+      SELECT *, row_number() OVER (ORDER BY dataset, row_index) - 1 AS position
+      FROM (SELECT {FLAT} FROM ({QA}) UNION ALL SELECT {FLAT.replace("array_to_string(gold, '|') AS ", "")} FROM ({ORACLE["normalise_pair"]})))
+    WHERE position BETWEEN 30 AND 149""",
+)
 add("first_rows", f"SELECT {FLAT} FROM ({QA}) ORDER BY row_index LIMIT 25")
 
 # --- Tables ---------------------------------------------------------------------------------------------------------
 
 add("qa_csv", f"SELECT {FLAT} FROM ({QA})")
+ORACLE["csv_ranges"] = TRAINING
 add(
     "predictions_csv",
     f"""{PREDICTIONS} SELECT p.dataset, p.split, p.id, p.turn, task_content, answer, rationale, array_to_string(gold, '|') AS gold_text,
@@ -320,6 +328,22 @@ add(
     SELECT 'r1' AS run_id, dataset, stage, metric, round(v, 6) AS value FROM long""",
 )
 
+add(
+    "metrics_log_rerun",
+    f"""{SCORED}, l AS (SELECT * FROM s {LAST}),
+    a AS (SELECT dataset, count(*) AS n, sum(correct) AS correct, avg(correct) AS accuracy, avg(f1) AS f1 FROM l GROUP BY dataset),
+    t AS (SELECT dataset, turn, CAST(count(*) FILTER (NOT gate_output) AS DOUBLE) AS no, CAST(count(*) FILTER (gate_output) AS DOUBLE) AS yes
+          FROM p GROUP BY dataset, turn),
+    long AS (
+      SELECT dataset, 'accuracy' AS stage, 'n' AS metric, CAST(n AS DOUBLE) AS v FROM a
+      UNION ALL SELECT dataset, 'accuracy', 'correct', correct FROM a
+      UNION ALL SELECT dataset, 'accuracy', 'accuracy', accuracy FROM a
+      UNION ALL SELECT dataset, 'accuracy', 'f1', f1 FROM a
+      UNION ALL SELECT dataset, 'gate, turn ' || turn, 'rejected', no FROM t
+      UNION ALL SELECT dataset, 'gate, turn ' || turn, 'accepted', yes FROM t)
+    SELECT run_id, dataset, stage, metric, round(v, 6) AS value FROM long, (VALUES ('r1'), ('r2')) v(run_id)""",
+)
+
 _VAL = "CAST('0x' || substr(md5('42|joint|' || id), 1, 8) AS BIGINT) < floor(0.2 * 4294967296)"
 add(
     "split_files",

@@ -11,7 +11,7 @@ from askloop import jobs
 from askloop.functions import encoding, parsing, text
 from askloop.operators import baselines, gate, metrics, models, prompts, redundancy, rollout, trainset
 from askloop.plans import fixtures as fx
-from askloop.schemas import RAW_MCQ
+from askloop.schemas import QA, RAW_MCQ
 from askloop.session import materialize, shared_root
 from askloop.sources import corpora, tables
 
@@ -185,6 +185,17 @@ def row_slice(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(rollout.row_slice(fx.qa(spark, sf), 10, 60))
 
 
+@query
+def global_slice(spark: SparkSession, sf: str) -> DataFrame:
+    """A slice that begins in one data set and ends in another, each stored in several files."""
+    paths, ordered = [], ["row_index"]
+    for asked in (fx.qa(spark, sf), corpora.normalise_pair(corpora.number_in_order(fx.raw_pair(spark, sf), "source_index"), "pair", "train")):
+        paths.append(_scratch(spark, "slice-source"))
+        asked.repartitionByRange(4, *ordered).sortWithinPartitions(*ordered).write.parquet(paths[-1])
+    cut = tables.read_slice(spark, paths, QA, 30, 150)
+    return cut.select("position", "dataset", "split", "id", "question", joined(F.col("gold")).alias("gold_text"))
+
+
 @query
 def first_rows(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(trainset.first_rows(fx.qa(spark, sf), 25))
@@ -206,6 +217,17 @@ def qa_csv(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(read)
 
 
+@query
+def csv_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns, whose rationales span lines, in one CSV file for each data set, read back from byte ranges."""
+    turns, parts = fx.training(spark, sf), []
+    for dataset, split in (("conv", "dev"), ("events", "train")):
+        path = _scratch(spark, f"ranges-csv-{dataset}")
+        tables.write_csv(turns.filter(F.col("dataset") == dataset).coalesce(1), path, "training")
+        parts.append(tables.read_csv(spark, path, "training", dataset, split=split, by_ranges=True))
+    return parts[0].unionByName(parts[1]).select("dataset", "split", "id", "turn", "task_content", "answer", "rationale", "gate_verdict")
+
+
 @query
 def predictions_csv(spark: SparkSession, sf: str) -> DataFrame:
     """Gated turns written to the exchanged CSV form, a file set for each data set, and read back."""
@@ -252,6 +274,17 @@ def metrics_log(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_metrics(spark, path).select("run_id", "dataset", "stage", "metric", r6("value").alias("value"))
 
 
+@query
+def metrics_log_rerun(spark: SparkSession, sf: str) -> DataFrame:
+    """A job that is run twice under one run id, and once under another, leaves one set of rows a run."""
+    path = _scratch(spark, "metrics")
+    for run_id in ("r1", "r1", "r2"):
+        report = metrics.accuracy(fx.predictions(spark, sf), by=["dataset"])
+        tables.append_metrics(metrics.to_long(report, run_id, "accuracy"), path)
+        tables.append_metrics(metrics.to_long(metrics.turn_by_gate(fx.predictions(spark, sf), by=["dataset"]), run_id, "gate, turn", "turn"), path)
+    return tables.read_metrics(spark, path).select("run_id", "dataset", "stage", "metric", r6("value").alias("value"))
+
+
 def _training_csv(spark: SparkSession, turns: DataFrame, name: str) -> str:
     path = _scratch(spark, name)
     tables.write_csv(turns, path, "training")

@@ -9,6 +9,7 @@ from askloop.functions.parsing import literal_list
 from askloop.functions.text import confidence_text
 from askloop.operators.sampling import seeded_key
 from askloop.schemas import CSV_COLUMNS, METRICS_LOG
+from askloop.sources.ranges import records
 
 # Quotes are doubled inside quoted fields, which may span lines.
 _CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
@@ -30,11 +31,13 @@ def _field_from_text(name: str) -> Column:
 
 
 def read_csv(
-    spark: SparkSession, path: str | list[str], kind: str, dataset: str, indexed: bool = False, split: str = ""
-) -> DataFrame:
+    spark: SparkSession, path: str | list[str], kind: str, dataset: str, indexed: bool = False, split: str = "",
+    by_ranges: bool = False,
+) -> DataFrame:
     """Read one of the exchanged CSV files (``kind`` names a CSV_COLUMNS entry) as text and type it explicitly.
 
-    The files name neither data set nor split, which are given. A file with fields over several lines is one task.
+    The files name neither data set nor split, which are given. A file is one task, as its fields may span lines; with
+    ``by_ranges`` it is as many as it has byte ranges, for a second pass over its lines.
 
     Empty answers stay empty texts and digits stay digits. ``indexed`` files lead with an unnamed index column, kept
     as ``row_index``.
@@ -42,7 +45,11 @@ def read_csv(
     columns = CSV_COLUMNS[kind]
     names = (["row_index"] if indexed else []) + [ours for _, ours in columns]
     schema = ", ".join(f"{n} string" for n in names)
-    raw = spark.read.options(**_CSV, enforceSchema="true", emptyValue="").schema(schema).csv(path)
+    if by_ranges:
+        options = {k: v for k, v in _CSV.items() if k != "header"}
+        raw = records(spark, path).select(F.from_csv("text", schema, {**options, "emptyValue": ""}).alias("r")).select("r.*")
+    else:
+        raw = spark.read.options(**_CSV, enforceSchema="true", emptyValue="").schema(schema).csv(path)
     typed = [_field_from_text(ours).alias(ours) for _, ours in columns if ours != "confidence_scores"]
     if kind == "predictions":
         shares = [F.regexp_extract("confidence_scores", rf"{c}: ([0-9.]+)", 1) for c in (0, 1)]
@@ -134,9 +141,16 @@ def write_qa(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("dataset", "split").parquet(path)
 
 
+_QA_STORED = "row_index bigint, id string, question string, gold array<string>, dataset string, split string"
+
+
 def read_qa(spark: SparkSession, path: str) -> DataFrame:
-    schema = "row_index bigint, id string, question string, gold array<string>, dataset string, split string"
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(_QA_STORED).parquet(path)
+
+
+def read_qa_slice(spark: SparkSession, path: str | list[str], start: int = 0, end: int | None = None) -> DataFrame:
+    """Questions ``start`` to ``end - 1`` of the whole source, whatever data sets and splits it holds."""
+    return read_slice(spark, [path] if isinstance(path, str) else path, _QA_STORED, start, end).drop("position")
 
 
 def append_results(df: DataFrame, path: str, run_id: str) -> None:
@@ -151,10 +165,43 @@ def write_sets(df: DataFrame, path: str) -> None:
 
 
 def append_metrics(long: DataFrame, path: str) -> None:
-    """Append rows of the METRICS_LOG schema to the run log."""
+    """Write rows of the METRICS_LOG schema to the run log. A stage of a run is a folder of its own, which a rerun replaces."""
     names = [c.split()[0] for c in METRICS_LOG.split(", ")]
-    long.select(*names).write.mode("append").parquet(path)
+    writer = long.select(*names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run_id", "stage").parquet(path)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(METRICS_LOG).parquet(path)
+    names = [c.split()[0] for c in METRICS_LOG.split(", ")]
+    return spark.read.schema(METRICS_LOG).parquet(path).select(*names)
+
+
+def read_slice(spark: SparkSession, paths: list[str], schema: str, start: int = 0, end: int | None = None) -> DataFrame:
+    """Rows ``start`` to ``end - 1`` of Parquet tables taken as one, with their ``position``.
+
+    The tables count one after the other, each by its files in the order of their paths, a file by its rows as stored. Row
+    counts come from the files' footers, one row a file; then only the files that hold wanted rows are read.
+    """
+    parts = []
+    file, place = F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place")
+    sizes = [spark.read.schema(schema).parquet(p).groupBy(file).agg(F.count(F.lit(1)).alias("n")).orderBy("_file").collect() for p in paths]
+    before = 0
+    for path, files in zip(paths, sizes):
+        wanted = []
+        for r in files:
+            if before + r.n > start and (end is None or before < end):
+                wanted.append((r["_file"], before))
+            before += r.n
+        if not wanted:
+            continue
+        table = spark.read.schema(schema).parquet(path)
+        held = table.select(*table.columns, file, place).filter(F.col("_file").between(wanted[0][0], wanted[-1][0]))
+        offsets = spark.createDataFrame(wanted, "_file string, _before bigint")  # a row for each file that is read
+        parts.append(held.join(F.broadcast(offsets), "_file").withColumn("position", F.col("_place") + F.col("_before")).drop("_file", "_place", "_before"))
+    if not parts:
+        return spark.createDataFrame([], schema).withColumn("position", F.lit(0).cast("bigint"))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    whole = whole.filter(F.col("position") >= start)
+    return whole if end is None else whole.filter(F.col("position") < end)

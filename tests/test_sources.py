@@ -1,11 +1,16 @@
+import csv
 import json
+import random
+from pathlib import Path
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from askloop.schemas import GENERATED, PREDICTIONS, QA, RAW_MCQ, SELF_CRITIC, ZERO_SHOT
+from askloop.schemas import GENERATED, METRICS_LOG, PREDICTIONS, QA, RAW_MCQ, SELF_CRITIC, ZERO_SHOT
 from askloop.sources import corpora, tables
+from askloop.sources.ranges import _lines
+from askloop.sources.tables import append_metrics, read_csv, read_metrics, read_slice
 
 NASTY = 'say "hi", it\'s\n new \\ line\r\n ,x '
 
@@ -126,3 +131,56 @@ def test_sets_and_runs(spark, tmp_path):
     tables.write_sets(df.withColumn("side", F.lit("dev")), str(tmp_path / "s"))
     assert (tmp_path / "s" / "side=dev").is_dir()
     assert rows(corpora.split_sizes(spark.createDataFrame([(0, "d", "dev", "a", "q", ["0"])], QA)), "*") == [("d", "dev", 1)]
+
+
+@pytest.mark.parametrize("bytes_a_range", [64, 300, 1 << 20])
+def test_csv_ranges_cut_anywhere(spark, tmp_path, bytes_a_range):
+    rng = random.Random(bytes_a_range)
+    pieces = ["a", "é", " ", ",", '"', '""', "\n", "\r\n", "\n\n", "word", ""]
+    rows = [(f"id{i}", str(i % 5), *["".join(rng.choices(pieces, k=rng.choice([0, 3, 40, 900]))) for _ in range(3)], "['x']", str(i % 2)) for i in range(60)]
+    path = tmp_path / "one.csv"
+    with open(path, "w", newline="") as f:
+        writer = csv.writer(f, lineterminator="\n" if bytes_a_range == 300 else "\r\n")
+        writer.writerow(["ID", "Turn", "Reasoner Task Content", "Reasoner Answer", "Reasoner Rationale", "Gold Answer", "Gate Verdict"])
+        writer.writerows(rows)
+    (tmp_path / "two.csv").write_text('ID,Turn,"Reasoner\nTask",A,R,G,V\nlast,1,,,,"[]",1')
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(bytes_a_range))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = read_csv(spark, [str(path), str(tmp_path / "two.csv")], "training", "d", by_ranges=True).collect()
+        ranges = _lines(spark, str(path)).select("start").distinct().count()
+        tasks = _lines(spark, str(path)).rdd.getNumPartitions()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert bytes_a_range > 1000 or (ranges > 20 and tasks > 20)
+    told = {(r.id, r.turn, r.task_content or "", r.answer, r.rationale or "", r.gate_verdict) for r in got}
+    expected = {(i, int(t), c, a, w, int(v)) for i, t, c, a, w, _, v in rows} | {("last", 1, "", "", "", 1)}
+    assert len(got) == len(rows) + 1 and told == expected
+
+
+def test_a_slice_counts_through_all_tables_and_reads_their_files_only(spark, tmp_path):
+    paths = [str(tmp_path / n) for n in ("b set", "a")]
+    for k, path in enumerate(paths):
+        spark.range(k * 100, k * 100 + 40, numPartitions=4).write.parquet(path)
+    whole = [*range(40), *range(100, 140)]
+    for start, end in ((0, None), (0, 0), (35, 52), (10, 20), (79, 200), (80, 90), (39, 41)):
+        got = {r.position: r.id for r in read_slice(spark, paths, "id bigint", start, end).collect()}
+        assert got == {i: v for i, v in enumerate(whole) if i >= start and (end is None or i < end)}
+    cut = read_slice(spark, paths, "id bigint", 35, 52)
+    for part in [p for path in paths for p in sorted(Path(path).glob("part-*"))][:3]:
+        part.write_bytes(b"no parquet")  # the slice begins in the fourth file
+    assert sorted(r.id for r in cut.collect()) == whole[35:52]
+
+
+def test_a_rerun_replaces_its_stages_in_the_log(spark, tmp_path):
+    def rows(run, stage, value):
+        return spark.createDataFrame([(run, "d", stage, "m", value, str(value))], METRICS_LOG)
+
+    log = str(tmp_path / "log")
+    for run, stage, value in (("1", "a", 1.0), ("1", "b, turn 2", 2.0), ("2", "a", 3.0), ("1", "a", 4.0)):
+        append_metrics(rows(run, stage, value), log)
+    assert sorted(tuple(r)[:5] for r in read_metrics(spark, log).collect()) == [
+        ("1", "d", "a", "m", 4.0), ("1", "d", "b, turn 2", "m", 2.0), ("2", "d", "a", "m", 3.0)
+    ]

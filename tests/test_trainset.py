@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from askloop.functions import encoding
@@ -130,6 +131,23 @@ def test_encoding(spark):
     assert {r.word: r.token_id for r in trainset.build_vocabulary(texts, "input").collect()} == {"b": 5, "c": 6, "zz": 7}
 
 
+@pytest.mark.parametrize("at_hand", [0, 3, 1 << 15])
+def test_rare_words_are_looked_up_like_frequent_ones(spark, at_hand):
+    rng = random.Random(at_hand)
+    texts = [(i, None if i == 7 else " ".join(f"w{int(rng.paretovariate(0.7)) % 60}" for _ in range(rng.randrange(40))), str(i % 2)) for i in range(80)]
+    table = spark.createDataFrame(texts, "i int, input string, label string")
+    words = trainset.build_vocabulary(table.filter("i < 60"), "input")
+    ids = {r.word: r.token_id for r in words.collect()} | {"0": trainset.ZERO, "1": trainset.ONE}
+    got = trainset.VocabularyTokenizer(words, at_hand).ids(table, ["i"], {"input": 20, "label": 4}).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        _, text, label = texts[r.i]
+        assert r.input == [ids.get(w, trainset.UNKNOWN) for w in (text or "").split()[:19]] + [trainset.END]
+        assert r.label == [ids[label], trainset.END]
+    empty = trainset.VocabularyTokenizer(words, at_hand).ids(table.filter("i < 0"), ["i"], {"input": 20, "label": 4})
+    assert empty.collect() == []
+
+
 def load_lengths():
     return lambda texts: [[len(w) for w in t.split()] for t in texts]
 
