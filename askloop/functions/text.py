@@ -37,12 +37,14 @@ def strip(text: Column) -> Column:
 def normalize_answer(text: Column) -> Column:
     """Lower case, no ASCII punctuation, no articles, single spaces. A missing text reads as ``none``.
 
-    Each pattern repeats single characters only: repeated groups would recurse on long texts.
+    Each pattern repeats single characters only: repeated groups would recurse on long texts. Most characters fail at a
+    pattern's first test, and a single space is left as it is.
     """
     out = F.lower(F.coalesce(text.cast("string"), F.lit("none")))
     out = F.regexp_replace(out, PUNCTUATION, "")
-    out = F.regexp_replace(out, f"(?<!{WORD})(?:{'|'.join(ARTICLES)})(?!{WORD})", " ")
-    return F.trim(F.regexp_replace(out, f"(?U){SPACE}+", " "))
+    begins = "".join(sorted({a[0] for a in ARTICLES}))
+    out = F.regexp_replace(out, f"(?=[{begins}])(?<!{WORD})(?:{'|'.join(ARTICLES)})(?!{WORD})", " ")
+    return F.trim(F.regexp_replace(out, f"(?U) {SPACE}+|[{SPACE[1:-1]}&&[^ ]]{SPACE}*", " "))
 
 
 def exact_match(answer: Column, gold: Column) -> Column:
@@ -107,20 +109,23 @@ def numbered_words(words: Column) -> Column:
     return bind(words, lambda ws: F.when(F.size(F.array_distinct(ws)) == F.size(ws), ws).otherwise(numbered(ws)))
 
 
-def token_f1(answer: Column, gold: Column) -> Column:
-    """Best token F1 of the answer against any gold answer."""
+def word_bag(text: Column) -> Column:
+    """The words of the normalised text as a set that keeps repeats."""
+    return numbered_words(tokens(text))
+
 
-    def f1(a: Column, g: Column) -> Column:
-        total = F.size(a) + F.size(g)
-        either_empty = (F.size(a) == 0) | (F.size(g) == 0)
-        shared = F.size(F.array_intersect(a, g))
-        return F.when(either_empty, (total == 0).cast("double")).otherwise(2.0 * shared / total)
+def bag_f1(a: Column, g: Column) -> Column:
+    """Token F1 of two word bags."""
+    total = F.size(a) + F.size(g)
+    either_empty = (F.size(a) == 0) | (F.size(g) == 0)
+    shared = F.size(F.array_intersect(a, g))
+    return F.when(either_empty, (total == 0).cast("double")).otherwise(2.0 * shared / total)
 
+
+def token_f1(answer: Column, gold: Column) -> Column:
+    """Best token F1 of the answer against any gold answer."""
     best = bind(
-        numbered_words(tokens(answer)),
-        lambda a: F.array_max(
-            F.transform(gold, lambda one: bind(numbered_words(tokens(one)), lambda g: f1(a, g)))
-        ),
+        word_bag(answer), lambda a: F.array_max(F.transform(gold, lambda one: bind(word_bag(one), lambda g: bag_f1(a, g))))
     )
     return F.coalesce(best, F.lit(0.0))
 

@@ -520,6 +520,21 @@ add(
       UNION ALL SELECT 'system', 'accuracy', a FROM s UNION ALL SELECT 'system', 'f1', a FROM s)
     SELECT 'conv' AS dataset, stage, metric, round(v, 6) AS value FROM long""",
 )
+add(
+    "infer_job",
+    f"""
+    WITH r AS ({rollout(0, 4, None, "exploration", mcq=False, gated=True)}),
+    t AS (SELECT turn, CAST(count(*) FILTER (NOT gate_output) AS DOUBLE) AS no, CAST(count(*) FILTER (gate_output) AS DOUBLE) AS yes,
+          CAST(count(*) FILTER (correct = 0) AS DOUBLE) AS wrong, CAST(count(*) FILTER (correct = 1) AS DOUBLE) AS right_ FROM r GROUP BY turn),
+    q AS (SELECT turns, CAST(count(*) AS DOUBLE) AS n FROM (SELECT id, count(*) AS turns FROM r GROUP BY id) GROUP BY turns),
+    z AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(correct) AS a FROM r WHERE turn = 0),
+    long AS (
+      SELECT 'gate, turn ' || turn AS stage, 'rejected' AS metric, no AS v FROM t UNION ALL SELECT 'gate, turn ' || turn, 'accepted', yes FROM t
+      UNION ALL SELECT 'correct, turn ' || turn, 'wrong', wrong FROM t UNION ALL SELECT 'correct, turn ' || turn, 'right', right_ FROM t
+      UNION ALL SELECT 'questions, turns ' || turns, 'n_questions', n FROM q
+      UNION ALL SELECT 'zero-shot', 'n', n FROM z UNION ALL SELECT 'zero-shot', 'accuracy', a FROM z UNION ALL SELECT 'zero-shot', 'f1', a FROM z)
+    SELECT 'conv' AS dataset, stage, metric, round(v, 6) AS value FROM long""",
+)
 add("gated_rollout_gradual", rollout(1, 5, None, "gradual", mcq=False, gated=True))
 add("gated_rollout_exploration", rollout(0, 4, None, "exploration", mcq=False, gated=True))
 add(

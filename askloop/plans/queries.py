@@ -56,13 +56,12 @@ def exact_match(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def token_f1(spark: SparkSession, sf: str) -> DataFrame:
-    """Each document against the two documents after it, whole texts; the last two have fewer."""
-    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
-    ahead = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("_ahead")
-    told = docs.select("*", ahead).select((F.col("doc_id") - F.col("_ahead")).alias("doc_id"), "_ahead", "text")
-    by_place = told.groupBy("doc_id").agg(*[F.first(F.when(F.col("_ahead") == k, F.col("text")), True).alias(f"t{k}") for k in range(3)])
-    kept = by_place.filter(F.col("t0").isNotNull()).withColumn("golds", F.array_compact(F.array("t1", "t2")))
-    return kept.select("doc_id", r6(text.token_f1(F.col("t0"), F.col("golds"))).alias("f1"))
+    """Each document against the two documents after it, whole texts; the last two have fewer. A text is made a bag once."""
+    bags = materialize(fx.table(spark, sf, "documents").select("doc_id", text.word_bag(F.col("text")).alias("bag")), "bags")
+    ahead = [bags.select((F.col("doc_id") - k).alias("doc_id"), F.col("bag").alias(f"bag{k}")) for k in (1, 2)]
+    told = bags.join(ahead[0], "doc_id", "left").join(ahead[1], "doc_id", "left")
+    golds = F.array_compact(F.array(*[F.when(F.col(f"bag{k}").isNotNull(), text.bag_f1(F.col("bag"), F.col(f"bag{k}"))) for k in (1, 2)]))
+    return told.select("doc_id", r6(F.coalesce(F.array_max(golds), F.lit(0.0))).alias("f1"))
 
 
 @query
@@ -516,6 +515,18 @@ def gated_rollout_exploration(spark: SparkSession, sf: str) -> DataFrame:
     return _gated(spark, sf, "exploration")
 
 
+@query
+def infer_job(spark: SparkSession, sf: str) -> DataFrame:
+    """The inference job with a recorded gate: its counts by turn and its opening turn, from its log."""
+    base = _scratch(spark, "infer")
+    tables.write_qa(fx.qa(spark, sf), f"{base}/qa")
+    config = rollout.RolloutConfig("exploration", "OEQ")
+    model, judge = models.Replay(fx.responses(spark, sf)), models.ReplayGate(fx.gate_outputs(spark, sf))
+    jobs.infer(spark, f"{base}/qa", f"{base}/turns", model, judge, config, f"{base}/log")
+    log = tables.read_metrics(spark, f"{base}/log").filter("stage NOT LIKE 'evaluation%' AND stage <> 'comparison'")
+    return log.select("dataset", "stage", "metric", r6("value").alias("value"))
+
+
 def _counting_model():
     """A stand-in for a language model: answers with the number of lines of the user message."""
 
