@@ -6,8 +6,10 @@ over q distinct bytes, less those that the longer context already ruled out, giv
 n / (T + q) and an escape q / (T + q); below the empty context all bytes left are alike. Statistics are frozen after
 training, so the code length of a text is exact and the shortest one names its language.
 
-Training takes the rows with a language and a text, a bounded sample of about ``SAMPLE_BYTES`` of text for each language
-chosen by a hash of the row; the trees are counted by Spark and travel with the tasks that score every whole text.
+Training takes the rows with a language and a text. They are cut into pieces of about ``SAMPLE_PIECE`` bytes, of which a bounded
+sample, about ``SAMPLE_BYTES`` for each language, is chosen by a hash of language and piece; the piece with the smallest hash is
+always in it, so no language is lost, however few or long its texts. Equal pieces count once. The trees are counted by Spark and
+travel with the tasks that score every whole text: at most about ``SAMPLE_BYTES`` times the number of languages.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is every text if nothing was learned. The
 score is the probability of the language under equal priors. Equal code lengths go to the smaller name. Rows without an id,
@@ -20,13 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askloop.llm.common import Docs, id_text, ids_array, mix, slices
+from askloop.session import materialize
 
 ORDER = 4
 SAMPLE_BYTES = 3_000_000
+SAMPLE_PIECE = 1_000
 CACHE_BITS = 18
 UNKNOWN = "und"
 PREDICTED = "doc_id bigint, lang_pred string, score double"
@@ -157,16 +162,63 @@ def has_letter(raw: bytes) -> bool:
     return any(c.isalpha() for c in raw.decode("utf-8", "ignore")) if raw else False
 
 
+def pieces_of(raw: bytes, size: int = SAMPLE_PIECE) -> Iterator[bytes]:
+    """``raw`` cut behind whole characters."""
+    at = 0
+    while at < len(raw):
+        end = min(at + size, len(raw))
+        while end < len(raw) and raw[end] & 0xC0 == 0x80:
+            end += 1
+        yield raw[at:end]
+        at = end
+
+
+def sample(rows: DataFrame, sample_bytes: int) -> tuple[DataFrame, list[str]]:
+    """(lang, text) of the chosen pieces, each once, and all languages of ``rows`` (lang, text)."""
+    same = F.approx_count_distinct(F.xxhash64("text")) / F.count(F.lit(1))  # copies are one text
+    sizes = rows.groupBy("lang").agg((F.sum(F.octet_length("text")) * F.least(same, F.lit(1.0))).alias("n")).collect()
+    bound = {r.lang: int(min(1.0, sample_bytes / max(1.0, r.n)) * (1 << 64)) for r in sizes}
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[str, tuple[int, bytes]] = {}
+
+        def told(found: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
+            lang, place, text = zip(*found)
+            return pa.record_batch({
+                "lang": pa.array(lang, pa.string()), "place": pa.array([f"{p:020d}" for p in place], pa.string()),
+                "within": pa.array([p < bound[x] for x, p in zip(lang, place)]), "text": pa.array([t.decode() for t in text], pa.string()),
+            })
+
+        for batch in batches:
+            found = []
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                begin = xxhash.xxh64(lang.encode())
+                for piece in pieces_of(text.as_py().encode()):
+                    one = begin.copy()
+                    one.update(piece)
+                    place = one.intdigest()
+                    if place < bound[lang]:
+                        found.append((lang, place, piece))
+                    least[lang] = min(least.get(lang, (place, piece)), (place, piece))
+            if found:
+                yield told(found)
+        if least:
+            yield told([(lang, *kept) for lang, kept in least.items()])
+
+    # Each task's smallest pieces come along; only that of the whole language is taken beyond the bound.
+    every = materialize(rows.mapInArrow(chosen, "lang string, place string, within boolean, text string"), "language-sample")
+    least = every.groupBy("lang").agg(F.min("place").alias("least"))
+    wanted = every.join(least, "lang").filter("within OR place = least")
+    return wanted.select("lang", "text").distinct(), sorted(bound)
+
+
 def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """(language, gram codes, counts) for each language of ``docs`` (doc_id, text, lang)."""
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.filter("lang IS NOT NULL AND length(text) > 0")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
-    if not sizes:
+    if rows.isEmpty():
         return []
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample_bytes / n))])
-    place = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30)) / (1 << 30)
-    chosen = rows.filter(place < share[F.col("lang")]).select("lang", "text")
+    chosen, languages = sample(rows, sample_bytes)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,7 +239,7 @@ def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> list[tuple[str,
     table = chosen.mapInArrow(counted, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     got = table.toArrow()
     model = []
-    for name in sorted(sizes):
+    for name in languages:
         own = got.filter(pa.compute.equal(got.column("lang"), name))
         if len(own):
             model.append((name, own.column("gram").to_numpy().view(np.uint64), own.column("n").to_numpy()))

@@ -39,6 +39,32 @@ def test_language(documents, spoken):
     assert found[None][0][0] == "aa" and found[53][0][0] == "aa"
 
 
+def test_every_language_is_learned_from_a_small_sample(documents):
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choices(f"{chr(0x3B1 + i)}{chr(0x430 + i)} x", k=5_000)), f"l{i:02d}") for i in range(20)]
+    rows += [(100 + i, rows[0][1], "l00") for i in range(50)]  # copies
+    rows += [(200, "q", "short"), (201, "ω " * 400_000, "long")]
+    model = language.train(documents(rows), sample_bytes=1_200)
+    assert [name for name, _, _ in model] == sorted({lang for _, _, lang in rows})
+    read = {name: int(counts[grams >> np.uint64(56) == 1].sum()) for name, grams, counts in model}
+    assert all(n < 12_000 for n in read.values()) and read["short"] == 1
+    got = {r.doc_id: r.lang_pred for r in language.predict(documents([(i, t[:300], "?") for i, t, _ in rows[:20]]), model).collect()}
+    assert got == {i: f"l{i:02d}" for i in range(20)}
+
+
+def test_equal_pieces_count_once(documents):
+    rows = [(i, "abc abd", "aa") for i in range(30)] + [(99, "abx", "aa")]
+    (_, grams, counts), = language.train(documents(rows))
+    one = {int(g) & 0xFF: int(n) for g, n in zip(grams, counts) if int(g) >> 56 == 1}
+    assert one == Counter(b"abc abdabx")
+
+
+def test_pieces_are_whole_characters():
+    raw = ("aé漢🙂" * 400).encode()
+    parts = list(language.pieces_of(raw, 7))
+    assert b"".join(parts) == raw and all(p.decode() for p in parts) and max(map(len, parts)) <= 10
+
+
 def test_language_without_training(documents):
     model = language.train(documents([]))
     assert model == []
@@ -194,6 +220,45 @@ def test_toxicity_on_held_out_rows(spark, documents):
     assert all(0 <= r.p_toxic <= 1 for r in got.values())
 
 
+def test_a_toxic_passage_in_a_very_long_clean_text(spark, documents):
+    rng = random.Random(4)
+    plain = [f"{rng.choice('bdfgk')}{''.join(rng.choices('aeioulmnrst', k=rng.randint(2, 9)))}" for _ in range(3_000)]
+    rows, labels = [], []
+    for i in range(300):
+        text, toxic = rng.choices(plain, k=rng.randint(20, 120)), i % 3 == 0
+        for at in range(2 if toxic else 0):
+            text[at * 5] = rng.choice(["idiot", "moron", "scum"])
+        rows.append((i, " ".join(text)))
+        labels.append((i, 1, int(toxic)))
+    clean = [" ".join(rng.choices(plain, k=100_000)) for _ in range(2)]
+    passage = clean[0][:400_000] + " you idiot moron, pathetic scum, idiot scum moron " + clean[0][400_000:]
+    table = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r.toxic for r in toxicity.classify(documents([*rows, (900, passage), (901, clean[0]), (902, clean[1])]), table).collect()}
+    assert got[900] and not got[901] and not got[902]
+
+
+def test_the_solver_finds_the_optimum_of_spark_ml(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(3)
+    x = rng.random((120, 8)) * (rng.random((120, 8)) < 0.5)
+    y = (x @ np.array([3, -2, 0, 0, 1.5, 0, 0, 0]) + rng.normal(0, 0.5, 120) > 0.4).astype(float)
+    table = spark.createDataFrame([(float(b), Vectors.dense(a)) for a, b in zip(x.tolist(), y)], ["label", "features"])
+    best = LogisticRegression(regParam=0.02, elasticNetParam=1.0, standardization=False, maxIter=500, tol=1e-10).fit(table)
+    row, column = np.nonzero(x)
+    weights, intercept = toxicity.solve(row, column, x[row, column], y, 8, 0.02, 5_000, 1e-9)
+    assert weights == pytest.approx(best.coefficients.toArray(), abs=2e-3) and intercept == pytest.approx(best.intercept, abs=2e-3)
+    assert (weights == 0).any()
+
+
+def test_toxicity_of_empty_tables(spark, documents):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id bigint, quality int, toxic int")
+    assert toxicity.classify(documents([]), labels).count() == 0
+    got = toxicity.classify(documents([(1, "same text"), (3, None)]), labels.filter("doc_id = 1")).collect()
+    assert [tuple(r) for r in sorted(got)] == [(1, 0.0, 0.0, False, False), (3, 0.0, 0.0, False, False)]
+
+
 def test_toxicity_without_labels(spark, documents):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert [tuple(r) for r in toxicity.classify(documents([(1, "text")]), none).collect()] == [(1, 0.0, 0.0, False, False)]

@@ -2,16 +2,20 @@
 
 import hashlib
 import os
+import random
+import zlib
+from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
 import sentencepiece
 from brute import base_spans, first_strings, linked, lone_words, shingles
 from compare import compare, duck
+from test_models import plain_bits
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from askloop.llm import quality, secrets
+from askloop.llm import language, quality, secrets
 
 SF_DIR = "/root/testdata/sf0.001"
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
@@ -50,6 +54,34 @@ def test_op3(spark, texts):
     assert got == {d: (n, gone, runs, sha(kept)) for d, (n, kept, gone, runs) in expected.items()}
 
 
+def test_op4(spark, tmp_path):
+    """Small texts of invented languages, some held out, against plain context trees of the others."""
+    rng = random.Random(6)
+    letters = {"xx": "abcd ", "yy": "abef ", "zz": "ghij é"}
+    rows = [(i, "".join(rng.choices(letters[lang], k=rng.randint(1, 40))), lang) for i, lang in enumerate(list(letters) * 14)]
+    rows += [(100, None, "xx"), (101, "  12 ", "yy"), (102, "abcd abcd", None), (103, rows[0][1], "xx"), (None, "gh ij", "zz")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    held_out = {d: d is not None and zlib.crc32(str(d).encode()) % 3 == 1 for d, _, _ in rows}
+    counts = {lang: defaultdict(Counter) for lang in letters}
+    for lang, text in {(lang, text) for d, text, lang in rows if text and lang and not held_out[d]}:
+        raw = text.encode()
+        for i in range(len(raw)):
+            for length in range(min(i, language.ORDER) + 1):
+                counts[lang][raw[i - length : i]][raw[i]] += 1
+    got = contract.queries()["op4_language"](spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.held_out for r in got} == held_out
+    found = {r.doc_id: r for r in got}
+    for d, text, _ in rows:
+        if not any(c.isalpha() for c in text or ""):
+            assert (found[d].lang_pred, found[d].score) == ("und", 0.0)
+            continue
+        raw = text.encode()
+        bits = {x: sum(plain_bits(c, raw[max(0, i - language.ORDER) : i + 1]) for i in range(len(raw))) for x, c in counts.items()}
+        best = min(sorted(bits), key=bits.get)
+        assert found[d].lang_pred == best
+        assert found[d].score == pytest.approx(1 / sum(2 ** (bits[best] - b) for b in bits.values()), abs=2e-6)
+
+
 def test_op5(spark, texts):
     spans = {d: base_spans(t) for d, t in texts}
     counts = {d: tuple(s.count(f"{k}:") for k in ("assign", "access", "hex")) for d, s in spans.items()}
