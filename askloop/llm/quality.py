@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from askloop.llm.common import NO_ID, Docs, ids_array, mix, pack, pack_sorted, shard_of, unpack_docs, unpack_sorted, widths
+from askloop.llm.common import NO_ID, Docs, ids_array, mix, pack, pack_sorted, salted_join, shard_of, unpack_docs, unpack_sorted, widths
 from askloop.session import materialize
 
 ORDER = 5
@@ -281,13 +281,16 @@ def scores(docs: DataFrame, labels: DataFrame, order: int = ORDER, written: bool
 def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, written: bool = False) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity, score, threshold, keep) of every row."""
     scored = materialize(scores(docs, labels, order, written), "quality-scores").withColumn("key", F.coalesce("lang", F.lit("\x00")))
-    trusted = scored.filter("trusted AND n_bytes > 0")
-    median = trusted.groupBy("key").agg(F.percentile_approx(F.col("held_out") / F.col("n_bytes"), 0.5, 10_000).alias("median"))
+    trusted, salt = scored.filter("trusted AND n_bytes > 0"), F.xxhash64("doc_id", "n_bytes", "bits")
+    median = F.percentile_approx(F.col("held_out") / F.col("n_bytes"), 0.5, 10_000).alias("median")
+    # One row a language, written so that the planner knows how few there are; otherwise a language's rows are salted.
+    medians = materialize(trusted.groupBy(F.col("key").alias("__key")).agg(median), "language-medians")
     score = (F.col("held_out") + PRIOR_BYTES * F.col("median")) / (F.col("n_bytes") + PRIOR_BYTES)
-    judged = scored.join(median, "key", "left").withColumn("score", score)
-    limit = trusted.join(median, "key").groupBy("key").agg(F.percentile_approx(score, quantile, 10_000).alias("threshold"))
+    limit = salted_join(trusted, medians, [("key", "__key")], salt).groupBy(F.col("key").alias("__key"))
+    limits = medians.join(limit.agg(F.percentile_approx(score, quantile, 10_000).alias("threshold")), "__key", "left")
+    judged = salted_join(scored, materialize(limits, "language-thresholds"), [("key", "__key")], salt, "left").withColumn("score", score)
     kept = (F.col("n_bytes") > 0) & (F.col("threshold").isNull() | (F.col("score") <= F.col("threshold")))
-    return judged.join(limit, "key", "left").select(
+    return judged.select(
         "doc_id", "lang", "n_bytes", F.when(F.col("n_bytes") > 0, F.pow(F.lit(2.0), F.col("bits") / F.col("n_bytes"))).alias("perplexity"),
         "score", "threshold", F.coalesce(kept, F.lit(False)).alias("keep"),
     )
