@@ -275,8 +275,11 @@ def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Recor
             at = end
 
 
-def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
-    """``df`` with the ids of the whole text in ``out`` (array of int, never null), and in ``decoded`` what they decode to."""
+def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", decoded: str | None = None, linger: bool = True) -> DataFrame:
+    """``df`` with the ids of the whole text in ``out`` (array of int, never null), and in ``decoded`` what they decode to.
+
+    Workers keep their merged cuts from task to task, unless ``linger`` is False, as where they serve other stages after this.
+    """
     df = df.drop(*[c for c in (out, decoded) if c and c != text])
     schema = StructType([*df.schema.fields, StructField(out, ArrayType(IntegerType()))])
     if decoded:
@@ -292,6 +295,8 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", decod
             if decoded:
                 made[decoded] = _texts(vocabulary, flat, ends)
             yield pa.RecordBatch.from_arrays([*part.columns, *made.values()], [*names, *made])
+        if not linger:
+            vocabulary.cache, vocabulary.older = {}, {}
 
     return df.mapInArrow(run, schema)
 
