@@ -200,7 +200,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
     marked = marked.na.drop().groupBy("doc_id").agg(*[F.max(n).alias(n) for n in names])
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("length(trim(text)) > 0")
-    n, size = texts.join(marked, "doc_id").agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    sizes = texts.select("doc_id", F.octet_length("text").alias("size")).join(marked.select("doc_id"), "doc_id")
+    n, size = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     share = min(1.0, sample_rows / max(1, n), SAMPLE_BYTES / max(1, size))
     chosen = marked.filter(place < F.lit(share * (1 << 30)))
     fold = F.pmod(F.hash("doc_id", F.lit("fold")), F.lit(FOLDS)).alias("fold")
