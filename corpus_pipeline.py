@@ -42,7 +42,7 @@ def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The library reads a word mark in a text as a space, so such a text is not held against its ids.
     """
     path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = pieces.encode(docs, path, decoded="decoded")
+    coded = pieces.encode(docs, path, decoded="decoded", linger=False)
     same = F.col("decoded") == F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit(pieces.MARK), F.lit(" "))
     return coded.withColumns({"n_tokens": F.size("ids").cast("bigint"), "decodes": same}).drop("text", "decoded")
 
