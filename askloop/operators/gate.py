@@ -126,6 +126,8 @@ def fit_gate(
 # --- A gate as a table ------------------------------------------------------------------------------------------------
 
 BIAS = -1
+#: Features of a batch that are worked on at a time.
+STRETCH = 1 << 18
 WEIGHTS = "feature bigint, weight double, features bigint"
 
 
@@ -135,6 +137,17 @@ def word_features(text: Column, features: int) -> Column:
     return F.array_distinct(F.transform(place, lambda p: p % F.lit(features)))
 
 
+def _stretches(held: pa.ListArray) -> Iterator[slice]:
+    """Some texts in stretches of about ``STRETCH`` features, a text at least, so that memory does not grow with a batch."""
+    ends = np.cumsum(held.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < len(ends):
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + STRETCH, "right")))
+        yield slice(low, high)
+        low = high
+
+
 def _margins(held: pa.ListArray, weights: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of some texts the margins, and of their features the numbers, the values and the texts."""
     sizes = held.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
@@ -186,6 +199,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -700, 700)))
 
 
+def _gradient(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: float) -> Iterator[pa.RecordBatch]:
+    """A task's share of the gradient, as (feature, slope), from its (features, class, vote)."""
+    slope, lean, seen = np.zeros(len(weights)), 0.0, np.zeros(len(weights), bool)
+    for batch in batches:
+        held, klass, vote = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        for some in _stretches(held):
+            margins, feature, value, text = _margins(held[some], weights, bias)
+            error = vote[some] * (_sigmoid(margins) - klass[some])
+            slope += np.bincount(feature, value * error[text], len(weights))
+            seen[feature] = True
+            lean += error.sum()
+    held = np.flatnonzero(seen)
+    yield pa.record_batch({
+        "feature": pa.array([BIAS, *held.tolist()], pa.int64()), "slope": pa.array([lean, *slope[held].tolist()], pa.float64())
+    })
+
+
 def fit_steps(train: DataFrame, config: StepConfig | None = None, setting: str = "exploration", name: str = "weights") -> WeightGate:
     """Fit on ``input``/``label`` text: ``steps`` steps of size ``rate`` down the weighted mean of the logistic loss.
 
@@ -201,21 +231,8 @@ def fit_steps(train: DataFrame, config: StepConfig | None = None, setting: str =
     gate = WeightGate({BIAS: 0.0}, config.features, setting, name)
     for _ in range(config.steps if total else 0):
         weights, bias = gate.dense(), gate.weights[BIAS]
-
-        def gradient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            slope, lean, seen = np.zeros(len(weights)), 0.0, np.zeros(len(weights), bool)
-            for batch in batches:
-                margins, feature, value, text = _margins(batch.column(0), weights, bias)
-                error = batch.column(2).to_numpy() * (_sigmoid(margins) - batch.column(1).to_numpy())
-                slope += np.bincount(feature, value * error[text], len(weights))
-                seen[feature] = True
-                lean += error.sum()
-            held = np.flatnonzero(seen)
-            yield pa.record_batch({
-                "feature": pa.array([BIAS, *held.tolist()], pa.int64()), "slope": pa.array([lean, *slope[held].tolist()], pa.float64())
-            })
-
-        slopes = rows.mapInArrow(gradient, "feature bigint, slope double").groupBy("feature").agg(F.sum("slope").alias("slope")).collect()
+        parts = rows.mapInArrow(lambda batches: _gradient(batches, weights, bias), "feature bigint, slope double")
+        slopes = parts.groupBy("feature").agg(F.sum("slope").alias("slope")).collect()
         gate.weights = {
             r.feature: (1 - config.rate * config.penalty) * gate.weights.get(r.feature, 0.0) - config.rate * r.slope / total for r in slopes
         }
