@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -156,6 +155,12 @@ def _margins(held: pa.ListArray, weights: np.ndarray, bias: float) -> tuple[np.n
     return bias + np.bincount(text, value * weights[feature], len(held)), feature, value, text
 
 
+def _accepted(held: pa.ListArray, weights: np.ndarray, bias: float) -> pa.Array:
+    """How surely some texts are accepted."""
+    margins = [_margins(held[some], weights, bias)[0] for some in _stretches(held)]
+    return pa.array(_sigmoid(np.concatenate([np.zeros(0), *margins])))
+
+
 class WeightGate(_Judge):
     """A gate of one weight a feature, as (feature, weight); a feature without a row weighs nothing."""
 
@@ -176,10 +181,10 @@ class WeightGate(_Judge):
         """Add ``gate_output`` and both class confidences to rows with an input text. Rows stay where they are."""
         weights, bias = self.dense(), self.weights.get(BIAS, 0.0)
 
-        @F.pandas_udf("double")
-        def accepts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("double")
+        def accepts(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for part in parts:
-                yield pd.Series(_sigmoid(_margins(pa.array(part, pa.list_(pa.int64())), weights, bias)[0]))
+                yield _accepted(part, weights, bias)
 
         scored = df.withColumn("_one", accepts(word_features(F.col(text), self.features)))
         one = F.col("_one")

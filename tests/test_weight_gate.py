@@ -3,7 +3,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from askloop.operators.gate import BIAS, STRETCH, _gradient, _margins, _stretches
+from askloop.operators.gate import BIAS, STRETCH, _accepted, _gradient, _margins, _stretches
 
 
 def test_a_step_takes_no_more_memory_for_a_larger_batch():
@@ -27,3 +27,17 @@ def test_a_step_takes_no_more_memory_for_a_larger_batch():
     assert np.allclose(got.column("slope").to_numpy(), want)
     stretches = list(_stretches(pa.array([[1], None, []], pa.list_(pa.int64()))))
     assert stretches == [slice(0, 3)] and list(_stretches(held[:0])) == []
+
+
+def test_texts_are_judged_in_stretches():
+    rng = np.random.default_rng(2)
+    sizes = [*rng.integers(0, 400, 8_000), 0]
+    held = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(rng.integers(0, 1 << 12, sum(sizes))))
+    weights = rng.normal(size=1 << 12)
+    tracemalloc.start()
+    got = _accepted(held, weights, 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * 8 * STRETCH
+    assert got.to_pylist() == (1 / (1 + np.exp(-_margins(held, weights, 0.5)[0]))).tolist()
+    assert _accepted(held[:0], weights, 0.5).to_pylist() == []
