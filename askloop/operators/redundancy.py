@@ -7,9 +7,11 @@ rationales are the summed weight of their common elements:
 * ``bitand`` (counts combined by bitwise and): one element per word and set bit of its count, weighing that bit;
 * ``min`` (the smaller count): one element per repeat of a word, weighing 1.
 
-Exact copies collapse before anything is compared. What is left is an existence join that never makes a row for a pair: the
+The words are counted in Arrow batches, some texts at a time, and a rationale travels as one text of its elements. Exact copies collapse before anything is compared. What is left is an existence join that never makes a row for a pair: the
 rationales of a question fall into blocks of about ``BLOCK`` by a hash, each block meets each other one of its question in one
-task, and a rationale leaves that task as soon as a partner is found. There the elements are ordered rarest first and those
+task, and a rationale leaves that task as soon as a partner is found. Questions of at most ``FEW`` different rationales are
+tested together, many at a time: their elements are sorted once, and neighbours that are equal add up the weights of all
+pairs. In a larger one the elements are ordered rarest first and those
 of a single rationale are dropped. Partners are taken a stretch at a time, latest first. A rationale is only tested against
 a stretch that holds an element of its prefix, that is one with ``threshold`` of its own weight at or behind it (two that
 overlap enough have their first common element there), and if the weight it could share with the whole stretch reaches
@@ -19,12 +21,16 @@ of them: one row a rationale up to about a thousand.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from askloop.functions.text import word_counts, word_tokens
+from askloop.functions.text import word_tokens
 from askloop.operators.skew import join_per_question
 from askloop.schemas import KEYS
 from askloop.session import materialize
@@ -33,6 +39,13 @@ from askloop.session import materialize
 BLOCK = 1_024
 STRETCH = 256
 CELLS = 1 << 23
+#: Different rationales of a question that is tested along with others; words counted, and bytes of elements tested, at a time.
+FEW = 16
+WORDS = 1 << 18
+BYTES = 1 << 22
+
+#: What tells apart the groups of rationales that meet in one task.
+MEETING = [*KEYS, "_one", "_two"]
 
 
 def answer_redundancy(df: DataFrame) -> DataFrame:
@@ -44,48 +57,63 @@ def answer_redundancy(df: DataFrame) -> DataFrame:
     )
 
 
-def _elements(text: Column, overlap: str) -> Column:
-    """Elements ``weight:word`` as a sorted array, a canonical form of the text's words."""
-
-    def bits(r: Column) -> Column:
-        places = F.sequence(F.lit(0), F.floor(F.log2(r["n"])).cast("int"))
-        weights = F.transform(places, lambda b: F.pow(F.lit(2), b).cast("int"))
-        held = F.filter(weights, lambda w: r["n"].bitwiseAND(w) > 0)
-        return F.transform(held, lambda w: F.concat(w.cast("string"), F.lit(":"), r["word"]))
-
-    def repeats(r: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), r["n"]), lambda k: F.concat(F.lit("1:"), r["word"], F.lit(" "), k.cast("string"))
-        )
-
-    one = bits if overlap == "bitand" else repeats
-    return F.sort_array(F.flatten(F.transform(word_counts(word_tokens(text)), one)))
-
+def _elements(words: pa.ListArray, overlap: str) -> tuple[pa.Array, np.ndarray]:
+    """Of some texts the elements ``weight:word`` in a fixed order, joined by blanks, and their summed weight."""
+    row = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy(zero_copy_only=False))
+    told = words.flatten().dictionary_encode()
+    order = pc.array_sort_indices(told.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    names, width = told.dictionary.take(pa.array(order)), max(1, len(order))
+    held, counts = np.unique(row * width + rank[told.indices.to_numpy(zero_copy_only=False)], return_counts=True)
+    if overlap == "bitand":
+        bits = np.int64(1) << np.arange(max(1, int(counts.max(initial=0)).bit_length()))
+        at, bit = np.nonzero(counts[:, None] & bits)
+        weights = bits[bit]
+    else:
+        at = np.repeat(np.arange(len(counts)), counts)
+        weights = np.ones(len(at), np.int64)
+    elements = pc.binary_join_element_wise(pa.array(weights).cast(pa.string()), names.take(pa.array(held[at] % width)), ":")
+    if overlap != "bitand":
+        repeat = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+        elements = pc.binary_join_element_wise(elements, pa.array(repeat).cast(pa.string()), "#")
+    of_row = held[at] // width
+    ends = np.searchsorted(of_row, np.arange(len(words) + 1))
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), elements), " ")
+    return joined, np.bincount(of_row, weights, len(words)).astype(np.int64)
+
+
+def _split(elements: pa.Array) -> pa.ListArray:
+    return pc.split_pattern(elements, " ")
+
+
+def _parts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Neighbours in runs of at most ``most`` in sum, one at least."""
+    ends, low = np.cumsum(sizes), 0
+    while low < len(ends):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + most, "right")))
+        yield low, high
+        low = high
 
-def _element_weight(element: Column) -> Column:
-    return F.substring_index(element, ":", 1).cast("bigint")
 
+def _distinct_vectors(df: DataFrame, threshold: int, overlap: str) -> DataFrame:
+    """Per question and distinct rationale: its copies, the last turn that holds it, its elements.
 
-def _weight(elements: Column) -> Column:
-    return F.aggregate(elements, F.lit(0).cast("bigint"), lambda acc, e: acc + _element_weight(e))
-
+    A rationale of less weight than ``threshold``, or of none, overlaps nothing and has no row.
+    """
+    texts = df.filter(F.col("rationale").isNotNull()).select(*KEYS, "turn", word_tokens(F.col("rationale")).alias("words"))
+    names = [*KEYS, "turn"]
 
-def _shared(a: Column, b: Column) -> Column:
-    return _weight(F.array_intersect(a, b))
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high in _parts(batch.column("words").value_lengths().to_numpy(zero_copy_only=False), WORDS):
+                part = batch.slice(low, high - low)
+                elements, weight = _elements(part.column("words"), overlap)
+                out = pa.RecordBatch.from_arrays([*[part.column(n) for n in names], elements], [*names, "elements"])
+                yield out.filter(pa.array(weight >= max(1, threshold)))
 
-
-def _distinct_vectors(df: DataFrame, threshold: int, overlap: str) -> DataFrame:
-    """Per question and distinct rationale: its copies, the last turn that holds it, its elements."""
-    rows = df.filter(F.col("rationale").isNotNull()).select(
-        *KEYS, "turn", _elements(F.col("rationale"), overlap).alias("elements")
-    )
-    # The weight is tested after the grouping: a test before it would be pushed to the scan and build the elements
-    # of every text a second time.
-    weighed = rows.withColumn("weight", _weight(F.col("elements")))
-    grouped = weighed.groupBy(*KEYS, "elements").agg(
-        F.count(F.lit(1)).alias("copies"), F.max("turn").alias("last"), F.max("weight").alias("weight")
-    )
-    return grouped.filter(F.col("weight") >= threshold).drop("weight")
+    schema = T.StructType([*[texts.schema[n] for n in names], T.StructField("elements", T.StringType())])
+    return texts.mapInArrow(weighed, schema).groupBy(*KEYS, "elements").agg(F.count(F.lit(1)).alias("copies"), F.max("turn").alias("last"))
 
 
 def _meetings(vectors: DataFrame, block: int) -> DataFrame:
@@ -98,13 +126,18 @@ def _meetings(vectors: DataFrame, block: int) -> DataFrame:
     return met.select(*KEYS, F.least("_own", "_other").alias("_one"), F.greatest("_own", "_other").alias("_two"), "_own", "last", "elements")
 
 
+def _weights(elements: pa.Array) -> np.ndarray:
+    """The weights of elements ``weight:word``."""
+    return pc.split_pattern(elements, ":", max_splits=1).flatten()[::2].cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+
 class _Sets:
     """Some rationales as element numbers, rarest first: those of a row are ``codes[ends[i] : ends[i + 1]]``."""
 
     def __init__(self, elements: pa.ListArray):
         words = elements.flatten().dictionary_encode()
         codes, row = words.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(elements)), elements.value_lengths().to_numpy(zero_copy_only=False))
-        weights = np.array([int(w[: w.index(":")]) for w in words.dictionary.to_pylist()], np.float64)
+        weights = _weights(words.dictionary)
         held = np.bincount(codes, minlength=len(weights))
         shared = held[codes] > 1
         codes, row = codes[shared], row[shared]
@@ -165,17 +198,73 @@ def _found(last: np.ndarray, own: np.ndarray, elements: pa.ListArray, threshold:
     return found
 
 
-def _overlapped(vectors: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
-    """(question, last) of the rationales that a later one of their question overlaps."""
+def _found_among_few(last: np.ndarray, group: np.ndarray, elements: pa.ListArray, threshold: int) -> np.ndarray:
+    """Which rationales overlap a later one of their group: groups follow each other, each of ``FEW`` at most, by ``last``."""
+    words = elements.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(elements)), elements.value_lengths().to_numpy(zero_copy_only=False))
+    codes, weights = words.indices.to_numpy(zero_copy_only=False), _weights(words.dictionary)
+    key = group[row] * max(1, len(weights)) + codes
+    order = np.argsort(key, kind="stable")  # of equal elements of a group the earlier rationale's first
+    key, row, weight = key[order], row[order], weights[codes[order]]
+    shared = np.zeros(len(last) * FEW)  # by rationale and by how many places behind it the other one is
+    for apart in range(1, FEW):
+        at = np.flatnonzero(key[apart:] == key[:-apart])
+        if not len(at):
+            break
+        shared += np.bincount(row[at] * FEW + row[at + apart] - row[at], weight[at], len(shared))
+    one, behind = np.nonzero(shared.reshape(-1, FEW) >= threshold)
+    later = (behind > 0) & (last[np.minimum(one + behind, len(last) - 1)] > last[one])
+    found = np.zeros(len(last), bool)
+    found[one[later]] = True
+    return found
+
+
+def _tested(held: pa.Table, threshold: int) -> pa.Table:
+    """The rows of ``held`` that overlap a later one of their group: groups of equal ``MEETING`` follow each other whole, by ``last``."""
+    starts = np.append(_starts(held), len(held))
+    last, own, one, two = (held.column(c).to_numpy() for c in ("last", "_own", "_one", "_two"))
+    sizes, elements = np.diff(starts), held.column("elements").combine_chunks()
+    group, found = np.repeat(np.arange(len(sizes)), sizes), np.zeros(len(held), bool)
+    few = (sizes <= FEW) & (one[starts[:-1]] == two[starts[:-1]])
+    some = np.flatnonzero(few[group])
+    found[some] = _found_among_few(last[some], group[some], _split(elements.take(pa.array(some))), threshold)
+    for k in np.flatnonzero(~few):
+        low, high = starts[k], starts[k + 1]
+        found[low:high] = _found(last[low:high], own[low:high], _split(elements[low:high]), threshold)
+    return held.select([*KEYS, "last"]).filter(pa.array(found))
+
+
+def _starts(held: pa.Table) -> np.ndarray:
+    """The rows that begin a group."""
+    new = np.zeros(len(held), bool)
+    new[:1] = True
+    for name in MEETING:
+        column = held.column(name)
+        new[1:] |= ~pc.fill_null(pc.equal(column[1:], column[:-1]), False).to_numpy().astype(bool)
+    return np.flatnonzero(new)
+
+
+def _by_groups(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+    """``_tested`` on a sorted stream of rows; only the group that goes on in the next batch is held back."""
+    pending = []  # rows of one group
+    for batch in batches:
+        for low, high in _parts(pc.binary_length(batch.column("elements")).to_numpy(zero_copy_only=False).astype(np.int64), BYTES):
+            part = batch.slice(low, high - low)
+            edge = pa.Table.from_batches([*[p.slice(p.num_rows - 1) for p in pending[-1:]], part])
+            begun = int(_starts(edge)[-1]) - len(pending[-1:])
+            if begun >= 0 and (begun or pending):
+                yield from _tested(pa.Table.from_batches([*pending, part.slice(0, begun)]), threshold).to_batches()
+                pending, part = [], part.slice(begun)
+            pending.append(part)
+    if pending:
+        yield from _tested(pa.Table.from_batches(pending), threshold).to_batches()
 
-    def tested(group: pa.Table) -> pa.Table:
-        last, own = (group.column(c).to_numpy() for c in ("last", "_own"))
-        found = _found(last, own, group.column("elements").combine_chunks(), threshold)
-        return group.select([*KEYS, "last"]).filter(pa.array(found))
 
+def _overlapped(vectors: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
+    """(question, last) of the rationales that a later one of their question overlaps."""
+    met = _meetings(vectors, block).repartition(*MEETING).sortWithinPartitions(*MEETING, "last")
     schema = ", ".join([f"{k} string" for k in KEYS] + [f"last {vectors.schema['last'].dataType.simpleString()}"])
-    met = _meetings(vectors, block).groupBy(*KEYS, "_one", "_two")
-    return met.applyInArrow(tested, schema).distinct()
+    return met.mapInArrow(lambda batches: _by_groups(batches, threshold), schema).distinct()
 
 
 def rationale_redundancy(df: DataFrame, threshold: int = 20, overlap: str = "bitand") -> DataFrame:
