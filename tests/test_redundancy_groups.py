@@ -36,6 +36,16 @@ def test_elements_share_what_the_texts_share(how):
             assert sum(int(e.split(":")[0]) for e in set(a) & set(b)) == plain.overlap(held[i], held[j], how)
 
 
+def test_no_question_is_a_call_of_its_own(spark, tmp_path):
+    rows = [("d", "s", f"{i // 2}", i % 2, "x " * 30 + f"same words here {i % 3}") for i in range(20)]
+    spark.createDataFrame(rows, "dataset string, split string, id string, turn int, rationale string").write.parquet(str(tmp_path / "t"))
+    counts = redundancy.rationale_redundancy(spark.read.parquet(str(tmp_path / "t")), 3)
+    assert {(r.n_redundant, r.n_questions) for r in redundancy.redundancy_histogram(counts).collect()} == {(1, 10)}
+    vectors = redundancy._distinct_vectors(spark.read.parquet(str(tmp_path / "t")), 3, "bitand")
+    shown = redundancy._overlapped(vectors, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in shown and shown.count("MapInArrow") >= 2
+
+
 @pytest.mark.parametrize("how", HOW)
 def test_groups_are_tested_together_wherever_a_batch_ends(monkeypatch, how):
     monkeypatch.setattr(redundancy, "BYTES", 700)
