@@ -69,6 +69,13 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD + "{2,}"), F.lit(0))
 
 
+def ascii_cut(text: Column) -> Column:
+    """Lower case, a blank for whatever beyond ASCII is no word character: cut at ASCII, it has the words of ``word_tokens``."""
+    low = F.lower(text)
+    only_ascii = F.octet_length(low) == F.length(low)
+    return F.when(only_ascii, low).otherwise(F.regexp_replace(low, rf"[^\x00-\x7f{WORD[1:-1]}]", " "))
+
+
 def word_counts(words: Column) -> Column:
     """``array<struct<word, n>>`` of a word list: sort it, then measure the runs. Linear after the sort."""
 

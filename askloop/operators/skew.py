@@ -15,12 +15,12 @@ def salt(turn: Column) -> Column:
     return F.pmod(turn.cast("bigint"), F.lit(SALTS)).cast("int")
 
 
-def join_per_question(df: DataFrame, per_question: DataFrame, turn: str = "turn") -> DataFrame:
-    """Add the columns of ``per_question`` (one narrow row a question) to every row.
+def join_per_question(df: DataFrame, per_question: DataFrame, turn: str = "turn", how: str = "inner") -> DataFrame:
+    """Add the columns of ``per_question`` (one narrow row a question) to every row, or keep the rows without one (``left_anti``).
 
     The join key is the question and a salt from the turn, so a hot question's rows go to ``SALTS`` partitions; the
     narrow side is repeated for each salt. Nothing is counted or fetched to decide this.
     """
     salts = F.explode(F.array(*[F.lit(s) for s in range(SALTS)])).alias("_salt")
     salted = per_question.select("*", salts)
-    return df.withColumn("_salt", salt(F.col(turn))).join(salted, [*KEYS, "_salt"]).drop("_salt")
+    return df.withColumn("_salt", salt(F.col(turn))).join(salted, [*KEYS, "_salt"], how).drop("_salt")

@@ -5,7 +5,9 @@ import numpy as np
 import plain
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from askloop.functions import text
 from askloop.operators import redundancy
 from askloop.schemas import KEYS
 
@@ -82,3 +84,32 @@ def test_many_small_questions_are_few_pieces_of_work(monkeypatch):
     tracemalloc.stop()
     assert got.num_rows == n // 2 and len(calls) <= 5
     assert peak < 30 * redundancy.BYTES
+
+
+SCHEMA = "dataset string, split string, id string, turn int, rationale string"
+
+
+def test_words_are_those_of_the_column_expression(spark):
+    odd = ["", " ", "x", "A-b ab_c", "É", "Éa·bé", "naïve—Über a\u00a0b", "x\u0301yz", "日本 日本語", "a\x00bb\x1fcc\ncc", "½½ ²³x", "I\u0307İstanbul", "😀ab😀c", "__ 12 1"]
+    rng = random.Random(1)
+    held = odd + ["".join(rng.choices("aZ9_ .-\té·日😀½\u0301", k=rng.randrange(40))) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(held)], "i int, t string")
+    rows = df.select(text.ascii_cut(F.col("t")).alias("cut"), text.word_tokens(F.col("t")).alias("words")).orderBy("i").collect()
+    cut = pa.array([r.cut for r in rows])
+    for low, high in ((0, len(rows)), (5, 40), (7, 7)):
+        row, told = redundancy._words(cut[low:high])
+        got = [[] for _ in range(high - low)]
+        for r, word in zip(row, told.to_pylist()):
+            got[r].append(word)
+        assert got == [r.words for r in rows[low:high]]
+
+
+def test_texts_of_small_questions_are_shuffled_once_and_written_nowhere(spark, monkeypatch):
+    written, materialize = {}, redundancy.materialize
+    monkeypatch.setattr(redundancy, "materialize", lambda df, name: written.setdefault(name, materialize(df, name)))
+    df = spark.createDataFrame([("d", "s", f"{i // 4}", i % 4, f"same words here {i}") for i in range(40)], SCHEMA)
+    counts = redundancy.rationale_redundancy(df, 3)
+    assert {(r.n_redundant, r.n_questions) for r in redundancy.redundancy_histogram(counts).collect()} == {(3, 10)}
+    assert written["rationale-sets"].count() == 0
+    shown = redundancy._small_questions(df, 3, "bitand")._jdf.queryExecution().executedPlan().toString()
+    assert shown.count("Exchange hashpartitioning") == 1 and shown.count("MapInArrow") == 1 and "regexp_extract_all" not in shown
