@@ -104,6 +104,23 @@ def test_words_are_those_of_the_column_expression(spark):
         assert got == [r.words for r in rows[low:high]]
 
 
+@pytest.mark.parametrize("how", HOW)
+@pytest.mark.parametrize("name,value", [("BLOCK", 20), ("LARGE", 1_500), ("BYTES", 900), ("BLOCK", 0)])
+def test_questions_small_and_large(spark, monkeypatch, how, name, value):
+    """Some of them, all or none tested by one task."""
+    monkeypatch.setattr(redundancy, name, value)
+    rng = random.Random(f"{how}{name}")
+    groups = {f"g{i}": texts(rng, n) for i, n in enumerate([1, 2, 2, 3, 4, 4, 16, 17, 19, 20, 21, 40, 70])}
+    groups["same"] = [" ".join(["w1 w2 w3 w4"] * 9)] * 30 + ["z1 z2"]
+    groups["nulls"] = [None, None, "w1 w2"]
+    groups["few"] = [None, "xx yy zz " * 9, "xx yy zz " * 9, None]
+    rows = [("d", "s", g, t, x) for g, held in groups.items() for t, x in enumerate(held)] + [("d", None, "g1", t, "w1 " * 40) for t in range(3)]
+    rng.shuffle(rows)
+    got = redundancy.rationale_redundancy(spark.createDataFrame(rows, SCHEMA), 12, how).collect()
+    want = {("s", g): (sum(x is not None for x in held), plain.redundant(held, 12, how)) for g, held in groups.items()}
+    assert {(r.split, r.id): (r.n_rationales, r.n_redundant) for r in got} == want | {(None, "g1"): (3, 0)}
+
+
 def test_texts_of_small_questions_are_shuffled_once_and_written_nowhere(spark, monkeypatch):
     written, materialize = {}, redundancy.materialize
     monkeypatch.setattr(redundancy, "materialize", lambda df, name: written.setdefault(name, materialize(df, name)))
