@@ -130,3 +130,22 @@ def test_texts_of_small_questions_are_shuffled_once_and_written_nowhere(spark, m
     assert written["rationale-sets"].count() == 0
     shown = redundancy._small_questions(df, 3, "bitand")._jdf.queryExecution().executedPlan().toString()
     assert shown.count("Exchange hashpartitioning") == 1 and shown.count("MapInArrow") == 1 and "regexp_extract_all" not in shown
+
+
+@pytest.mark.parametrize("how", HOW)
+def test_texts_of_small_questions_are_tested_many_at_a_time(monkeypatch, how):
+    calls = []
+    few_texts = redundancy._few_texts
+    monkeypatch.setattr(redundancy, "_few_texts", lambda *a: calls.append(1) or few_texts(*a))
+    n, same = 20_000, " ".join(f"w{i}" for i in range(150))
+    table = pa.table({
+        "dataset": ["d"] * n, "split": ["s"] * n, "id": [f"{i // 4:05d}" for i in range(n)],
+        "turn": np.arange(n) % 4, "text": [f"{same} z{i}" if i % 4 != 1 else f"y{i}" for i in range(n)],
+    })
+    tracemalloc.start()
+    got = [redundancy._questions(h, 150, how) for h in redundancy._whole_groups(iter(table.to_batches(3_000)), KEYS, "text")]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    counts = pa.concat_tables(got)
+    assert counts.num_rows == n // 4 and set(counts.column("n_redundant").to_pylist()) == {2}
+    assert len(calls) <= 16 and peak < 60 * redundancy.BYTES
