@@ -129,8 +129,8 @@ def _texts_weighed(texts: pa.Array, overlap: str) -> tuple[pa.Array, np.ndarray]
 
 
 def _rationales(df: DataFrame) -> DataFrame:
-    """The rationales of named questions, ready to be cut into words."""
-    return df.dropna(subset=[*KEYS, "rationale"]).select(*KEYS, "turn", ascii_cut(F.col("rationale")).alias("text"))
+    """The rationales of named questions, ready to be cut into words; without a turn none is later, and none is earlier."""
+    return df.dropna(subset=[*KEYS, "turn", "rationale"]).select(*KEYS, "turn", ascii_cut(F.col("rationale")).alias("text"))
 
 
 def _distinct_vectors(df: DataFrame, threshold: int, overlap: str) -> DataFrame:

@@ -149,3 +149,12 @@ def test_texts_of_small_questions_are_tested_many_at_a_time(monkeypatch, how):
     counts = pa.concat_tables(got)
     assert counts.num_rows == n // 4 and set(counts.column("n_redundant").to_pylist()) == {2}
     assert len(calls) <= 16 and peak < 60 * redundancy.BYTES
+
+
+@pytest.mark.parametrize("block", [redundancy.BLOCK, 8])
+def test_a_rationale_without_a_turn_overlaps_nothing(spark, monkeypatch, block):
+    monkeypatch.setattr(redundancy, "BLOCK", block)
+    same = "one two three four five"
+    rows = [("d", "s", f"g{n}", None, same) for n in (2, 30)] + [("d", "s", f"g{n}", t, same if t % 5 == 1 else f"z{t}") for n in (2, 30) for t in range(n)]
+    got = redundancy.rationale_redundancy(spark.createDataFrame(rows, SCHEMA), 5).collect()
+    assert {r.id: (r.n_rationales, r.n_redundant) for r in got} == {"g2": (3, 0), "g30": (31, 5)}
