@@ -104,6 +104,14 @@ def test_words_are_those_of_the_column_expression(spark):
         assert got == [r.words for r in rows[low:high]]
 
 
+def test_every_character_is_cut_as_the_column_expression_cuts_it(spark):
+    held = ["".join(f"ab{chr(c)}cd " for c in range(low, low + 512) if not 0xD800 <= c < 0xE000) for low in range(0, 0x110000, 512)]
+    df = spark.createDataFrame([(t,) for t in held], "t string").repartition(8)
+    same = F.array_join(text.word_tokens(F.col("t")), " ") == F.array_join(text.word_tokens(text.ascii_cut(F.col("t"))), " ")
+    beyond = F.regexp_extract_all(text.ascii_cut(F.col("t")), F.lit(r"[^\x00-\x7f\p{L}\p{N}]"), F.lit(0))
+    assert df.filter(~same | (F.size(beyond) > 0)).count() == 0
+
+
 @pytest.mark.parametrize("how", HOW)
 @pytest.mark.parametrize("name,value", [("BLOCK", 20), ("LARGE", 1_500), ("BYTES", 900), ("BLOCK", 0)])
 def test_questions_small_and_large(spark, monkeypatch, how, name, value):
