@@ -16,7 +16,7 @@ rationales are tested together, many at a time: their words are sorted once, and
 pairs share. In a larger one the elements are ordered rarest first and those of a single rationale are dropped. Partners are taken a stretch at a time, latest first. A rationale is only tested against
 a stretch that holds an element of its prefix, that is one with ``threshold`` of its own weight at or behind it (two that
 overlap enough have their first common element there), and if the weight it could share with the whole stretch reaches
-``threshold``. Those left are one product of matrices. A question with n different rationales costs n rows for each BLOCK
+``threshold``. Those left are one product of matrices, over the elements that both sides hold. A question with n different rationales costs n rows for each BLOCK
 of them: one row a rationale up to about a thousand.
 """
 
@@ -205,13 +205,15 @@ class _Sets:
         return rows[met & (np.bincount(place, self.weights[code] * theirs[code], len(rows)) >= threshold)]
 
     def overlaps(self, rows: np.ndarray, partners: np.ndarray) -> np.ndarray:
-        """Shared weight of each of ``rows`` with each of ``partners``; elements are multiplied some at a time."""
+        """Shared weight of each of ``rows`` with each of ``partners``; elements that both sides hold are multiplied some at a time."""
         (at, mine), (there, theirs) = self.of(rows), self.of(partners)
-        known, column = np.unique(np.concatenate([self.codes[at], self.codes[there]]), return_inverse=True)
+        known = np.intersect1d(self.codes[at], self.codes[there])
+        column = np.full(len(self.weights), -1)
+        column[known] = np.arange(len(known))
         out, width = np.zeros((len(rows), len(partners))), max(1, CELLS // (len(rows) + len(partners)))
         for low in range(0, len(known), width):
             a, b = (np.zeros((len(x), min(width, len(known) - low))) for x in (rows, partners))
-            for matrix, place, columns in ((a, mine, column[: len(at)]), (b, theirs, column[len(at) :])):
+            for matrix, place, columns in ((a, mine, column[self.codes[at]]), (b, theirs, column[self.codes[there]])):
                 here = (columns >= low) & (columns < low + width)
                 matrix[place[here], columns[here] - low] = 1
             out += (a * self.weights[known[low : low + width]]) @ b.T

@@ -166,3 +166,17 @@ def test_a_rationale_without_a_turn_overlaps_nothing(spark, monkeypatch, block):
     rows = [("d", "s", f"g{n}", None, same) for n in (2, 30)] + [("d", "s", f"g{n}", t, same if t % 5 == 1 else f"z{t}") for n in (2, 30) for t in range(n)]
     got = redundancy.rationale_redundancy(spark.createDataFrame(rows, SCHEMA), 5).collect()
     assert {r.id: (r.n_rationales, r.n_redundant) for r in got} == {"g2": (3, 0), "g30": (31, 5)}
+
+
+def test_elements_that_one_side_holds_are_not_multiplied():
+    """Two stretches of 200 rationales: neighbours of a side share 250 words, the sides share three."""
+    sides = [[f"1:{s}{i // 2}x{k}" for k in range(250)] + [f"{1 << k}:c{k}" for k in range(3) if i % 3 == k] for s in "ab" for i in range(200)]
+    sets = redundancy._Sets(pa.array(sides, pa.list_(pa.string())))
+    rows, partners = np.arange(200), np.arange(200, 400)
+    tracemalloc.start()
+    got = sets.overlaps(rows, partners)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == [[(1 << i % 3) * (i % 3 == j % 3) for j in range(200)] for i in range(200)]
+    assert peak < 16 << 20
+    assert sets.overlaps(rows, rows)[0, :3].tolist() == [251, 250, 0]
