@@ -77,6 +77,23 @@ def test_nothing_frequent(documents):
     assert mined(documents, [(1, None, None), (2, "a b c", "en")]) == {}
 
 
+def test_words_and_phrases_are_never_broadcast(documents, monkeypatch):
+    rows, frames, write = sentences(150, 3, WORDS), [], collocations.materialize
+    monkeypatch.setattr(collocations, "materialize", lambda df, name: frames.append(df) or write(df, name))
+    frames.append(collocations.mine(documents(rows)))
+    assert len(frames) == 4
+    broadcast, merged = set(), 0
+    for df in frames[1:]:
+        df.collect()  # joins may turn into broadcasts while they run
+        plan = re.sub(r"#\d+L?", "", df._jdf.queryExecution().executedPlan().toString())
+        assert "isFinalPlan=true" in plan
+        plan = plan.split("== Initial Plan ==")[0]
+        broadcast |= set(re.findall(r"BroadcastHashJoin \[(.*?)\], \[", plan))
+        merged += len(re.findall("SortMergeJoin.*(?:lang, word|pmod)", plan))
+    assert broadcast <= {"_part", "lang", "block"}  # a row for each partition, language or block
+    assert merged == 9  # a join by each word of two or three, by three pairs, and of a block's words
+
+
 @pytest.mark.parametrize("bits", [1, 5, 16, 21, 32])
 def test_permuted_phrases_come_back_and_filters_lose_nothing(bits):
     rng = np.random.default_rng(bits)
