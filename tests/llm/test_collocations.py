@@ -94,6 +94,22 @@ def test_words_and_phrases_are_never_broadcast(documents, monkeypatch):
     assert merged == 9  # a join by each word of two or three, by three pairs, and of a block's words
 
 
+def test_scores_broadcast_nothing_however_small_spark_takes_the_tables(spark):
+    words = spark.createDataFrame([(1, "en", "new", 30), (2, "en", "york", 20), (3, "en", "city", 20)], "id bigint, lang string, word string, f bigint")
+    phrases = spark.createDataFrame([(1, 2, 0, 20), (2, 3, 0, 12), (1, 2, 3, 12)], "w1 bigint, w2 bigint, w3 bigint, f bigint")
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "1g")
+    try:
+        scored = collocations.score(phrases, words)
+        got = {tuple(r) for r in scored.collect()}
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(setting, before)
+    assert got == {("en", "new york city", 12, 20, 20, 360_000)}
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+
+
 @pytest.mark.parametrize("bits", [1, 5, 16, 21, 32])
 def test_permuted_phrases_come_back_and_filters_lose_nothing(bits):
     rng = np.random.default_rng(bits)
